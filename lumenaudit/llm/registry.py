@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, token_counts, token_orc, topk
+from . import minhash, mixing, packing, token_counts, token_orc, topk
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_top_k": topk.op3_top_k,
         "op4_pack_documents": packing.op4_pack_documents,
         "op5_token_orc": token_orc.op5_token_orc,
+        "op7_minhash_near_duplicates": minhash.op7_minhash_near_duplicates,
         "op9_mix_sources": mixing.op9_mix_sources,
     }
 

@@ -150,7 +150,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
 
 
 def op3_top_k(spark, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row holds a shard and a tile
     vectors = materialize(integer_vectors(table(spark, sf_dir, "embeddings")), "topk-vectors")
     return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
