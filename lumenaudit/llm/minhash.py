@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 from . import shingles as S
 from .common import materialize, table
 from .components import connected_components
+from .units import block_units, close_pairs, dealt_by, whole_groups
 
 #: A link has MUST * |intersection| >= OF * |union|.
 MUST, OF = 100, 75
@@ -94,34 +94,35 @@ def _plausible(pairs: np.ndarray, sizes: np.ndarray, maps: list[bytes]) -> np.nd
     return out
 
 
-def _open_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one unit (a bucket, or two blocks of a large one) between components that sketches and bitmaps leave open."""
-    pdf = pdf.sort_values("rep", kind="stable").drop_duplicates("rep")
-    rep, comp, size, part = (pdf[c].to_numpy(np.int64) for c in ("rep", "component", "n_shingles", "part"))
-    band, lo, hi = int(pdf["band"].iloc[0]), int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
-    keys = np.frombuffer(b"".join(pdf["keys"]), np.int64).reshape(len(pdf), -1)
-    maps = pdf["bitmap"].tolist()
+def _open_pairs(it):
+    """Pairs between components that sketches and bitmaps leave open, each from the first band that brings it together."""
     most = S.most_bits(OF / MUST, SIGMAS)
-    found = []
-    for k in range(0, len(pdf), 256):
-        rows = slice(k, k + 256)
-        odd = np.bitwise_count(sketch[rows, None] ^ sketch[None]).sum(2, dtype=np.int64)
-        ok = (odd <= most) & (comp[rows, None] != comp[None]) & (rep[rows, None] < rep[None])
-        ok &= (OF * size[rows, None] <= MUST * size[None]) & (OF * size[None] <= MUST * size[rows, None])
-        if lo != hi:
-            ok &= part[rows, None] != part[None]
-        i, j = np.nonzero(ok)
-        pairs = np.column_stack([i + k, j])
-        # A pair that an earlier band has brought together is measured there.
-        for a in range(0, len(pairs), 65_536) if band else ():
-            p = pairs[a : a + 65_536]
-            pairs[a : a + 65_536][(keys[p[:, 0], :band] == keys[p[:, 1], :band]).any(1)] = -1
-        pairs = pairs[pairs[:, 0] >= 0]
-        if len(pairs):
-            found.append(pairs[_plausible(pairs, size, maps)])
-    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"a": rep[pairs[:, 0]], "b": rep[pairs[:, 1]]})
+    for rows, heads in whole_groups(it, ["band", "key", "lo", "hi"]):
+        n = len(rows)
+        band, rep, comp, size, part, lo, hi = (rows.column(c).to_numpy() for c in ("band", "rep", "component", "n_shingles", "part", "lo", "hi"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(n, -1)
+        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int64).reshape(n, -1)
+        maps = rows.column("bitmap").to_pylist()
+        whole = lo == hi
+
+        def may(i, j):
+            ok = (comp[i] != comp[j]) & (OF * size[i] <= MUST * size[j]) & (OF * size[j] <= MUST * size[i])
+            return ok & (whole[i] | (part[i] != part[j]))
+
+        near = lambda i, j: may(i, j) & (np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= most)
+
+        def block(a, b):
+            i, j = np.arange(a.start, a.stop)[:, None], np.arange(b.start, b.stop)[None]
+            return may(i, j) & (np.bitwise_count(sketch[a, None] ^ sketch[None, b]).sum(2, dtype=np.int64) <= most)
+
+        for i, j in close_pairs(heads, n, near, block):
+            new = np.ones(len(i), bool)
+            for t in range(int(band[i].max(initial=0))):
+                new &= (keys[i, t] != keys[j, t]) | (band[i] <= t)
+            pairs = np.column_stack([i[new], j[new]])
+            if len(pairs):
+                pairs = pairs[_plausible(pairs, size, maps)]
+                yield pa.RecordBatch.from_arrays([pa.array(rep[pairs[:, 0]]), pa.array(rep[pairs[:, 1]])], ["a", "b"])
 
 
 def _full_sets(it):
@@ -186,16 +187,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Buckets that still hold several components, in units of at most two blocks.
     placed = members.join(first, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     mixed = placed.groupBy("band", "key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("band", "key")
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    units = (
-        placed.join(mixed, ["band", "key"])
-        .withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("long"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .withColumn("lo", F.least(F.col("part"), F.col("other").cast("long")))
-        .withColumn("hi", F.greatest(F.col("part"), F.col("other").cast("long")))
-        .join(reps.select("rep", "n_shingles", "keys", "sketch", "bitmap"), "rep")
-    )
-    open_pairs = units.groupBy("band", "key", "lo", "hi").applyInPandas(_open_pairs, "a long, b long")
+    units = block_units(placed.join(mixed, ["band", "key"]), "members", "rep", BLOCK).join(reps.select("rep", "n_shingles", "keys", "sketch", "bitmap"), "rep")
+    dealt = dealt_by(units.select("band", "key", "lo", "hi", "part", "rep", "component", "n_shingles", "keys", "sketch", "bitmap"), ["band", "key", "lo", "hi"], "rep")
+    open_pairs = dealt.mapInArrow(_open_pairs, "a long, b long")
     more_links = materialize(_confirmed(open_pairs.distinct(), sets), "minhash-more-links")
     joined = connected_components(star_links.unionAll(more_links), "minhash-all")
 

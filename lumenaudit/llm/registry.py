@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, token_counts, token_orc, topk
+from . import crosspolytope, minhash, mixing, packing, token_counts, token_orc, topk
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op3_top_k": topk.op3_top_k,
         "op4_pack_documents": packing.op4_pack_documents,
         "op5_token_orc": token_orc.op5_token_orc,
+        "op6_embedding_near_duplicates": crosspolytope.op6_embedding_near_duplicates,
         "op7_minhash_near_duplicates": minhash.op7_minhash_near_duplicates,
         "op9_mix_sources": mixing.op9_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": topk.OP3_SQL, "op9_mix_sources": mixing.OP9_SQL}
+    return {"op3_top_k": topk.OP3_SQL, "op6_embedding_near_duplicates": crosspolytope.OP6_SQL, "op9_mix_sources": mixing.OP9_SQL}
