@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crosspolytope, minhash, mixing, packing, token_counts, token_orc, topk
+from . import crosspolytope, html_template, minhash, mixing, packing, token_counts, token_orc, topk
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_token_orc": token_orc.op5_token_orc,
         "op6_embedding_near_duplicates": crosspolytope.op6_embedding_near_duplicates,
         "op7_minhash_near_duplicates": minhash.op7_minhash_near_duplicates,
+        "op8_extract_main_text": html_template.op8_extract_main_text,
         "op9_mix_sources": mixing.op9_mix_sources,
     }
 
