@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import crosspolytope, html_template, minhash, mixing, packing, token_counts, token_orc, topk
+from . import crosspolytope, html_template, minhash, mixing, packing, token_counts, token_orc, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_count_tokens": token_counts.op2_count_tokens,
         "op3_top_k": topk.op3_top_k,
         "op4_pack_documents": packing.op4_pack_documents,
