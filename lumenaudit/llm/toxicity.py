@@ -29,7 +29,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SEPARATORS = frozenset(".-_*~'`,/\\#+")
 #: Costs of the channel, in natural logarithms.
 SUBSTITUTE, DELETE, SINGLE, DOUBLE = 1.0, 0.7, 0.2, 0.6
-GRAMS = (5, 6)
+GRAMS = (4, 5)
+MEASURES = (*(f"top{n}" for n in GRAMS), "total")
 
 _SYMBOLS = 60  # boundary, a-z, the Latin-1 letters
 _OF_BYTE = np.zeros(256, np.int64)
@@ -211,15 +212,15 @@ def _gram_rows(out: np.ndarray, bounds: np.ndarray):
 
 
 def evidence(values: np.ndarray, out: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Per text: the highest value, and log(1 + sum) of the values."""
+    """Per text: the highest value of runs of each length, and log(1 + sum) of all values."""
     n = len(bounds) - 1
-    top, total = np.zeros(n), np.zeros(n)
-    for h, text, inside in _gram_rows(out, bounds):
+    tops, total = [np.zeros(n) for _ in GRAMS], np.zeros(n)
+    for top, (h, text, inside) in zip(tops, _gram_rows(out, bounds), strict=False):
         v = values[h]
         some = np.flatnonzero((v > 0) & inside)
         np.maximum.at(top, text[some], v[some])
         total += np.bincount(text[some], v[some], n)
-    return np.column_stack([top, np.log1p(total)])
+    return np.column_stack([*tops, np.log1p(total)])
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -285,13 +286,13 @@ def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, max_labelled: int =
         clean = Deobfuscator(lm)
         for batch in it:
             found = [evidence(values, out, bounds) for _, out, bounds in clean.letters(batch.column(0))]
-            x = np.concatenate(found) if found else np.empty((0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1)], ["top", "total", "toxic"])
+            x = np.concatenate(found) if found else np.empty((0, len(MEASURES)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], [*MEASURES, "toxic"])
 
-    held = rows.where("part = 4").mapInArrow(measured, "top double, total double, toxic int").toPandas()
+    held = rows.where("part = 4").mapInArrow(measured, ", ".join(f"{m} double" for m in MEASURES) + ", toxic int").toPandas()
     if held["toxic"].nunique() < 2:
-        return values, np.array([-2.0, 1.0, 0.0])
-    return values, _fit_logistic(held[["top", "total"]].to_numpy(), held["toxic"].to_numpy(float))
+        return values, np.array([-4.0] + [1.0] * len(GRAMS) + [0.0])
+    return values, _fit_logistic(held[list(MEASURES)].to_numpy(), held["toxic"].to_numpy(float))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -308,7 +309,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 out = np.zeros(b.num_rows)
             else:
                 found = [evidence(model[0], letters, bounds) for _, letters, bounds in clean.letters(b.column(at))]
-                x = np.concatenate(found) if found else np.empty((0, 2))
+                x = np.concatenate(found) if found else np.empty((0, len(MEASURES)))
                 out = 1 / (1 + np.exp(-np.clip(model[1][0] + x @ model[1][1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*names, "score"])
 
