@@ -33,7 +33,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and gives the planner real sizes."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

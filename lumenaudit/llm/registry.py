@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crosspolytope, html_template, minhash, mixing, packing, token_counts, token_orc, topk, toxicity
+from . import crosspolytope, html_template, lattice_lm, minhash, mixing, packing, token_counts, token_orc, topk, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_minhash_near_duplicates": minhash.op7_minhash_near_duplicates,
         "op8_extract_main_text": html_template.op8_extract_main_text,
         "op9_mix_sources": mixing.op9_mix_sources,
+        "op10_lattice_lm": lattice_lm.op10_lattice_lm,
     }
 
 
