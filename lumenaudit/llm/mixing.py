@@ -83,10 +83,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS)
     )
 
 
-def copies_of(mixed: DataFrame) -> DataFrame:
-    """doc_id, copies: the mix in whole documents. The document that the budget cuts is taken whole if the cut leaves at least half of it."""
+def copies_of(mixed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of keep, copies: the mix in whole documents. The document that the budget cuts is taken whole if the cut leaves at least half of it."""
     half = (F.col("rest") - F.col("before")) * 2 >= F.col("size")
-    return mixed.select("doc_id", (F.col("epochs") + F.when((F.col("size") > 0) & half, 1).otherwise(0)).cast("int").alias("copies"))
+    return mixed.select("doc_id", *keep, (F.col("epochs") + F.when((F.col("size") > 0) & half, 1).otherwise(0)).cast("int").alias("copies"))
 
 
 OP9_SQL = r"""
