@@ -1,8 +1,55 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: toxicity, near-duplicates, source mixing, packing. Each stage takes (spark, docs, sf_dir) and works on all that the one before kept."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenaudit.llm.common import materialize, table
+from lumenaudit.llm.minhash import near_duplicates
+from lumenaudit.llm.mixing import copies_of, mix_sources, word_count
+from lumenaudit.llm.packing import pack_documents
+from lumenaudit.llm.toxicity import score_toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose restored text scores below 0.5; the model learns from the labels of those at hand."""
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).where(F.col("score") < 0.5).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near-duplicates; of rows with equal doc_id and text, one."""
+    dropped = materialize(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "pipeline-dropped")
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "pipeline-repeated")
+    if not repeated.count():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents as often as the mix takes them: sources that are to grow are repeated, others are thinned."""
+    copies = copies_of(mix_sources(docs), keep=("source", "size")).where(F.col("copies") > 0).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    copies = materialize(copies, "pipeline-copies").withColumnsRenamed({c: f"mix_{c}" for c in ("doc_id", "source", "size", "copies")})
+    same = F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (word_count(F.col("text")) == F.col("mix_size"))
+    return docs.join(copies, same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents placed in sequences of 2048 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("minhash_near_duplicates", drop_near_duplicates), ("source_mixing", mix), ("sum_of_squares_packing", pack)]
+
+#: SQL cannot express the toxicity stage; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each keeps is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
