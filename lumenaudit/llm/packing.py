@@ -64,7 +64,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         change = gain.astype(np.float64)
         change[0] = -open_at[size] - 0.5  # a bin that becomes full is counted no more
         change[open_at[size:] == 0] = np.inf
-        change[-1] = open_at[capacity - size] + 0.5 if size < capacity else 0.0
+        change[-1] = open_at[capacity - size] - 0.5 if size < capacity else -1.0
         g = int(change.argmin()) + size
         if g == capacity:
             b, n_bins = n_bins, n_bins + 1

@@ -295,8 +295,9 @@ def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, max_labelled: int =
     return values, _fit_logistic(held[list(MEASURES)].to_numpy(), held["toxic"].to_numpy(float))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every column of docs and a last one, score, from 0 to 1."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """Every column of docs and a last one, the score from 0 to 1; a column of docs that has its name gives way."""
+    docs = docs.drop(name)
     lm = language_model(docs)
     model = fit(docs, labels, lm)
     names = docs.columns
@@ -311,11 +312,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 found = [evidence(model[0], letters, bounds) for _, letters, bounds in clean.letters(b.column(at))]
                 x = np.concatenate(found) if found else np.empty((0, len(MEASURES)))
                 out = 1 / (1 + np.exp(-np.clip(model[1][0] + x @ model[1][1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

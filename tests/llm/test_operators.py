@@ -1,0 +1,358 @@
+"""Each operator against brute force on small tables, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenaudit.llm import components, crosspolytope, html_template, lattice_lm, minhash, mixing, packing, token_counts, token_orc, topk, toxicity
+from lumenaudit.llm.common import scratch_path, tokenizer_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, key string, bucket string, score string, band string, part string, ids string, h string, c string, before string"
+
+
+def rows_of():
+    rnd = random.Random(3)
+    words = ["the", "an", "Den", "été", "loser", "x1", "straße", "über,", "it's", "日本", "🙂", "a", "b-c"]
+    make = lambda n: " ".join(rnd.choice(words) + rnd.choice(["", "", "."]) for _ in range(n))
+    base = make(60)
+    texts = [None, "", " \t\n ", "one", "one two three four", base, base, base.upper(), base + " tail", base.replace("the", "THE") + " other end of it", make(9_000), "x" * 30_000, make(200), make(200), "a  b   c ", "<|endoftext|> x"]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, 0) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, "no id at all here now", None, None, None)]
+    return [(*r, *["clash"] * 10) for r in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows_of(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+
+
+def ids_of(lib, text):
+    return lib.encode(text or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_counts(docs, none):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs).collect())
+    want = sorted((r[0] or -1, len((r[1] or "").encode()), n := len(sp.encode(r[1] or "")), n > 4096) for r in rows_of())
+    assert got == want
+    assert token_counts.count_tokens(none).count() == 0
+
+
+def test_packing_places_every_piece_once(docs, none):
+    lib = library()
+    got = packing.pack_documents(docs).collect()
+    want = defaultdict(int)
+    for r in rows_of():
+        ids = [*ids_of(lib, r[1]), 0]
+        for p, s in enumerate(range(0, len(ids), 2048)):
+            part = ids[s : s + 2048]
+            want[r[0], p, s, len(part), crc(part)] += 1
+    have = defaultdict(int)
+    by_sequence = defaultdict(list)
+    for r in got:
+        have[r.doc_id, r.piece, r.start, r.length, r.ids_crc32] += 1
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    assert have == want
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack_documents(none).count() == 0
+
+
+def test_sum_of_squares_rule():
+    lengths = np.random.default_rng(1).integers(1, 21, 400)
+    got, offset = packing.sum_of_squares(lengths, 20)
+    gaps, n = [], [0] * 21
+    for size, b in zip(lengths.tolist(), got.tolist()):
+        options = {}
+        for g in [*{x for x in gaps if x >= size}, 20]:
+            m = n.copy()
+            if g < 20:
+                m[g] -= 1
+            if g - size > 0:
+                m[g - size] += 1
+            options[g] = sum(x * x for x in m[1:20])
+        g = 20 if b == len(gaps) else gaps[b]
+        assert options[g] == min(options.values())
+        if b == len(gaps):
+            gaps.append(20)
+        else:
+            n[g] -= 1
+        gaps[b] = g - size
+        if gaps[b]:
+            n[gaps[b]] += 1
+    assert len(set(got.tolist())) <= 1.05 * np.ceil(lengths.sum() / 20) + 1
+
+
+def test_token_orc_round_trip(spark, docs, none):
+    lib = library()
+    path = scratch_path(spark, "test-orc")
+    token_orc.write_token_orc(docs, path, shard_rows=5)
+    got = token_orc.token_digests(token_orc.read_token_orc(spark, path)).collect()
+    want = sorted(((r[0] if r[0] is not None else -1), len(ids := [*ids_of(lib, r[1]), 2]), crc(ids)) for r in rows_of())
+    assert sorted(((r.doc_id if r.doc_id is not None else -1), r.n_tokens, r.ids_crc32) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    order = [(r.doc_id if r.doc_id is not None else -1) for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted(order)
+    assert [r.doc_id for r in token_orc.read_token_orc(spark, path, doc_ids=[3]).collect()] == [3]
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,4)" in token_orc.read_token_orc(spark, path, lo=4)._jdf.queryExecution().toString()
+    token_orc.write_token_orc(none, path + "-none")
+    assert token_orc.token_digests(token_orc.read_token_orc(spark, path + "-none")).count() == 0
+
+
+def test_mixing(docs, none):
+    got = mixing.mix_sources(docs).collect()
+    sizes = [len((r[1] or "").encode().split()) for r in rows_of()]
+    assert sorted(r["size"] for r in got) == sorted(sizes)
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+        assert 0 <= r.taken <= 3 * r["size"]
+    total = 0
+    for rows in by.values():
+        assert sum(r.taken for r in rows) == int(rows[0].target) and rows[0].target <= 3 * rows[0].source_size
+        total += rows[0].target
+    assert abs(total - sum(sizes)) < 1e-6 * sum(sizes)
+    again = mixing.mix_sources(docs.repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    assert mixing.mix_sources(none).count() == 0
+
+
+def test_minhash_equals_brute_force(docs, none):
+    got = minhash.near_duplicates(docs).collect()
+    sets = {}
+    for r in rows_of():
+        w = (r[1] or "").encode().lower().split()
+        sets[r[0]] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    label = {i: i for i in sets if i is not None}
+    for _ in label:
+        for a in label:
+            for b in label:
+                if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    for r in got:
+        assert r.n_shingles == len(sets[r.doc_id])
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert r.component_id == label[r.doc_id] and r.kept == (label[r.doc_id] == r.doc_id)
+    assert len(got) == len(rows_of())
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_minhash_family_of_edited_copies(spark):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        words = base.copy()
+        for _ in range(rnd.randrange(0, 14)):
+            words[rnd.randrange(120)] = f"e{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows}
+    label = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in label:
+            for b in label:
+                if a < b and label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    assert got == label
+
+
+def test_components_of_a_long_chain(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long").repartition(7)
+    got = {r.node: r.component for r in components.connected_components(e, "test").collect()}
+    assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500}
+
+
+def vectors():
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=64)
+    rows = [(i, (centre + rng.normal(size=64) * 0.1 * (i % 3)).tolist(), 1, "clash") for i in range(120)]
+    rows += [(200 + i, rng.normal(size=64).tolist(), i % 2, "clash") for i in range(100)]
+    rows += [(400, rows[0][1], 1, "x"), (401, rows[0][1], None, "x"), (402, None, 1, "x"), (403, [0.0] * 64, 1, "x"), (404, [float("nan")] * 64, 1, "x"), (405, [1.0] * 63 + [None], 1, "x"), (406, [1.0] * 3, 1, "x"), (407, [], 1, "x")]
+    return [*rows, (None, rows[0][1], 1, "x"), rows[0]]
+
+
+def test_near_embeddings_equal_brute_force(spark):
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, codes string")
+    got = crosspolytope.near_embeddings(df).collect()
+    ok = lambda v, lab, i: i is not None and lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    good = [(i, np.array(v), lab) for i, v, lab, _ in rows if ok(v, lab, i)]
+    links = defaultdict(set)
+    count = defaultdict(int)
+    for p, (i, v, lab) in enumerate(good):
+        for q, (j, w, lab2) in enumerate(good):
+            if p != q and lab == lab2 and len(v) == len(w) and v @ w / np.sqrt(v @ v) / np.sqrt(w @ w) >= 0.98:
+                links[i].add(j)
+                count[p] += 1
+    label = {i: i for i, *_ in good}
+    for _ in range(6):
+        for i in label:
+            label[i] = min([label[i], *(label[j] for j in links[i])])
+    n_of = defaultdict(set)
+    for p, (i, *_) in enumerate(good):
+        n_of[i].add(count[p])
+    for r in got:
+        assert r.n_links in (n_of[r.vec_id] if r.vec_id in label else {0})
+        assert r.component_id == label.get(r.vec_id, r.vec_id)
+        assert r.kept == (r.vec_id is None or r.component_id == r.vec_id)
+    assert len(got) == len(rows)
+    assert crosspolytope.near_embeddings(df.limit(0)).count() == 0
+
+
+def test_top_k_equals_brute_force(spark):
+    rows = [(i, v, lab, "x") for i, v, lab, _ in vectors() if i not in (406, 407)] + [(1_000 + i, [0.5] * 64, 0, "x") for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, v string")
+    v = topk.integer_vectors(df)
+    got = topk.top_k(v, v.where("vec_id % 20 = 0"), k=5, block_rows=64).collect()
+    good = [(i, np.floor(64 * np.array(x)).astype(int)) for i, x, _, _ in rows if i is not None and x is not None and all(e is not None and np.isfinite(e) for e in x)]
+    want = []
+    for i, q in good:
+        if i % 20 == 0:
+            best = sorted((-int(q @ d), j) for j, d in good if j != i)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    have = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got if r.query_id != 0)
+    assert have == sorted(w for w in want if w[0] != 0)  # query 0 is a repeated row
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_html():
+    page = """<!doctype html><html><head><title>x</title><style>p{}</style></head><body><nav><a href=/>Menu</a></nav><div id="cookie-notice">We use</div><article><h1>A &amp; b</h1>
+      <p>One <a href=x>two</a>three<!-- c --><br>four<p>five&nbsp;six<div class="ad">buy</div><ul><li>se<b>v</b>en<li>eight</ul><form>mail</form><section class="comments"><p>bad</p></section><script>x="</p>"</script></article><footer>f</footer>"""
+    assert html_template.main_text(page, None, frozenset()) == "A & b One twothree four five six seven eight"
+    assert html_template.main_text(None, None, frozenset()) == html_template.main_text("", None, frozenset()) == ""
+    assert html_template.main_text("<p>cut off <b", None, frozenset()) == "cut off"
+
+
+def test_html_template_of_a_host_without_article(spark):
+    rows = [(i, f"https://h.example/{i}", f"<body><div class=top><p>Welcome to the site</p></div><div class=text><p>Body number {i} has words {'w' * i} of its own.</p></div><div class=end><p>All rights of the site</p></div></body>", "c") for i in range(8)]
+    rows += [(90, None, None, "c"), (91, "https://h.example/0", rows[0][2], "c"), (92, "x", "<p>Alone</p>", "c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = {r.page_id: r.text for r in html_template.extract_main_text(df).collect()}
+    assert got[3] == "Body number 3 has words www of its own." and got[90] == "" and got[91] == got[0] and got[92] == "Alone"
+    assert html_template.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_toxicity(spark, docs, none):
+    rnd = random.Random(9)
+    clean = lambda: " ".join(rnd.choice(["river", "stone", "house", "window", "garden", "bread", "letter"]) for _ in range(60))
+    rows = []
+    for i in range(600):
+        t = clean()
+        if i % 4 == 0:
+            w = rnd.choice(["loser", "moron", "l0ser", "m0r0n", "looooser", "m.o.r.o.n"])
+            t = t.replace("stone", w, 1) if "stone" in t else w + " " + t
+        rows.append((i, t))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 600) if i % 3], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(d, labels).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((got[i] >= 0.5) == (i % 4 == 0) for i in held) >= 0.95 * len(held)
+    out = toxicity.score_toxicity(docs, labels).collect()
+    assert len(out) == len(rows_of()) and all(0 <= r[-1] <= 1 for r in out)
+    assert toxicity.score_toxicity(none, labels).count() == 0
+    assert {r.score for r in toxicity.score_toxicity(d, labels.limit(0)).collect()} == {0.0}
+
+
+def test_restore_picks_the_likely_word(spark):
+    text = "loser moron pathetic window idiot stupid " * 50
+    lm = toxicity.language_model(spark.createDataFrame([(text,)], "text string"))
+    for disguised, word in (("l0ser", "loser"), ("1d10t", "idiot"), ("m-o-r-o-n", "moron"), ("stuuuupid", "stupid"), ("p4th3tic", "pathetic")):
+        assert toxicity.restore(disguised, lm) == word
+
+
+def test_lattice_lm(spark, docs, none):
+    got = lattice_lm.score_texts(docs).collect()
+    rows = rows_of()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    count, texts = defaultdict(int), 0
+    for r in rows:
+        if not held(r[0]):
+            texts += 1
+            for w in (r[1] or "").encode().lower().split():
+                count[w] += 1
+    n, v = sum(count.values()) + texts, len(count) + 1
+    want = []
+    for r in rows:
+        w = (r[1] or "").encode().lower().split()
+        base = sum(np.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w) + np.log10((texts + 0.1) / (n + 0.1 * (v + 1)))
+        want.append((-1 if r[0] is None else r[0], held(r[0]), len(w) + 1, sum(x in count and count[x] > 0 for x in w) + 1, n, round(base, 5)))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == sorted(want)
+    assert all(r.score < 0 and np.isfinite(r.score) for r in got)
+    assert lattice_lm.score_texts(none).count() == 0
+
+
+def test_lattice_sums_all_segmentations():
+    voc = lattice_lm.vocabulary("piece_bpe_32k.model")
+    word = "▁there"
+    code = np.array([[ord(c) for c in word]], np.uint64)
+    pieces = {}
+    for n, a in enumerate(voc.arcs(code), 1):
+        for s in range(a.shape[1]):
+            if a[0, s] >= 0:
+                pieces[s, s + n] = voc.start[a[0, s]]
+
+    def total(at):
+        return 1.0 if at == len(word) else sum(np.exp(pieces[at, e]) * total(e) for e in range(at + 1, len(word) + 1) if (at, e) in pieces)
+
+    logp, expected = lattice_lm.lattice(code, voc, voc.start, np.ones(1))
+    assert np.isclose(np.exp(logp[0]), total(0))
+    assert np.isclose(lattice_lm.log_probabilities(["there".encode()], voc, voc.start)[0], logp[0]) and expected.sum() >= 1
+
+
+def test_pipeline_stages_on_a_small_table(spark, sf):
+    import corpus_pipeline as P
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    t = P.drop_toxic(spark, d, sf)
+    want = {r.doc_id for r in toxicity.score_toxicity(d, spark.read.parquet(f"{sf}/labels.parquet")).where("score < 0.5").collect()}
+    assert {r.doc_id for r in t.collect()} == want and t.columns == d.columns
+    doubled = d.unionByName(d.limit(20))
+    kept = P.drop_near_duplicates(spark, doubled, sf)
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and set(ids) == {r.doc_id for r in minhash.near_duplicates(d).where("kept").collect()}
+    mixed = P.mix(spark, d, sf)
+    copies = {r.doc_id: r.copies for r in mixing.copies_of(mixing.mix_sources(d)).collect() if r.copies}
+    got = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert got == copies and mixed.columns == d.columns
+    packed = P.pack(spark, d, sf)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
+
+
+def test_queries_have_every_operator():
+    from lumenaudit.llm import registry
+
+    assert {int(k[2:].split("_")[0]) for k in registry.queries()} == set(range(1, 11))
