@@ -14,7 +14,10 @@ from lumenaudit.llm.toxicity import score_toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below 0.5; the model learns from the labels of those at hand."""
-    return score_toxicity(docs, table(spark, sf_dir, "labels")).where(F.col("score") < 0.5).select(*docs.columns)
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    return score_toxicity(docs, table(spark, sf_dir, "labels"), name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
