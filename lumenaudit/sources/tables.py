@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +46,6 @@ def derived_properties(df: DataFrame, width: Column, height: Column, size_bytes:
 
 def container_properties(images: DataFrame) -> DataFrame:
     """Width, height and byte statistics of rows of Spark's image source. Spread and brightness come from one Arrow pass over the pixels."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("struct<channel_spread double, brightness double>")
     def statistics(image: pd.DataFrame) -> pd.DataFrame:
         rows = []

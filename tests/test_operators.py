@@ -65,7 +65,7 @@ def test_paths_names_and_probability_pairs(spark):
     assert one(spark, C.within_root(F.lit("/up/a/../b"), "/up")) and not one(spark, C.within_root(F.lit("/up/../etc"), "/up"))
     assert one(spark, C.safe_filename(F.lit("../a b?.PNG"))) == "a_b_.PNG" and one(spark, C.media_type(F.lit("x.MKV"))) == "video" and one(spark, C.media_type(F.lit("x.exe"))) is None
     with pytest.raises(Exception, match="no real label"):
-        one(spark, C.fake_real_pair(F.create_map(F.lit("fake"), F.lit(0.5)))["fake"])
+        one(spark, C.fake_real_pair(F.create_map(F.lit("fake"), F.lit(0.5))))
 
 
 def test_near_pairs_equal_brute_force(spark):
