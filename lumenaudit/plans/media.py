@@ -182,10 +182,10 @@ def _(spark, sf):
     return G.flow_signal(grid(spark, sf), "label", "vec_id", "v").withColumn("score", r6("score"))
 
 
-@query("g6_temporal", f"SELECT user_id, count(*) AS frames, round(avg(score), 6) AS mean_fake, CASE WHEN count(*) >= 2 THEN round(least(1, stddev_pop(score) / 0.25), 6) END AS score, CASE WHEN avg(score) >= 0.5 THEN 'fake' ELSE 'real' END AS label FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS total FROM {_FRAMES_SQL}) f WHERE CASE WHEN 8 >= total THEN true ELSE list_contains(list_transform(range(0, 8), lambda i: CAST(floor(i * (total / 8.0::DOUBLE)) AS BIGINT)), frame_idx) END GROUP BY user_id")
+@query("g6_temporal", f"SELECT user_id, count(*) AS frames, round(avg(score), 8) AS mean_fake, CASE WHEN count(*) >= 2 THEN round(least(1, stddev_pop(score) / 0.25), 6) END AS score, CASE WHEN avg(score) >= 0.5 THEN 'fake' ELSE 'real' END AS label FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS total FROM {_FRAMES_SQL}) f WHERE CASE WHEN 8 >= total THEN true ELSE list_contains(list_transform(range(0, 8), lambda i: CAST(floor(i * (total / 8.0::DOUBLE)) AS BIGINT)), frame_idx) END GROUP BY user_id")
 def _(spark, sf):
     s = G.temporal_signal(sample_frames(frames(spark, sf), "user_id", "frame_idx", 8), "user_id", "score")
-    return s.select("user_id", "frames", r6("mean_fake").alias("mean_fake"), r6("score").alias("score"), "label")
+    return s.select("user_id", "frames", F.round("mean_fake", 8).alias("mean_fake"), r6("score").alias("score"), "label")
 
 
 @query("g7_jersey", "SELECT l_suppkey, count(*) AS frames, round(least(1, (stddev_pop(l_quantity) + 0.3 * stddev_pop(l_discount) + 0.2 * stddev_pop(l_tax)) / 40), 6) AS score FROM lineitem GROUP BY 1")
