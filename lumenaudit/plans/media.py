@@ -301,7 +301,14 @@ def _(spark, sf):
     return score_pending(t(spark, sf, "documents"), t(spark, sf, "labels"), "doc_id", F.when(F.col("n_chars") > 100, "ok").otherwise("error"))
 
 
-@query("r2_admission")
+@query(
+    "r2_admission",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    r AS (SELECT user_id, event_id, k, true AS admitted, ts AS a1, CAST(NULL AS TIMESTAMP) AS a2 FROM e WHERE k = 1
+      UNION ALL SELECT user_id, event_id, k, ok, CASE WHEN ok THEN ts ELSE a1 END, CASE WHEN ok THEN a1 ELSE a2 END FROM (
+        SELECT e.*, r.a1, r.a2, r.a2 IS NULL OR r.a2 <= e.ts - INTERVAL 36 HOUR AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+    SELECT user_id, event_id, admitted FROM r""",
+)
 def _(spark, sf):
     return admission.admit_batch(t(spark, sf, "events"), "user_id", "ts", "event_id", 2, 36 * 3600)
 
