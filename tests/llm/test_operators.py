@@ -356,3 +356,46 @@ def test_queries_have_every_operator():
     from lumenaudit.llm import registry
 
     assert {int(k[2:].split("_")[0]) for k in registry.queries()} == set(range(1, 11))
+
+
+ODD = "abcXYZ 0129 '\t\n<|>étẞßÀÿ×÷!.,;:ªº²½́  ẞ日本語😀​İŉǅ'sS'RE'll\x00\x1c\x1f\x85▁▁"
+
+
+def odd_texts(alphabet):
+    rnd = random.Random(11)
+    return ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(40))) + rnd.choice(["", "", " <|endoftext|>x"]) for _ in range(1_500)]
+
+
+@pytest.mark.parametrize("alphabet", ["abcXYZ 0129 '\t\néÀÿ!.,;:'sS'RE'll\x00\x1c\x1f", ODD])
+def test_encoder_and_counter_equal_the_libraries(alphabet):
+    import pyarrow as pa
+    import sentencepiece
+
+    from lumenaudit.llm.tokens import encoder
+
+    texts = odd_texts(alphabet)
+    flat, sizes = encoder("word_bpe_49k.json").encode(pa.array(texts))
+    lib, at = library(), 0
+    for t, n in zip(texts, sizes.tolist(), strict=True):
+        assert flat[at : at + n].tolist() == ids_of(lib, t)
+        at += n
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    assert token_counts.counter("piece_bpe_32k.model").count(pa.array(texts)).tolist() == [len(sp.encode(t)) for t in texts]
+
+
+def test_groups_that_span_batches_stay_whole():
+    import pyarrow as pa
+
+    from lumenaudit.llm.units import whole_groups
+
+    rnd = random.Random(4)
+    keys = sorted(rnd.randrange(12) for _ in range(200))
+    cuts = [0, 3, 3, 50, 51, 120, 200]
+    batches = (pa.RecordBatch.from_pydict({"k": keys[a:b], "i": list(range(a, b))}, pa.schema([("k", pa.int64()), ("i", pa.int64())])) for a, b in zip(cuts, cuts[1:]))
+    seen = []
+    for rows, heads in whole_groups(batches, ["k"]):
+        k = rows.column("k").to_pylist()
+        for a, b in zip(heads.tolist(), [*heads.tolist()[1:], len(k)]):
+            assert len(set(k[a:b])) == 1
+            seen.append((k[a], b - a))
+    assert seen == sorted((k, keys.count(k)) for k in set(keys))
