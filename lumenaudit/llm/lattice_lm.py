@@ -4,6 +4,8 @@ The vocabulary is that of an existing file; its pieces' probabilities start from
 over the lattices of all training words. A forward recursion in log space sums a word's segmentations; a word known from training has one more arc,
 itself whole, whose probability is its discounted share of the training tokens, and what the discount frees is the weight of the lattice of pieces.
 So the words' probabilities and the end's sum to one. Words meet counts and probabilities by joins on the word, never through the driver.
+A document's probability is the product over its words in order, and what it has said already is one more arc of a word: a discounted share of the words
+before it in the same document, which grows with their number (a Pitman-Yor restaurant whose base is the lattice).
 
 Defined results: a null, empty or blank text is its end alone; repeated rows are scored, and where they train counted, each; a null doc_id
 trains; without training rows c and N are 0 and the pieces keep the probabilities of their scores; characters outside the vocabulary are
@@ -24,6 +26,8 @@ from .common import materialize, table, tokenizer_path
 #: Documents whose words are looked up together; rounds of expectation maximisation; pseudo-count of a piece; longest piece in characters.
 CHUNK_ROWS, ROUNDS, PRIOR, LONGEST = 16_384, 3, 0.01, 16
 ADD = 0.1
+#: Words that the corpus weighs against those said before in a document, and what each distinct one of these gives back to the corpus.
+STRENGTH, GIVEN_BACK = 100.0, 0.85
 _MARK = "▁"
 _PLACE = np.random.default_rng(41).integers(1, 2**62, LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NEG = -1e30
@@ -138,6 +142,30 @@ def log_probabilities(words: list[bytes], voc: Vocabulary, logp: np.ndarray) ->
     return out
 
 
+def said_before(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word (its fingerprint and its text, texts in order): how often its text has it before, how many words and how many distinct ones come before."""
+    n = len(h)
+    order = np.lexsort((h, text))  # stable: the same word of a text in its order
+    new = np.ones(n, bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
+    at = np.arange(n)
+    count, first = np.empty(n, np.int64), np.empty(n, np.int64)
+    count[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    first[order] = new
+    begins = np.searchsorted(text, text)
+    ahead = np.cumsum(first) - first
+    return count, at - begins, ahead - ahead[begins]
+
+
+def adapted(lp: np.ndarray, h: np.ndarray, text: np.ndarray, end: float) -> np.ndarray:
+    """log10 probability of each word after those before it in its text; lp is that of the corpus, end the probability of an end."""
+    count, words, distinct = said_before(h, text)
+    with np.errstate(divide="ignore"):
+        again = np.log((1 - end) * np.maximum(count - GIVEN_BACK, 0) / (words + STRENGTH))
+    fresh = np.log((STRENGTH + GIVEN_BACK * distinct) / (words + STRENGTH)) + lp * np.log(10)
+    return np.logaddexp(again, fresh) / np.log(10)
+
+
 def chunked(docs: DataFrame) -> DataFrame:
     """doc_id, text, held_out, chunk: a chunk is a stretch of rows of one file, the same whenever it is read."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
@@ -250,13 +278,14 @@ def score_texts(docs: DataFrame, vocab: str = "piece_bpe_32k.model") -> DataFram
             starts = R.word_starts(data, bounds) if len(data) else np.empty(0, np.int64)
             if not len(starts):
                 continue
-            at = np.searchsorted(h, R.fingerprints(data, starts, R.word_ends(data, bounds, starts)))
+            words = R.fingerprints(data, starts, R.word_ends(data, bounds, starts))
+            at = np.searchsorted(h, words)
             rows = slice(first, to)
             tokens[rows] += R.per_text(np.ones(len(starts), np.int64), starts, bounds)
             known[rows] += R.per_text((c[at] > 0).astype(np.int64), starts, bounds)
             text = np.searchsorted(bounds, starts, "right") - 1
             base_sum[rows] += np.bincount(text, base[at], to - first)
-            lp_sum[rows] += np.bincount(text, lp[at], to - first)
+            lp_sum[rows] += np.bincount(text, adapted(lp[at], words, text, 10**end_score), to - first)
         return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(n, n_all), "base_score": base_sum, "score": lp_sum})
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
