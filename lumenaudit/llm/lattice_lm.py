@@ -66,7 +66,7 @@ class Vocabulary:
         out, h = [], np.zeros(code.shape, np.uint64)
         for n in range(1, min(LONGEST, code.shape[1]) + 1):
             h = h[:, : code.shape[1] - n + 1] + code[:, n - 1 :] * _PLACE[n - 1]
-            row = self.rows.find(self._key((h + np.uint64(n)).ravel())).reshape(h.shape)
+            row = self.rows.find(self._key((h + np.uint64(n)).T.ravel())).reshape(h.shape[::-1]).T
             out.append(np.where(row >= 0, row + 256, -1))
         return out
 
@@ -86,6 +86,14 @@ def _spelled(code: np.ndarray, logp: np.ndarray) -> np.ndarray:
     return np.array([logp[list(chr(int(c)).encode("utf-8", "surrogatepass"))].sum() for c in chars])[at].reshape(code.shape)
 
 
+def _log_sum(x: list[np.ndarray]) -> np.ndarray:
+    if len(x) == 1:
+        return x[0]
+    x = np.stack(x)
+    top = x.max(0)
+    return top + np.log(np.exp(x - top).sum(0))
+
+
 def lattice(code: np.ndarray, voc: Vocabulary, logp: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """(log probability of each word, expected piece counts weighted by the words' weights): code is words of equal length as rows."""
     n, length = code.shape
@@ -94,35 +102,38 @@ def lattice(code: np.ndarray, voc: Vocabulary, logp: np.ndarray, weight: np.ndar
     none = arcs[0] < 0
     if none.any():
         scores[0][none] = _spelled(code[none], logp)
-    alpha = np.full((n, length + 1), _NEG)
+    # A step sums over the lengths that have a piece there in some word.
+    has = [(a >= 0).any(0) for a in arcs]
+    has[0][:] = True
+    alpha = np.full((n, length + 1), _NEG, order="F")
     alpha[:, 0] = 0
     for e in range(1, length + 1):
-        x = np.stack([alpha[:, e - k] + scores[k - 1][:, e - k] for k in range(1, min(len(arcs), e) + 1)])
-        top = x.max(0)
-        alpha[:, e] = top + np.log(np.exp(x - top).sum(0))
+        alpha[:, e] = _log_sum([alpha[:, e - k] + scores[k - 1][:, e - k] for k in range(1, min(len(arcs), e) + 1) if has[k - 1][e - k]])
     if weight is None:
         return alpha[:, length], None
-    beta = np.full((n, length + 1), _NEG)
+    beta = np.full((n, length + 1), _NEG, order="F")
     beta[:, length] = 0
     for s in range(length - 1, -1, -1):
-        x = np.stack([beta[:, s + k] + scores[k - 1][:, s] for k in range(1, min(len(arcs), length - s) + 1)])
-        top = x.max(0)
-        beta[:, s] = top + np.log(np.exp(x - top).sum(0))
+        beta[:, s] = _log_sum([beta[:, s + k] + scores[k - 1][:, s] for k in range(1, min(len(arcs), length - s) + 1) if has[k - 1][s]])
     counts = np.zeros(voc.size)
-    for k, (a, sc) in enumerate(zip(arcs, scores, strict=True), 1):
-        post = np.exp(np.minimum(alpha[:, : length - k + 1] + sc + beta[:, k:] - alpha[:, length:], 0)) * weight[:, None]
+
+    def shares(at: np.ndarray, k: int) -> np.ndarray:
+        s, w = np.nonzero(at.T)
+        return np.exp(np.minimum(alpha[w, s] + scores[k - 1][w, s] + beta[w, s + k] - alpha[w, length], 0)) * weight[w]
+
+    for k, a in enumerate(arcs, 1):
         ok = a >= 0
-        counts += np.bincount(a[ok], post[ok], voc.size)
-        if k == 1 and none.any():
-            chars, at = np.unique(code[none], return_inverse=True)
-            for c, w in zip(chars.tolist(), np.bincount(at, post[none]).tolist(), strict=True):
-                for byte in chr(c).encode("utf-8", "surrogatepass"):
-                    counts[byte] += w
+        counts += np.bincount(a.T[ok.T], shares(ok, k), voc.size)
+    if none.any():
+        chars, at = np.unique(code.T[none.T], return_inverse=True)
+        for c, w in zip(chars.tolist(), np.bincount(at, shares(none, 1)).tolist(), strict=True):
+            for byte in chr(c).encode("utf-8", "surrogatepass"):
+                counts[byte] += w
     return alpha[:, length], counts
 
 
 def _by_length(words: list[bytes]):
-    """(rows, codes) of words of the same number of characters, each after the mark of a word's start."""
+    """(rows, codes) of words of the same number of characters, each after the mark of a word's start; places lie together in memory."""
     texts = [_MARK + w.decode("utf-8", "replace") for w in words]
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -132,7 +143,7 @@ def _by_length(words: list[bytes]):
         step = max(1, 200_000 // int(n))
         for k in range(0, len(rows), step):
             part = rows[k : k + step]
-            yield part, code[starts[part][:, None] + np.arange(n)]
+            yield part, code[starts[part] + np.arange(n)[:, None]].T
 
 
 def log_probabilities(words: list[bytes], voc: Vocabulary, logp: np.ndarray) -> np.ndarray:
@@ -142,12 +153,19 @@ def log_probabilities(words: list[bytes], voc: Vocabulary, logp: np.ndarray) ->
     return out
 
 
-def said_before(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word (its fingerprint and its text, texts in order): how often its text has it before, how many words and how many distinct ones come before."""
-    n = len(h)
-    order = np.lexsort((h, text))  # stable: the same word of a text in its order
+def said_before(word: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word (its number and its text, texts in order): how often its text has it before, how many words and how many distinct ones come before."""
+    n = len(word)
+    bits, word_bits = n.bit_length(), int(word.max(initial=0)).bit_length()
+    if bits + word_bits + int(text.max(initial=0)).bit_length() < 64:  # the same word of a text in its order, sorted as one number each
+        packed = np.sort((text << (word_bits + bits)) | (word << bits) | np.arange(n))
+        order, key = packed & ((1 << bits) - 1), packed >> bits
+        again = key[1:] == key[:-1]
+    else:
+        order = np.lexsort((word, text))
+        again = (word[order][1:] == word[order][:-1]) & (text[order][1:] == text[order][:-1])
     new = np.ones(n, bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
+    new[1:] = ~again
     at = np.arange(n)
     count, first = np.empty(n, np.int64), np.empty(n, np.int64)
     count[order] = at - np.maximum.accumulate(np.where(new, at, 0))
@@ -157,9 +175,9 @@ def said_before(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return count, at - begins, ahead - ahead[begins]
 
 
-def adapted(lp: np.ndarray, h: np.ndarray, text: np.ndarray, end: float) -> np.ndarray:
+def adapted(lp: np.ndarray, word: np.ndarray, text: np.ndarray, end: float) -> np.ndarray:
     """log10 probability of each word after those before it in its text; lp is that of the corpus, end the probability of an end."""
-    count, words, distinct = said_before(h, text)
+    count, words, distinct = said_before(word, text)
     with np.errstate(divide="ignore"):
         again = np.log((1 - end) * np.maximum(count - GIVEN_BACK, 0) / (words + STRENGTH))
     fresh = np.log((STRENGTH + GIVEN_BACK * distinct) / (words + STRENGTH)) + lp * np.log(10)
@@ -278,14 +296,13 @@ def score_texts(docs: DataFrame, vocab: str = "piece_bpe_32k.model") -> DataFram
             starts = R.word_starts(data, bounds) if len(data) else np.empty(0, np.int64)
             if not len(starts):
                 continue
-            words = R.fingerprints(data, starts, R.word_ends(data, bounds, starts))
-            at = np.searchsorted(h, words)
+            at = np.searchsorted(h, R.fingerprints(data, starts, R.word_ends(data, bounds, starts)))
             rows = slice(first, to)
             tokens[rows] += R.per_text(np.ones(len(starts), np.int64), starts, bounds)
             known[rows] += R.per_text((c[at] > 0).astype(np.int64), starts, bounds)
             text = np.searchsorted(bounds, starts, "right") - 1
             base_sum[rows] += np.bincount(text, base[at], to - first)
-            lp_sum[rows] += np.bincount(text, adapted(lp[at], words, text, 10**end_score), to - first)
+            lp_sum[rows] += np.bincount(text, adapted(lp[at], at, text, 10**end_score), to - first)
         return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(n, n_all), "base_score": base_sum, "score": lp_sum})
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
