@@ -30,13 +30,22 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
 _NEVER = frozenset("head nav footer aside form script style noscript template iframe object svg math canvas button select option textarea menu dialog audio video map".split())
 _RAW = "script|style|textarea|title|noscript|iframe|template|xmp"
-#: Words of class, id and role by which an element says that it is no content.
+#: Whole names of class, id and role by which an element says that it is no content; a part of a hyphenated name says nothing.
 _SAYS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "sidebar side-bar menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager toc header masthead footer share sharing social related recommended "
     "comment comments respond replies reply disqus newsletter subscribe subscription signup login search searchbox widget toolbar tags copyright "
-    "complementary contentinfo skip skip-link".split()
+    "complementary contentinfo skip skip-link "
+    "cookie-notice cookie-banner cookie-bar cookie-consent cookie-law-info-bar consent-banner site-header site-footer site-nav site-navigation main-nav main-menu main-navigation nav-bar nav-menu "
+    "post-navigation nav-links share-box share-bar share-buttons share-links social-share social-links social-media related-posts related-articles related-links related-stories "
+    "comment-list comment-form comments-area comments-section post-comments newsletter-signup search-form search-box ad-container ad-slot ad-banner ad-wrapper".split()
 )
+#: Those that inside the content may as well name a kind of text: there they do not count, and only the template tells.
+_UNSURE = frozenset("notice notices alert header masthead banner search related recommended tags toc copyright".split())
+#: Those that hold for an article element too.
+_REMARKS = frozenset("comment comments respond replies reply disqus".split())
+#: Levels of a name: content, no content unless inside the slot, no content.
+_KEPT, _OUTSIDE, _OUT = 0, 1, 2
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAMES = re.compile(r"[^a-z0-9-]+")
@@ -44,9 +53,9 @@ _NAMES = re.compile(r"[^a-z0-9-]+")
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def _element(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """(name with class and id, whether it says that it is no content)"""
-    name, no = tag, tag in _NEVER or tag == "header" and not in_article
+def _element(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
+    """(name with class and id, level at which it says that it is no content)"""
+    name, no = tag, _OUT if tag in _NEVER or tag == "header" and not in_article else _KEPT
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -54,20 +63,22 @@ def _element(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
                 words = [w for w in _NAMES.split(value) if w]
                 if key != "role":
                     name += "." + ".".join(words)
-                if tag not in ("body", "html", "article", "main"):
-                    no = no or any(w in _SAYS or any(p in _SAYS for p in w.split("-")) for w in words)
+                if tag in ("article", "main"):
+                    no = max(no, _OUT * any(w in _REMARKS for w in words))
+                elif tag not in ("body", "html"):
+                    no = max([no, *((_OUTSIDE if w in _UNSURE else _OUT) for w in words if w in _SAYS)])
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                no = True
+                no = _OUT
     return name, no
 
 
-def read_page(page: str | None) -> tuple[list[str], list[tuple[str, str, int, bool]]]:
-    """(paths of the elements in order, blocks of text as (path, text, characters in links, no content))."""
+def read_page(page: str | None) -> tuple[list[str], list[tuple[str, str, int, int]]]:
+    """(paths of the elements in order, blocks of text as (path, text, characters in links, level of no content))."""
     elements: list[str] = []
-    blocks: list[tuple[str, str, int, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path of its block, no content
+    blocks: list[tuple[str, str, int, int]] = []
+    stack: list[tuple[str, str, int]] = []  # tag, path of its block, level of no content
     parts: list[str] = []
-    state = [0, False]  # characters in links, whether the open block is content
+    state = [0, _KEPT]  # characters in links, level of the open block
 
     def flush() -> None:
         if parts:
@@ -75,11 +86,11 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, str, int, bo
             if text:
                 blocks.append((stack[-1][1] if stack else "", text, state[0], state[1]))
             parts.clear()
-        state[0], state[1] = 0, False
+        state[0], state[1] = 0, _KEPT
 
     def text_of(raw: str) -> None:
-        no = bool(stack) and stack[-1][2]
-        if no and any(t in _INLINE for t, _, _ in stack[-1:]) and not _block_is_out(stack):
+        no = stack[-1][2] if stack else _KEPT
+        if no == _OUT and stack[-1][0] in _INLINE and not _block_is_out(stack):
             return  # a flagged piece inside a line of content
         if not parts:
             state[1] = no
@@ -117,10 +128,10 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, str, int, bo
             if tag == "hr":
                 flush()
             continue
-        outer = stack[-1] if stack else ("", "", False)
+        outer = stack[-1] if stack else ("", "", _KEPT)
         if tag in _INLINE:
             name, no = _element(tag, m[4], True)
-            stack.append((tag, outer[1], outer[2] or no))
+            stack.append((tag, outer[1], _OUT if no == _OUT else outer[2]))
             continue
         flush()
         if tag in _CLOSES:
@@ -132,9 +143,9 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, str, int, bo
                     break
         while stack and stack[-1][0] in _INLINE:
             stack.pop()
-        outer = stack[-1] if stack else ("", "", False)
-        name, no = _element(tag, m[4], any(t == "article" for t, _, _ in stack))
-        stack.append((tag, f"{outer[1]}/{name}", outer[2] or no))
+        outer = stack[-1] if stack else ("", "", _KEPT)
+        name, no = _element(tag, m[4], any(t in ("article", "main") for t, _, _ in stack))
+        stack.append((tag, f"{outer[1]}/{name}", max(outer[2], no)))
         elements.append(stack[-1][1])
     if at < len(page):
         rest = page[at:]
@@ -145,7 +156,7 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, str, int, bo
 
 
 def _block_is_out(stack) -> bool:
-    return next((no for tag, _, no in reversed(stack) if tag not in _INLINE), False)
+    return next((no == _OUT for tag, _, no in reversed(stack) if tag not in _INLINE), False)
 
 
 def _host(url) -> str | None:
@@ -220,13 +231,14 @@ def deduce_templates(pages: DataFrame, least: int = 3, share: float = 0.5) -> Da
 def main_text(page: str | None, slot: str | None, texts: frozenset[str]) -> str:
     _, blocks = read_page(page)
     named = any(re.search(r"/(article|main)\b", path) for path, _, _, _ in blocks)
+    least = _OUT
     if named:
         inside = lambda path: re.search(r"/(article|main)\b", path)
     elif slot and any(path == slot or path.startswith(slot + "/") for path, _, _, _ in blocks):
         inside = lambda path: path == slot or path.startswith(slot + "/")
     else:
-        inside = lambda path: True
-    return " ".join(text for path, text, _, no in blocks if not no and inside(path) and f"{path}\n{text}" not in texts)
+        inside, least = lambda path: True, _OUTSIDE
+    return " ".join(text for path, text, _, no in blocks if no < least and inside(path) and f"{path}\n{text}" not in texts)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -257,6 +257,13 @@ def test_html():
     assert html_template.main_text("<p>cut off <b", None, frozenset()) == "cut off"
 
 
+def test_html_names_drop_only_whole_names():
+    page = """<body><div class="search">find</div><article class="post"><header class="entry-header"><h1>Head</h1></header><p class="notice">A notice.</p><div class="article-tags">Two tags</div><div class="related-work">Related work</div>
+      <ul class="share-prices"><li>up</ul><div id="search-results">found <span class="ad">buy</span>it</div><div class="share">tweet</div><article class="comment"><p>bad</p></article></article><article class="comment">worse</article>"""
+    assert html_template.main_text(page, None, frozenset()) == "Head A notice. Two tags Related work up found it"
+    assert html_template.main_text("<div class='alert'>careful</div><div class='post-header'>Head</div><p>text</p>", None, frozenset()) == "Head text"
+
+
 def test_html_template_of_a_host_without_article(spark):
     rows = [(i, f"https://h.example/{i}", f"<body><div class=top><p>Welcome to the site</p></div><div class=text><p>Body number {i} has words {'w' * i} of its own.</p></div><div class=end><p>All rights of the site</p></div></body>", "c") for i in range(8)]
     rows += [(90, None, None, "c"), (91, "https://h.example/0", rows[0][2], "c"), (92, "x", "<p>Alone</p>", "c")]
