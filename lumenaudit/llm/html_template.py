@@ -3,10 +3,11 @@
 A page is read as tokens: elements by their path, and texts of blocks. Over a host's pages every token has an occurrence vector (how often on which page);
 tokens of equal vectors form a class, and a class that is large and frequent enough is part of the host's template. The class of the
 tokens that each page has once is the root; other classes nest in the element of the root that holds all their paths. What the template leaves
-are slots: the slot with the article is where the template names one (article, main), else the root element that holds most text outside
-links; texts that are themselves template tokens, and elements that say that they are menus, adverts and the like, are no content.
+are slots: the slot with the article is the root element that holds most text outside links and template, where article and main break a tie; they also serve
+pages without a slot. Texts that are themselves template tokens, inside the slot too, and elements that say that they are menus, adverts and the like, are no content.
 
-Occurrence vectors are summed fingerprints, so hosts of any size aggregate in parts. Defined results: null or empty html gives an empty string; a null
+Pages of equal sets of containers are a layout; a token that is frequent in a layout or in the whole host is template on all pages of the host. Occurrence vectors are
+summed fingerprints, so hosts of any size aggregate in parts. Pages of equal texts count once. Defined results: null or empty html gives an empty string; a null
 url is a host of its own; repeated rows are pages of their own; a host of one page uses its elements alone; broken or cut markup is read as far as it goes;
 columns other than page_id, url and html are not read.
 """
@@ -14,7 +15,9 @@ columns other than page_id, url and html are not read.
 from __future__ import annotations
 
 import html as _html
+import marshal
 import re
+import zlib
 from collections import defaultdict
 
 import pandas as pd
@@ -29,6 +32,8 @@ from .common import materialize, table
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
 _NEVER = frozenset("head nav footer aside form script style noscript template iframe object svg math canvas button select option textarea menu dialog audio video map".split())
+#: Elements that make a layout.
+_CONTAINER = frozenset("body div section article main nav header footer aside form table ul".split())
 _RAW = "script|style|textarea|title|noscript|iframe|template|xmp"
 #: Whole names of class, id and role by which an element says that it is no content; a part of a hyphenated name says nothing.
 _SAYS = frozenset(
@@ -166,79 +171,130 @@ def _host(url) -> str | None:
     return (m[1].rpartition("@")[2] if m else url.partition("/")[0]).lower()
 
 
-def _token_rows(it):
-    """(host, kind, token, pages, sum1, sum2, mass): a batch's share of each token's occurrence vector; mass is text outside links."""
+def text_key(path: str, text: str) -> bytes:
+    """A block of text as a token: 128 bits of its path and text, however long it is."""
+    return xxhash.xxh3_128_digest(f"{path}\n{text}")
+
+
+def _root_shape(elements: list[str]) -> int:
+    """Layout of a page: its set of containers down to two levels below the body, outside of the article; numbers in names do not tell layouts apart."""
+    shape = set()
+    for path in elements:
+        steps = [x for x in path.split("/")[1:] if x != "html"]
+        if 0 < len(steps) <= 3 and steps[-1].partition(".")[0] in _CONTAINER and not any(x.partition(".")[0] in ("article", "main") for x in steps[:-1]):
+            shape.add(re.sub(r"[0-9]+", "0", "/".join(steps)))
+    return xxhash.xxh3_64_intdigest("\n".join(sorted(shape))) >> 1 | 1  # 0 stands for the whole host
+
+
+def _page_rows(it):
+    """(host, content, tokens): a page's tokens, packed, under a fingerprint of its texts, by which copies of a page are known."""
     for b in it:
-        found: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, 0, True])
-        for page_id, url, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            host = _host(url)
+        hosts, contents, packed = [], [], []
+        for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             elements, blocks = read_page(page)
             mass: dict[str, int] = defaultdict(int)
-            counts: dict[tuple[str, str], int] = defaultdict(int)
-            for path in elements:
-                counts["e", path] += 1
+            texts: dict[bytes, list] = {}
             for path, text, linked, no in blocks:
-                if not no:
-                    mass[path] += max(0, len(text) - 2 * linked)
-                    if "/article" not in path and "/main" not in path and len(text) <= 2_000:
-                        counts["t", f"{path}\n{text}"] += 1
-            counts["n", ""] = 1
-            for (kind, token), n in counts.items():
-                h = xxhash.xxh3_64_intdigest(f"{page_id} {url} {n}")
-                row = found[host, kind, token]
+                if no != _OUT:
+                    size = max(0, len(text) - 2 * linked)
+                    mass[path] += size
+                    if len(text) > 2_000:
+                        continue
+                    row = texts.setdefault(text_key(path, text), [path, 0, 0])
+                    row[1] += 1
+                    row[2] += size
+            counts: dict[str, int] = defaultdict(int)
+            for path in elements:
+                counts[path] += 1
+            hosts.append(_host(url))
+            contents.append(xxhash.xxh3_128_digest(b"".join(sorted(texts))))
+            rows = [(path, n, mass.get(path, 0)) for path, n in counts.items()]
+            packed.append(zlib.compress(marshal.dumps((_root_shape(elements), rows, [(k, *row) for k, row in texts.items()])), 1))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.binary()), pa.array(packed, pa.binary())], ["host", "content", "tokens"])
+
+
+def _token_rows(it):
+    """(host, layout, kind, token, path, pages, sum1, sum2, mass, once): a batch's share of each token's occurrence vector; mass is text outside links."""
+    for b in it:
+        found: dict[tuple, list] = {}
+        for host, content, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            layout, elements, texts = marshal.loads(zlib.decompress(packed))
+            for kind, token, path, n, size in (("n", b"", "", 1, 0), *(("e", path.encode(), path, n, m) for path, n, m in elements), *(("t", k, path, n, m) for k, path, n, m in texts)):
+                h = xxhash.xxh3_64_intdigest(content + n.to_bytes(4))
+                row = found.setdefault((host, layout, kind, token, path), [0, 0, 0, 0, True])
                 row[0] += 1
                 row[1] += h & 0xFFFFFFFF
                 row[2] += h >> 32
-                row[3] += mass.get(token, 0) if kind == "e" else 0
+                row[3] += size
                 row[4] = row[4] and n == 1
-        cols = list(zip(*((*k, *v) for k, v in found.items()), strict=True)) or [()] * 8
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "kind", "token", "pages", "sum1", "sum2", "mass", "once"])
+        cols = list(zip(*((*k, *v) for k, v in found.items()), strict=True)) or [()] * 10
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "layout", "kind", "token", "path", *_SUMS, "once"])
 
 
-def _template(pdf: pd.DataFrame, least: int, share: float) -> tuple[str | None, list[str]]:
-    """(path of the root element that holds the content, texts of the template) of one host from its frequent tokens."""
-    n = int(pdf.loc[pdf["kind"] == "n", "pages"].sum())
+_SUMS = ("pages", "sum1", "sum2", "mass")
+_NAMED = re.compile(r"/(article|main)\b")
+
+
+def _template(pdf: pd.DataFrame) -> tuple[str | None, list[bytes]]:
+    """(path of the root element that holds the content, texts of the template) of the pages of one layout or host from their frequent tokens."""
     classes = pdf.groupby(["sum1", "sum2"])["token"].transform("size")
-    # Valid: on enough of the pages, and not alone, as chance occurrences are, unless an element that every page has.
-    valid = (pdf["pages"] >= share * n) & ((classes > 1) | (pdf["kind"] == "e"))
-    e = pdf[(pdf["kind"] == "e") & valid]
-    texts = pdf[(pdf["kind"] == "t") & valid & (pdf["pages"] >= least)]["token"].tolist()
-    if any(re.search(r"/(article|main)\b", t) for t in e["token"]):
-        return None, texts
-    root = e[e["once"] & (e["pages"] == e["pages"].max())]["token"].tolist()
-    mass = {p: int(e.loc[e["token"].str.startswith(p + "/") | (e["token"] == p), "mass"].sum()) for p in root}
+    e = pdf[pdf["kind"] == "e"]
+    # Valid: not alone, as chance occurrences are.
+    t = pdf[(pdf["kind"] == "t") & (classes > 1)]
+    root = e[e["once"] & (e["pages"] == e["pages"].max())]["path"].tolist()
+    # Text that the template does not hold.
+    own = e.set_index("path")["mass"].sub(t.groupby("path")["mass"].sum(), fill_value=0)
+    under = lambda p: int(own[own.index.str.startswith(p + "/") | (own.index == p)].sum())
+    mass = {p: under(p) for p in root}
     total = max(mass.values(), default=0)
     good = [p for p in root if total and mass[p] >= 0.6 * total]
-    return (max(good, key=lambda p: p.count("/")) if good else None), texts
+    named = [p for p in good if _NAMED.search(p)]
+    if named:  # the names break the tie among the elements that hold the text
+        slot = min(named, key=lambda p: p.count("/"))
+    elif total and own[own.index.str.contains(_NAMED.pattern.replace("(", "(?:"))].sum() >= 0.6 * total:
+        slot = None  # several articles on a page
+    else:
+        slot = max(good, key=lambda p: p.count("/")) if good else None
+    return slot, t["token"].tolist()
 
 
 def deduce_templates(pages: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
-    """host, slot, texts. A host keeps only tokens on a share of its pages, so its group is as large as a few pages, however many it has."""
-    rows = pages.select("page_id", "url", "html").mapInArrow(_token_rows, "host string, kind string, token string, pages long, sum1 long, sum2 long, mass long, once boolean")
-    vectors = rows.groupBy("host", "kind", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "sum1", "sum2", "mass")), F.min("once").alias("once"))
+    """t_host, slots, texts. Copies of a page count once, as what they share is no template. A token is the template's if it is on a share of the host's pages
+    or of the pages of one layout, so that a group is as large as a few pages, however many it has."""
+    rows = pages.select("url", "html").mapInArrow(_page_rows, "host string, content binary, tokens binary").dropDuplicates(["host", "content"])
+    rows = rows.mapInArrow(_token_rows, "host string, layout long, kind string, token binary, path string, pages long, sum1 long, sum2 long, mass long, once boolean")
+    sums = [*(F.sum(c).alias(c) for c in _SUMS), F.min("once").alias("once")]
+    vectors = rows.groupBy("host", "layout", "kind", "token", "path").agg(*sums)
+    # A token with its layouts, so that texts that few pages have go before anything is written.
+    vectors = vectors.groupBy("host", "kind", "token", "path").agg(*sums, F.collect_list(F.struct("layout", *_SUMS, "once")).alias("parts")).where((F.col("kind") != "t") | (F.col("pages") >= least))
+    vectors = vectors.select("host", "kind", "token", "path", F.explode(F.concat(F.array(F.struct(F.lit(0).cast("long").alias("layout"), *_SUMS, "once")), "parts")).alias("part")).select("host", "kind", "token", "path", "part.*")
     vectors = materialize(vectors, "template-vectors")
-    n = vectors.where("kind = 'n'").select(F.col("host").alias("n_host"), F.col("pages").alias("n"))
-    frequent = vectors.join(n, F.col("host").eqNullSafe(F.col("n_host"))).where(F.col("pages") >= share * F.col("n")).drop("n_host", "n")
+    n = vectors.where("kind = 'n'").select(F.col("host").alias("n_host"), F.col("layout").alias("n_layout"), F.col("pages").alias("n"))
+    frequent = vectors.where("kind != 'n' and layout = 0").join(n, F.col("host").eqNullSafe(F.col("n_host")) & (F.col("layout") == F.col("n_layout")))
+    frequent = frequent.where((F.col("pages") >= share * F.col("n")) & ((F.col("kind") != "t") | (F.col("pages") >= least))).drop("n_host", "n_layout")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        slot, texts = _template(pdf, least, share)
+        slot, texts = _template(pdf)
         return pd.DataFrame({"t_host": [pdf["host"].iloc[0]], "slot": [slot], "texts": [texts]})
 
-    return frequent.groupBy("host").applyInPandas(one, "t_host string, slot string, texts array<string>")
+    found = frequent.groupBy("host", "layout").applyInPandas(one, "t_host string, slot string, texts array<binary>")
+    return found.groupBy("t_host").agg(F.sort_array(F.collect_set("slot")).alias("slots"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("texts")))).alias("texts"))
 
 
-def main_text(page: str | None, slot: str | None, texts: frozenset[str]) -> str:
+def main_text(page: str | None, slots, texts: frozenset[bytes]) -> str:
+    """The page's text in that of the slots which holds most of it, without the template's texts; by tag names, or whole, where it has no slot."""
     _, blocks = read_page(page)
-    named = any(re.search(r"/(article|main)\b", path) for path, _, _, _ in blocks)
-    least = _OUT
-    if named:
-        inside = lambda path: re.search(r"/(article|main)\b", path)
-    elif slot and any(path == slot or path.startswith(slot + "/") for path, _, _, _ in blocks):
+    blocks = [(path, text, linked, no) for path, text, linked, no in blocks if no != _OUT and (not texts or text_key(path, text) not in texts)]
+    mass = {s: sum(max(0, len(text) - 2 * linked) for path, text, linked, _ in blocks if path == s or path.startswith(s + "/")) for s in slots or ()}
+    slot = max(mass, key=lambda s: (mass[s], s), default=None)
+    if slot is not None and mass[slot]:
         inside = lambda path: path == slot or path.startswith(slot + "/")
+    elif any(_NAMED.search(path) for path, _, _, _ in blocks):
+        inside = _NAMED.search
     else:
-        inside, least = lambda path: True, _OUTSIDE
-    return " ".join(text for path, text, _, no in blocks if no < least and inside(path) and f"{path}\n{text}" not in texts)
+        return " ".join(text for _, text, _, no in blocks if no == _KEPT)
+    return " ".join(text for path, text, _, _ in blocks if inside(path))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -249,16 +305,16 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         known: dict[tuple, frozenset] = {}
         for b in it:
             out = []
-            for page, slot, texts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for page, slots, texts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 key = tuple(texts or ())
                 if key not in known:
                     known = {} if len(known) > 256 else known
                     known[key] = frozenset(key)
-                out.append(main_text(page, slot, known[key]))
+                out.append(main_text(page, slots, known[key]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     own = pages.select("page_id", "url", "html", F.lower(F.when(F.col("url").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#]*)", 1)).otherwise(F.element_at(F.split("url", "/"), 1))).alias("host"))
-    joined = own.join(templates, F.col("host").eqNullSafe(F.col("t_host")), "left").select("page_id", "url", "html", "slot", "texts")
+    joined = own.join(templates, F.col("host").eqNullSafe(F.col("t_host")), "left").select("page_id", "url", "html", "slots", "texts")
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(extract, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 

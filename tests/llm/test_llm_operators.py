@@ -273,6 +273,16 @@ def test_html_template_of_a_host_without_article(spark):
     assert html_template.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_template_inside_main(spark):
+    page = lambda i, own: f"<html><body><main><div class=box><p>Share this page</p></div><h1>Head {i}</h1><p>{own}</p><div class=more><p>Read more on our site</p></div></main><article class=teaser><p>Teaser {i}</p></article></body>"
+    rows = [(i, f"https://m.example/{i}", page(i, f"Story {i} tells of {'x' * i} things that no other page of the host has")) for i in range(8)]
+    rows += [(20 + i, f"https://copies.example/{i}", page(0, "The same story at many addresses")) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.extract_main_text(df).collect()}
+    assert got[3] == "Head 3 Story 3 tells of xxx things that no other page of the host has"
+    assert "Head 0 The same story at many addresses" in got[22]  # what copies share is no template
+
+
 def test_toxicity(spark, docs, none):
     rnd = random.Random(9)
     clean = lambda: " ".join(rnd.choice(["river", "stone", "house", "window", "garden", "bread", "letter"]) for _ in range(60))
