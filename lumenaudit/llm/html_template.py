@@ -198,8 +198,6 @@ def _page_rows(it):
                 if no != _OUT:
                     size = max(0, len(text) - 2 * linked)
                     mass[path] += size
-                    if len(text) > 2_000:
-                        continue
                     row = texts.setdefault(text_key(path, text), [path, 0, 0])
                     row[1] += 1
                     row[2] += size
@@ -271,7 +269,7 @@ def deduce_templates(pages: DataFrame, least: int = 3, share: float = 0.5) -> Da
     vectors = vectors.select("host", "kind", "token", "path", F.explode(F.concat(F.array(F.struct(F.lit(0).cast("long").alias("layout"), *_SUMS, "once")), "parts")).alias("part")).select("host", "kind", "token", "path", "part.*")
     vectors = materialize(vectors, "template-vectors")
     n = vectors.where("kind = 'n'").select(F.col("host").alias("n_host"), F.col("layout").alias("n_layout"), F.col("pages").alias("n"))
-    frequent = vectors.where("kind != 'n' and layout = 0").join(n, F.col("host").eqNullSafe(F.col("n_host")) & (F.col("layout") == F.col("n_layout")))
+    frequent = vectors.where("kind != 'n'").join(n, F.col("host").eqNullSafe(F.col("n_host")) & (F.col("layout") == F.col("n_layout")))
     frequent = frequent.where((F.col("pages") >= share * F.col("n")) & ((F.col("kind") != "t") | (F.col("pages") >= least))).drop("n_host", "n_layout")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

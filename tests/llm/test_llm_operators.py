@@ -283,6 +283,13 @@ def test_html_template_inside_main(spark):
     assert "Head 0 The same story at many addresses" in got[22]  # what copies share is no template
 
 
+def test_html_template_of_layouts_and_long_texts(spark):
+    terms = "These are the terms of the site. " * 100
+    rows = [(i, f"https://h.example/{i}", f"<body><div class=l{'abc'[i % 3]}><div class=text><p>Body {i} of x{'y' * i} its own</p><p>Welcome to part {i % 3}</p><div class=end><p>{terms}{i % 3}</p></div></div></div></body>") for i in range(18)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in html_template.extract_main_text(df).collect()} == {f"Body {i} of x{'y' * i} its own" for i in range(18)}
+
+
 def test_toxicity(spark, docs, none):
     rnd = random.Random(9)
     clean = lambda: " ".join(rnd.choice(["river", "stone", "house", "window", "garden", "bread", "letter"]) for _ in range(60))
