@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import linear_logit
+from .metrics import roc_auc, youden_threshold
+from .relational import stratified_folds
 
 
 def fit_standardiser(df: DataFrame, vector: str) -> DataFrame:
@@ -34,10 +38,55 @@ def fit_probe(df: DataFrame, vector: str, label: str, components: int, c: float)
     return {"mean": mean, "std": std, "weights": [float(w) for w in weights], "bias": float(model.intercept), "pca": pca, "model": model}
 
 
-def head_parity(df: DataFrame, vector: str, head: dict) -> DataFrame:
-    """One row: the largest difference between the chain of models and the one dot product."""
+def choose_probe(df: DataFrame, vector: str, label: str, key: str, k: int = 5, seed: int = 0) -> tuple[int, float, float]:
+    """(components, C, mean AUC of the held-out folds) of the best pair of the grid. Components are nested, so one PCA serves a fold; all its models score the held-out rows at once."""
+    s = sorted(fit_standardiser(df, vector).collect())
+    z = stratified_folds(_standardised(df, vector, [r.mean for r in s], [r.std for r in s]), label, key, k, seed).select("z", F.col(label), "fold").cache()
+    grid = probe_grid(len(s))
+    most = max(n for n, _ in grid)
+    scored = []
+    try:
+        for fold in range(k):
+            rows = z.where(F.col("fold") != fold)
+            pca = PCA(k=most, inputCol="z", outputCol="components").fit(rows)
+            parts = {n: VectorSlicer(inputCol="components", outputCol="features", indices=list(range(n))).transform(pca.transform(rows)).select("features", label).cache() for n in sorted({n for n, _ in grid})}
+            size = rows.count()
+
+            def one(pair, parts=parts, size=size, pc=pca.pc.toArray()):
+                n, c = pair
+                model = LogisticRegression(labelCol=label, regParam=1 / (c * size), elasticNetParam=0.0, standardization=False, maxIter=100).fit(parts[n])
+                return n, c, [float(w) for w in pc[:, :n] @ model.coefficients.toArray()], float(model.intercept)
+
+            with ThreadPool(8) as pool:
+                models = pool.map(one, grid)
+            held = z.where(F.col("fold") == fold).select(F.col(label), "fold", vector_to_array("z").alias("z"))
+            models = df.sparkSession.createDataFrame(models, "components int, c double, weights array<double>, bias double")
+            logit = F.aggregate(F.zip_with("z", "weights", lambda a, b: a * b), F.col("bias"), lambda acc, x: acc + x)
+            auc = roc_auc(held.crossJoin(F.broadcast(models)).withColumn("p", logit), label, "p", ["fold", "components", "c"])  # the grid is a table of constant size
+            scored += auc.where(F.col("auc").isNotNull()).collect()
+            for part in parts.values():
+                part.unpersist()
+    finally:
+        z.unpersist()
+    of: dict[tuple[int, float], list[float]] = {}
+    for r in scored:
+        of.setdefault((r.components, r.c), []).append(r.auc)
+    if not of:
+        raise ValueError("no fold has both classes")
+    mean = {pair: sum(x) / len(x) for pair, x in of.items()}
+    best = max(mean, key=lambda pair: (round(mean[pair], 12), -pair[0], -pair[1]))
+    return *best, mean[best]
+
+
+def operating_threshold(val: DataFrame, label: str, score: str) -> float:
+    return float(youden_threshold(val, label, score).first()["threshold"])
+
+
+def head_parity(df: DataFrame, vector: str, head: dict, most: float = 1e-6) -> DataFrame:
+    """One row: the largest difference between the chain of models and the one dot product; the job fails if it is above the bound."""
     chain = head["model"].transform(head["pca"].transform(_standardised(df, vector, head["mean"], head["std"]))).withColumn("chain", vector_to_array("rawPrediction")[1])
-    return chain.agg(F.max(F.abs(F.col("chain") - linear_logit(F.col(vector), head["weights"], head["bias"], head["mean"], head["std"]))).alias("drift"))
+    drift = chain.agg(F.max(F.abs(F.col("chain") - linear_logit(F.col(vector), head["weights"], head["bias"], head["mean"], head["std"]))).alias("drift"))
+    return drift.select(F.when(F.col("drift") > most, F.raise_error(F.concat(F.lit("the head disagrees with the chain of models: "), F.col("drift").cast("string"))).cast("double")).otherwise(F.col("drift")).alias("drift"))
 
 
 def probe_grid(dims: int) -> list[tuple[int, float]]:
@@ -45,8 +94,10 @@ def probe_grid(dims: int) -> list[tuple[int, float]]:
     return [(n, 10 ** (-3 + 5 * i / 9)) for n in (8, 16, 32, 64, 128) if n <= dims for i in range(10)]
 
 
-def fit_combiner(wide: DataFrame, features: list[str], label: str, c: float = 1.0) -> dict:
-    rows = wide.dropna(subset=features).withColumn("features", array_to_vector(F.array(*[F.col(f).cast("double") for f in features])))
+def fit_combiner(wide: DataFrame, features: list[str], label: str, c: float = 1.0, split: str = "val") -> dict:
+    """Logistic weights and threshold from the complete rows of one split only."""
+    rows = wide.where(F.col("split") == split).dropna(subset=features).withColumn("features", array_to_vector(F.array(*[F.col(f).cast("double") for f in features])))
     n = rows.count()
     model = LogisticRegression(labelCol=label, regParam=1 / (c * max(n, 1)), standardization=False, maxIter=100).fit(rows)
-    return {"features": tuple(features), "weights": tuple(map(float, model.coefficients)), "intercept": float(model.intercept), "threshold": 0.5, "n": n}
+    threshold = operating_threshold(model.transform(rows).withColumn("p", vector_to_array("probability")[1]), label, "p")
+    return {"features": tuple(features), "weights": tuple(map(float, model.coefficients)), "intercept": float(model.intercept), "threshold": threshold, "n": n}

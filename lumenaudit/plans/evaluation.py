@@ -183,23 +183,33 @@ def _(spark, sf):
     return T.fit_standardiser(train_vectors(spark, sf), "embedding").select("dim", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
+def all_vectors(spark, sf: str) -> DataFrame:
+    return t(spark, sf, "embeddings").withColumn("y", (F.col("label") < 5).cast("int")).withColumn("split", C.assign_split(F.col("vec_id").cast("string")))
+
+
 @query("t2_probe")
 def _(spark, sf):
-    head = T.fit_probe(train_vectors(spark, sf), "embedding", "y", 16, 0.1)
-    e = t(spark, sf, "embeddings").withColumn("y", (F.col("label") < 5).cast("int")).withColumn("split", C.assign_split(F.col("vec_id").cast("string")))
-    p = C.sigmoid(C.linear_logit(F.col("embedding"), head["weights"], head["bias"], head["mean"], head["std"]))
-    return M.roc_auc(e.withColumn("p", p), "y", "p", ["split"])
+    d = train_vectors(spark, sf)
+    components, c, cv_auc = T.choose_probe(d, "embedding", "y", "vec_id")
+    head = T.fit_probe(d, "embedding", "y", components, c)
+    e = all_vectors(spark, sf).withColumn("p", C.sigmoid(C.linear_logit(F.col("embedding"), head["weights"], head["bias"], head["mean"], head["std"])))
+    threshold = T.operating_threshold(S.filter_splits(e, ["val"]), "y", "p")
+    hit = e.groupBy("split").agg(F.avg(((F.col("p") >= threshold).cast("int") == F.col("y")).cast("double")).alias("accuracy"))
+    chosen = {"components": components, "c": c, "cv_auc": cv_auc, "threshold": threshold}
+    return M.roc_auc(e, "y", "p", ["split"]).join(hit, "split").select("*", *[F.lit(v).alias(k) for k, v in chosen.items()])
 
 
 @query("t3_head_parity")
 def _(spark, sf):
     d = train_vectors(spark, sf)
-    return T.head_parity(d, "embedding", T.fit_probe(d, "embedding", "y", 16, 0.1))
+    components, c, _auc_of_folds = T.choose_probe(d, "embedding", "y", "vec_id")
+    return T.head_parity(S.filter_splits(all_vectors(spark, sf), ["test"]), "embedding", T.fit_probe(d, "embedding", "y", components, c))
 
 
 @query("t4_combiner")
 def _(spark, sf):
     wide = R.complete_rows(labelled_signals(spark, sf), "media", "signal", "s", TYPES).withColumn("y", (F.floor(F.col("media") / 1000) % 2).cast("int"))
+    wide = wide.withColumn("split", C.assign_split(F.col("media").cast("string")))
     c = T.fit_combiner(wide, TYPES, "y")
-    logit = C.linear_logit(F.array(*TYPES), c["weights"], c["intercept"])
-    return wide.select("media", C.sigmoid(logit).alias("p"))
+    p = C.sigmoid(C.linear_logit(F.array(*TYPES), c["weights"], c["intercept"]))
+    return wide.select("media", "split", p.alias("p")).withColumn("fake", F.col("p") >= c["threshold"])

@@ -1,12 +1,13 @@
 """Values and edge cases of the library's operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumenaudit.functions import columns as C
-from lumenaudit.operators import explain, fusion, metrics, provenance, relational, signals
+from lumenaudit.operators import explain, fusion, metrics, provenance, relational, signals, training
 from lumenaudit.sources import tables
 from lumenaudit.streaming import admission, incremental
 
@@ -143,3 +144,19 @@ def test_streams(spark, tmp_path):
     q = admission.admit_stream(stream, "k", "ts", "i", 2, 60).writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.i, r.admitted) for r in spark.table("admitted").collect()) == [(0, True), (1, True), (2, False), (3, True)]
+
+
+def test_probe_is_chosen_by_folds_and_combiner_fits_on_val(spark):
+    rnd = random.Random(3)
+    rows = [(i, [rnd.gauss(0, 1) + (2 * (i % 2) if d == 5 else 0) for d in range(8)], i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int")
+    components, c, auc = training.choose_probe(df, "v", "y", "id")
+    assert (components, c) in training.probe_grid(8) and 0.8 < auc < 1
+    head = training.fit_probe(df, "v", "y", components, c)
+    assert training.head_parity(df, "v", head).first()["drift"] < 1e-6
+    with pytest.raises(Exception, match="disagrees"):
+        training.head_parity(df, "v", head | {"bias": head["bias"] + 1}).collect()
+    # Rows of other splits say the opposite of those of val.
+    signals = [(i, rnd.random() + (y if split == "val" else -y), split, y) for i in range(90) for split in ("val", "train", "test") for y in (i % 2,)]
+    fit = training.fit_combiner(spark.createDataFrame(signals, "media long, a double, split string, y int"), ["a"], "y")
+    assert fit["n"] == 90 and fit["weights"][0] > 0 and fit["threshold"] != 0.5
