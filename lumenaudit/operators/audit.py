@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import roc_auc
-from .relational import shuffle_key, stratified_folds
+from .relational import stratified_folds
 
 
 def by_scope(df: DataFrame, domain: str, everything: str = "ALL") -> DataFrame:
@@ -24,33 +24,67 @@ def audit_verdict(auc: Column, tier: str) -> Column:
     return F.when(auc >= 0.85, "HIGH").when(auc >= 0.65, "MODERATE").otherwise("LOW")
 
 
+#: Features of a tier: numbers, and columns of which each value is a feature of its own.
+Tier = tuple[list[str], list[str]]
+
+
+def _one_hot(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """(df with a 0/1 column for every value, name of the feature by column); the values of such a property are few."""
+    names = {}
+    for c in columns:
+        for i, v in enumerate(sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())):
+            names[f"_{c}_{i}"] = f"{c}={v}"
+            df = df.withColumn(f"_{c}_{i}", F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)))
+    return df, names
+
+
 def _fit(train: DataFrame, features: list[str], label: str, seed: int):
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
     return assembler, GBTClassifier(labelCol=label, maxIter=10, maxDepth=3, seed=seed).fit(assembler.transform(train))
 
 
-def separability(df: DataFrame, features: list[str], label: str, key: str, k: int = 3, seed: int = 42) -> DataFrame:
-    """fold, auc of boosted trees on the features, each fold scored by trees fitted on the others."""
-    folded = stratified_folds(df, label, key, k, seed).withColumn(label, F.col(label).cast("double"))
-    scored = None
-    for fold in range(k):
-        assembler, model = _fit(folded.where(F.col("fold") != fold), features, label, seed)
-        part = model.transform(assembler.transform(folded.where(F.col("fold") == fold))).select("fold", F.col(label), vector_to_array("probability")[1].alias("p"))
-        scored = part if scored is None else scored.unionByName(part)
-    return roc_auc(scored, label, "p", ["fold"]).select("fold", "auc")
-
-
-def permutation_importance(df: DataFrame, features: list[str], label: str, key: str, repeats: int = 2, seed: int = 42) -> DataFrame:
-    """feature, drop: mean loss of AUC where one feature's values are dealt anew among the rows, by rank of a hash."""
-    d = df.withColumn(label, F.col(label).cast("double"))
-    assembler, model = _fit(d, features, label, seed)
-    score = lambda x: roc_auc(model.transform(assembler.transform(x)).select(label, vector_to_array("probability")[1].alias("p")), label, "p").select("auc")
-    base = score(d).withColumnRenamed("auc", "base")
-    out = None
-    for f in features:
-        for r in range(repeats):
-            own = d.withColumn("_i", F.row_number().over(Window.orderBy(key)))
-            other = d.select(F.col(f).alias("_f"), F.row_number().over(Window.orderBy(shuffle_key(seed + r, key), key)).alias("_i"))
-            part = score(own.join(other, "_i").withColumn(f, F.col("_f"))).withColumn("feature", F.lit(f))
-            out = part if out is None else out.unionByName(part)
-    return out.join(base, how="inner").groupBy("feature").agg(F.avg(F.col("base") - F.col("auc")).alias("drop"))
+_TIERS = "tier string, n long, folds int, auc_mean double, auc_std double, error string"
+
+
+def separability(df: DataFrame, tiers: dict[str, Tier], label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """tier, n, folds, mean and deviation of the folds' AUC of boosted trees on the tier's features, each fold scored by trees fitted on the others."""
+    sizes = dict(df.where(F.col(label).isNotNull()).groupBy(label).count().collect())
+    n, k = sum(sizes.values()), min(k, min(sizes.values(), default=0))
+    error = "only one class present" if len(sizes) < 2 else "too few samples in minority class for CV" if k < 2 else None
+    if error:
+        return df.sparkSession.createDataFrame([(tier, n, None, None, None, error) for tier in tiers], _TIERS)
+    hot, _names = _one_hot(df, sorted({c for _, columns in tiers.values() for c in columns}))
+    folded = stratified_folds(hot.where(F.col(label).isNotNull()), label, key, k, seed).withColumn(label, F.col(label).cast("double")).cache()
+    out = []
+    for tier, (numbers, columns) in tiers.items():
+        features = numbers + [f for f, name in _names.items() if name.split("=")[0] in columns]
+        scored = None
+        for fold in range(k):
+            _, model = _fit(folded.where(F.col("fold") != fold), features, label, seed)
+            held = folded.where(F.col("fold") == fold).dropna(subset=features).select("fold", label, array_to_vector(F.array(*[F.col(f).cast("double") for f in features])).alias("features"))
+            part = model.transform(held).select("fold", F.col(label), vector_to_array("probability")[1].alias("p"))
+            scored = part if scored is None else scored.unionByName(part)
+        r = roc_auc(scored, label, "p", ["fold"]).agg(F.count("auc").cast("int"), F.avg("auc"), F.stddev_pop("auc")).first()
+        out.append((tier, n, *r, None))
+    folded.unpersist()
+    return df.sparkSession.createDataFrame(out, _TIERS)
+
+
+def permutation_importance(df: DataFrame, tier: Tier, label: str, key: str, repeats: int = 5, seed: int = 42) -> DataFrame:
+    """feature, drop: mean loss of AUC where one feature's values are dealt anew among the rows, by rank of a hash; each value of a one-hot column is a feature."""
+    hot, names = _one_hot(df, tier[1])
+    features = tier[0] + list(names)
+    d = hot.select(key, F.col(label).cast("double").alias(label), *features).dropna(subset=features).cache()
+    _, model = _fit(d, features, label, seed)
+    predicted = lambda x, *by: model.transform(x.withColumn("features", array_to_vector("_x"))).select(*by, label, vector_to_array("probability")[1].alias("p"))
+    # Values as one array: a column for each would make plans of very many constraints.
+    own = d.select(key, label, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"), F.row_number().over(Window.orderBy(key)).alias("_i")).cache()
+    base = roc_auc(predicted(own), label, "p").first()["auc"]
+    at = own.select(key, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r"), F.col("_x").alias("_o"))
+    seeded = F.md5(F.concat((F.col("_r") + seed).cast("string"), F.lit("|"), F.col(key).cast("string")))  # shuffle_key of each repeat
+    other = at.select("_r", "_o", F.row_number().over(Window.partitionBy("_r").orderBy(seeded, key)).alias("_i"))
+    dealt = own.join(other, "_i").withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    dealt = dealt.select(label, "_r", "_f", F.transform("_x", lambda v, i: F.when(i == F.col("_f"), F.get("_o", i)).otherwise(v)).alias("_x"))
+    auc = roc_auc(predicted(dealt, "_r", "_f"), label, "p", ["_r", "_f"])
+    called = F.array(*[F.lit(names.get(f, f)) for f in features])
+    return auc.groupBy(F.get(called, F.col("_f")).alias("feature")).agg(F.avg(F.lit(base) - F.col("auc")).alias("drop"))

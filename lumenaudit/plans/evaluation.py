@@ -146,7 +146,7 @@ _PROPS = "(SELECT doc_id, lang, quality AS y, {0}::DOUBLE AS s FROM documents JO
 
 def labelled_documents(spark, sf: str) -> DataFrame:
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
-    return d.select("doc_id", "lang", F.col("quality").alias("y"), F.col("n_chars").cast("double").alias("chars"), F.size(F.split("text", " ")).cast("double").alias("words"), F.size(F.split("text", "\n")).cast("double").alias("lines"))
+    return d.select("doc_id", "lang", "source", F.col("quality").alias("y"), F.col("n_chars").cast("double").alias("chars"), F.size(F.split("text", " ")).cast("double").alias("words"), F.size(F.split("text", "\n")).cast("double").alias("lines"))
 
 
 @query("d5_audit_verdict", "SELECT 'chars' AS feature, round(auc, 6) AS auc, CASE WHEN a >= .9 THEN 'BROKEN' WHEN a >= .75 THEN 'SEVERE' WHEN a >= .6 THEN 'MODERATE' ELSE 'OK' END AS verdict FROM (SELECT auc, greatest(auc, 1 - auc) AS a FROM " + _auc("", _PROPS.format("n_chars")) + ")")
@@ -160,14 +160,18 @@ def _(spark, sf):
     return M.roc_auc(D.by_scope(labelled_documents(spark, sf), "lang"), "y", "chars", ["scope"]).select("scope", r6("auc").alias("auc"))
 
 
+#: Numbers and one-hot columns of each tier.
+_TIERS = {"container": (["chars"], ["lang", "source"]), "content_stats": (["words", "lines"], []), "both": (["chars", "words", "lines"], ["lang", "source"])}
+
+
 @query("d3_separability")
 def _(spark, sf):
-    return D.separability(labelled_documents(spark, sf), ["chars", "words", "lines"], "y", "doc_id")
+    return D.separability(labelled_documents(spark, sf), _TIERS, "y", "doc_id")
 
 
 @query("d4_permutation_importance")
 def _(spark, sf):
-    return D.permutation_importance(labelled_documents(spark, sf), ["chars", "words", "lines"], "y", "doc_id", 1)
+    return D.permutation_importance(labelled_documents(spark, sf), _TIERS["both"], "y", "doc_id", 5)
 
 
 _TRAIN = f"(SELECT * FROM (SELECT *, {_BUCKET_SQL.format('vec_id::VARCHAR')} AS b FROM embeddings) WHERE b < 0.7)"

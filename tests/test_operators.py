@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenaudit.functions import columns as C
-from lumenaudit.operators import explain, fusion, metrics, provenance, relational, signals, training
+from lumenaudit.operators import audit, explain, fusion, metrics, provenance, relational, signals, training
 from lumenaudit.sources import tables
 from lumenaudit.streaming import admission, incremental
 
@@ -160,3 +160,13 @@ def test_probe_is_chosen_by_folds_and_combiner_fits_on_val(spark):
     signals = [(i, rnd.random() + (y if split == "val" else -y), split, y) for i in range(90) for split in ("val", "train", "test") for y in (i % 2,)]
     fit = training.fit_combiner(spark.createDataFrame(signals, "media long, a double, split string, y int"), ["a"], "y")
     assert fit["n"] == 90 and fit["weights"][0] > 0 and fit["threshold"] != 0.5
+
+
+def test_class_told_by_a_category_is_detected(spark):
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(i, ("png", "jpg")[i % 2], rnd.random(), i % 2) for i in range(60)], "id long, format string, size double, y int")
+    got = {r.tier: r for r in audit.separability(df, {"container": (["size"], ["format"]), "content": (["size"], [])}, "y", "id").collect()}
+    assert got["container"].auc_mean == 1 and got["container"].folds == 5 and got["content"].auc_mean < 0.8 and got["content"].auc_std > 0
+    drop = {r.feature: r["drop"] for r in audit.permutation_importance(df, (["size"], ["format"]), "y", "id").collect()}
+    assert set(drop) == {"size", "format=jpg", "format=png"} and max(drop["format=jpg"], drop["format=png"]) > 0.2
+    assert audit.separability(df.where("y = 1"), {"all": (["size"], [])}, "y", "id").first()["error"] == "only one class present"
