@@ -15,11 +15,13 @@ _own_scratch: str | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder that the cluster names: spark.checkpoint.dir, else the context's own checkpoint folder. A temporary one serves local masters only (tests)."""
     global _own_scratch
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_scratch is None:
         _own_scratch = tempfile.mkdtemp(prefix="spark-lumenaudit-", dir="/tmp")
     return _own_scratch
@@ -39,11 +41,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by materialize() that no later plan reads."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        delete_path(df.sparkSession, path)
+def discard(*dfs: DataFrame) -> None:
+    """Delete tables made by materialize() that no later plan reads."""
+    for df in dfs:
+        path = getattr(df, "_scratch", None)
+        if path:
+            delete_path(df.sparkSession, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -63,3 +66,11 @@ def tokenizer_path(name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """name, or the first of name_, name__, ... that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, free_name, materialize
 
 #: Weights of the sources in code-point order, repeating; and the most often that a source may be repeated.
 WEIGHTS = (5, 2, 1)
@@ -57,10 +57,17 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS)
     The budget floor(target) is taken as whole epochs over the source and then, in hash order, up to the exact word.
     """
     sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    return _placed(sizes, weights, max_epochs).select("doc_id", "source", "size", "source_size", "target", "before", "budget", "epochs", "rest", "taken")
+
+
+def _random_key(doc_id: Column) -> Column:
+    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+
+
+def _placed(sizes: DataFrame, weights, max_epochs: int) -> DataFrame:
     targets = materialize(source_targets(sizes, weights, max_epochs), "mix-targets")
     n_buckets = max(1, int(sizes.count() ** 0.5))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keyed = sizes.withColumn("key", key).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(2**32)).cast("int"))
+    keyed = sizes.withColumn("key", _random_key(F.col("doc_id"))).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(2**32)).cast("int"))
     totals = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("bucket_before"))
@@ -79,14 +86,34 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS)
         .withColumn("epochs", epochs)
         .withColumn("rest", rest)
         .withColumn("taken", F.col("epochs") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("rest") - F.col("before"))))
-        .select("doc_id", "source", "size", "source_size", "target", "before", "budget", "epochs", "rest", "taken")
     )
 
 
+def _once_more() -> Column:
+    """Whether a whole document is taken once more than the epochs: the one that the budget cuts is, if at least half of it is within."""
+    return (F.col("size") > 0) & ((F.col("rest") - F.col("before")) * 2 >= F.col("size"))
+
+
 def copies_of(mixed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of keep, copies: the mix in whole documents. The document that the budget cuts is taken whole if the cut leaves at least half of it."""
-    half = (F.col("rest") - F.col("before")) * 2 >= F.col("size")
-    return mixed.select("doc_id", *keep, (F.col("epochs") + F.when((F.col("size") > 0) & half, 1).otherwise(0)).cast("int").alias("copies"))
+    """doc_id, the columns of keep, copies: the mix in whole documents."""
+    return mixed.select("doc_id", *keep, (F.col("epochs") + _once_more().cast("int")).cast("int").alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Rows of docs as often as the mix takes them whole.
+
+    In a source's hash order all rows up to the cut are taken once more, so the cut, one row a source, is all that the texts have to meet: they are not shuffled.
+    Rows that are equal in doc_id, source and size are taken together. Columns of docs may have any other names.
+    """
+    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    place = F.struct("key", "doc_id", "size")
+    cuts = _placed(sizes, weights, max_epochs).groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(_once_more(), place)).alias("cut"))
+    cuts = materialize(cuts, "mix-cuts")
+    source, cut, epochs, size = (free_name(f"mix_{c}", docs) for c in ("source", "cut", "epochs", "size"))
+    own = F.struct(_random_key(F.col("doc_id")).alias("key"), F.col("doc_id"), F.col(size).alias("size"))
+    copies = F.col(epochs) + F.coalesce((F.col(size) > 0) & (own <= F.col(cut)), F.lit(False)).cast("long")
+    met = docs.join(cuts.toDF(source, epochs, cut), F.col("source").eqNullSafe(F.col(source))).withColumn(size, word_count(F.col("text")))
+    return met.withColumn(size, copies).where(F.col(size) > 0).withColumn(size, F.explode(F.sequence(F.lit(1).cast("long"), F.col(size)))).select(*docs.columns)
 
 
 OP9_SQL = r"""
