@@ -5,38 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenaudit.llm.common import materialize, table
+from lumenaudit.llm.common import discard, free_name, materialize, table
 from lumenaudit.llm.minhash import near_duplicates
-from lumenaudit.llm.mixing import copies_of, mix_sources, word_count
+from lumenaudit.llm.mixing import mixed_documents
 from lumenaudit.llm.packing import pack_documents
 from lumenaudit.llm.toxicity import score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below 0.5; the model learns from the labels of those at hand."""
-    name = "toxicity"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("toxicity", docs)
     return score_toxicity(docs, table(spark, sf_dir, "labels"), name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-duplicates; of rows with equal doc_id and text, one."""
-    dropped = materialize(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "pipeline-dropped")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "pipeline-repeated")
-    if not repeated.count():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    """Of each group of near-duplicates the row of the smallest doc_id and text; of rows equal in both, one. Only rows that are to go, or occur twice, are joined to the texts."""
+    marks = near_duplicates(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id", F.coalesce("text_md5", F.lit("")).alias("text_md5"))
+    marks = marks.agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("rows")).where(~F.col("first") | (F.col("rows") > 1))
+    key = free_name("text_md5", docs)
+    marks = materialize(marks.withColumnRenamed("text_md5", key), "pipeline-marks")
+    gone, repeated = (marks.where(c).select("doc_id", key) for c in (~F.col("first"), F.col("first")))
+    kept = docs.withColumn(key, F.coalesce(F.md5("text"), F.lit(""))).join(gone, ["doc_id", key], "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, ["doc_id", key], "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(repeated, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes them: sources that are to grow are repeated, others are thinned."""
-    copies = copies_of(mix_sources(docs), keep=("source", "size")).where(F.col("copies") > 0).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    copies = materialize(copies, "pipeline-copies").withColumnsRenamed({c: f"mix_{c}" for c in ("doc_id", "source", "size", "copies")})
-    same = F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (word_count(F.col("text")) == F.col("mix_size"))
-    return docs.join(copies, same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each keeps is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

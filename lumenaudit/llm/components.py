@@ -58,4 +58,7 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
         discard(labels)
         labels = new
         if not changed:
-            return labels.select("node", "component")
+            discard(small)
+            out = labels.select("node", "component")
+            out._scratch = labels._scratch
+            return out

@@ -1,13 +1,14 @@
 """MinHash near-duplicates: banded candidates, odd sketches to verify them, exact confirmation on full shingle sets.
 
-Texts with equal shingle sets are one class; classes are compared by a representative, the smallest doc_id. In each band's bucket every member is first
+Texts with equal shingle sets are one class, a node with a number of its own; its first row is that of the smallest doc_id. In each band's bucket every member is first
 compared with the bucket's smallest (a star); then, where a bucket still holds several components, all pairs between
 them, in blocks of bounded size. Each pair is measured by the odd sketches of its MinHash samples, then by parity bitmaps of the full sets, whose
 bounds leave a true link no room to fail, and what passes is confirmed on the sets themselves.
 
 Defined results: a null, empty or blank text has an empty set and links with nothing; a text of fewer words than a shingle is one
-shingle; repeated rows are one class; a null doc_id gives a null component_id and is kept; an empty table gives an empty result;
-columns other than doc_id and text are not read.
+shingle, however long the text; repeated rows are one class; rows of one doc_id with different texts are linked each by its own text and get the smallest doc_id
+that is reached from it; a null doc_id gives a null component_id and is kept; an empty table gives an empty result; doc_id is a whole number (a string of one is read as
+it); columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import materialize, table
+from .common import discard, materialize, table
 from .components import connected_components
 from .units import block_units, close_pairs, dealt_by, whole_groups
 
@@ -52,17 +53,17 @@ def _signatures(it):
                 at = first + int(some[k])
                 cls[at] = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 keys[at], sketch[at], bitmap[at] = bands[k].tobytes(), odd[k].tobytes(), _bitmap(s)
-        cols = [b.column(0), pa.array(size), *(pa.array(x, pa.binary()) for x in (cls, keys, sketch, bitmap))]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "cls", "keys", "sketch", "bitmap"])
+        cols = [b.column(0), b.column(2), pa.array(size), *(pa.array(x, pa.binary()) for x in (cls, keys, sketch, bitmap))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_md5", "n_shingles", "cls", "keys", "sketch", "bitmap"])
 
 
 def _band_rows(it):
-    """(band, key, rep) of each representative."""
+    """(band, key, node) of each class."""
     for b in it:
         if b.num_rows:
             keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(S.BANDS, dtype=np.int32), b.num_rows)), pa.array(keys), pa.array(np.repeat(np.asarray(b.column(0)), S.BANDS))], ["band", "key", "rep"]
+                [pa.array(np.tile(np.arange(S.BANDS, dtype=np.int32), b.num_rows)), pa.array(keys), pa.array(np.repeat(np.asarray(b.column(0)), S.BANDS))], ["band", "key", "node"]
             )
 
 
@@ -99,7 +100,7 @@ def _open_pairs(it):
     most = S.most_bits(OF / MUST, SIGMAS)
     for rows, heads in whole_groups(it, ["band", "key", "lo", "hi"]):
         n = len(rows)
-        band, rep, comp, size, part, lo, hi = (rows.column(c).to_numpy() for c in ("band", "rep", "component", "n_shingles", "part", "lo", "hi"))
+        band, node, comp, size, part, lo, hi = (rows.column(c).to_numpy() for c in ("band", "node", "component", "n_shingles", "part", "lo", "hi"))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(n, -1)
         keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int64).reshape(n, -1)
         maps = rows.column("bitmap").to_pylist()
@@ -122,7 +123,7 @@ def _open_pairs(it):
             pairs = np.column_stack([i[new], j[new]])
             if len(pairs):
                 pairs = pairs[_plausible(pairs, size, maps)]
-                yield pa.RecordBatch.from_arrays([pa.array(rep[pairs[:, 0]]), pa.array(rep[pairs[:, 1]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["a", "b"])
 
 
 def _full_sets(it):
@@ -131,8 +132,7 @@ def _full_sets(it):
         for first, flat, sizes in S.shingle_sets(b.column(1)):
             for k, s in enumerate(np.split(flat, np.cumsum(sizes)[:-1])):
                 sets[first + k] = s.tobytes()
-        cls = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["rep", "cls", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
 
 def _confirm(it):
@@ -146,38 +146,40 @@ def _confirm(it):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("a_set"))
-    b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("b_set"))
+    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set"))
+    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInArrow(_confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, cls binary, keys binary, sketch binary, bitmap binary"
+    """doc_id, text_md5, n_shingles, component_id, kept, first for every row of docs.
+
+    kept: the row has its component's smallest doc_id. first: it has the component's smallest (doc_id, text_md5) too, so that of each component one text is first.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5("text").alias("text_md5"))
+    schema = "doc_id long, text_md5 string, n_shingles long, cls binary, keys binary, sketch binary, bitmap binary"
     sig = materialize(texts.mapInArrow(_signatures, schema), "minhash-signatures")
     known = sig.where(F.col("doc_id").isNotNull() & F.col("cls").isNotNull())
-    # min_by-free: what belongs to a set is the same in all its rows.
-    reps = materialize(
-        known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"), F.any_value("bitmap").alias("bitmap")),
-        "minhash-classes",
-    )
-    bands = reps.select("rep", "keys").mapInArrow(_band_rows, "band int, key long, rep long")
-    shared = bands.groupBy("band", "key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    # What belongs to a set is the same in all its rows.
+    same = [F.any_value(c).alias(c) for c in ("n_shingles", "keys", "sketch", "bitmap")]
+    reps = known.groupBy("cls").agg(F.min(F.struct("doc_id", "text_md5")).alias("least"), F.count(F.lit(1)).alias("rows"), *same)
+    reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    bands = reps.select("node", "keys").mapInArrow(_band_rows, "band int, key long, node long")
+    shared = bands.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
     members = materialize(bands.join(shared, ["band", "key"]), "minhash-members")
 
-    # The texts of all that share a bucket, once; a repeated doc_id with another text is told apart by its set.
-    in_buckets = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(in_buckets, "doc_id", "left_semi").mapInArrow(_full_sets, "rep long, cls binary, shingles binary")
-    sets = materialize(sets.join(reps.select("rep", "cls"), ["rep", "cls"], "left_semi").dropDuplicates(["rep"]), "minhash-sets")
+    # One text of each class that shares a bucket. Its rows that repeat are together after the join, whose key tells them apart.
+    wanted = members.select("node").distinct().join(reps.select("node", "least.*"), "node")
+    whole = texts.join(wanted, ["doc_id", "text_md5"]).dropDuplicates(["doc_id", "text_md5"]).select("node", "text")
+    sets = materialize(whole.mapInArrow(_full_sets, "node long, shingles binary"), "minhash-sets")
 
     words = [F.conv(F.hex(F.substring("sketch", 1 + 8 * k, 8)), 16, -10).cast("long").alias(f"w{k}") for k in range(S.BITS // 64)]
-    measure = reps.select("rep", "n_shingles", *words)
+    measure = reps.select("node", "n_shingles", *words)
     left, right = (measure.select([F.col(c).alias(f"{side}_{c}") for c in measure.columns]) for side in ("a", "b"))
     odd = sum((F.bit_count(F.col(f"a_w{k}").bitwiseXOR(F.col(f"b_w{k}"))) for k in range(1, S.BITS // 64)), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
     stars = (
-        members.where(F.col("rep") != F.col("head")).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-        .join(left, F.col("a") == F.col("a_rep")).join(right, F.col("b") == F.col("b_rep"))
+        members.where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+        .join(left, F.col("a") == F.col("a_node")).join(right, F.col("b") == F.col("b_node"))
         .where((odd <= S.most_bits(OF / MUST, SIGMAS)) & (OF * F.col("a_n_shingles") <= MUST * F.col("b_n_shingles")) & (OF * F.col("b_n_shingles") <= MUST * F.col("a_n_shingles")))
         .select("a", "b")
     )
@@ -185,22 +187,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = connected_components(star_links, "minhash-first")
 
     # Buckets that still hold several components, in units of at most two blocks.
-    placed = members.join(first, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    placed = members.join(first.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left").withColumn("component", F.coalesce("component", "node")).drop("f_node")
     mixed = placed.groupBy("band", "key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("band", "key")
-    units = block_units(placed.join(mixed, ["band", "key"]), "members", "rep", BLOCK).join(reps.select("rep", "n_shingles", "keys", "sketch", "bitmap"), "rep")
-    dealt = dealt_by(units.select("band", "key", "lo", "hi", "part", "rep", "component", "n_shingles", "keys", "sketch", "bitmap"), ["band", "key", "lo", "hi"], "rep")
+    units = block_units(placed.join(mixed, ["band", "key"]), "members", "node", BLOCK).join(reps.select("node", "n_shingles", "keys", "sketch", "bitmap"), "node")
+    dealt = dealt_by(units.select("band", "key", "lo", "hi", "part", "node", "component", "n_shingles", "keys", "sketch", "bitmap"), ["band", "key", "lo", "hi"], "node")
     open_pairs = dealt.mapInArrow(_open_pairs, "a long, b long")
     more_links = materialize(_confirmed(open_pairs.distinct(), sets), "minhash-more-links")
+    discard(members, sets, first)
     joined = connected_components(star_links.unionAll(more_links), "minhash-all")
-
-    classes = reps.join(joined, F.col("rep") == F.col("node"), "left").where((F.col("rows") > 1) | F.col("component").isNotNull()).select("cls", F.coalesce("component", "rep").alias("class_component"))
-    return sig.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left").select(
+    discard(star_links, more_links)
+
+    linked = joined.join(reps.select("node", "least"), "node")
+    least = linked.groupBy("component").agg(F.min("least").alias("of_all"))
+    linked = linked.join(least, "component").select(F.col("node").alias("l_node"), "of_all")
+    classes = reps.join(linked, F.col("node") == F.col("l_node"), "left").where((F.col("rows") > 1) | F.col("of_all").isNotNull()).select("cls", F.coalesce("of_all", "least").alias("head"))
+    numbered = F.col("doc_id").isNotNull()
+    return sig.select("doc_id", "text_md5", "n_shingles", "cls").join(classes, "cls", "left").select(
         "doc_id",
+        "text_md5",
         "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("class_component", "doc_id"), F.lit(True)).alias("kept"),
+        F.when(numbered, F.coalesce("head.doc_id", "doc_id")).alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.coalesce("head.doc_id", "doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce(~numbered | (F.struct("doc_id", "text_md5") == F.col("head")), F.lit(True)).alias("first"),
     )
 
 
 def op7_minhash_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -190,6 +191,56 @@ def test_minhash_family_of_edited_copies(spark):
     assert got == label
 
 
+def two_texts_of_one_id():
+    rnd = random.Random(8)
+    a, b = (" ".join(f"{k}{rnd.randrange(10**6)}" for _ in range(80)) for k in "ab")
+    return a, b, [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (0, "some other text that is like nothing else here"), (1, a), (7, None), (7, None)]
+
+
+def test_minhash_links_each_text_of_a_repeated_id(spark):
+    a, b, rows = two_texts_of_one_id()
+    got = {(r.doc_id, r.text_md5): r for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k[0]: r.component_id for k, r in got.items()} == {0: 0, 1: 1, 2: 1, 3: 1, 7: 7}
+    assert all(r.component_id == 1 and r.kept for k, r in got.items() if k[0] == 1)
+    assert {k[0] for k, r in got.items() if r.first} == {0, 1, 7}
+    assert all(r.first for k, r in got.items() if k[0] == 1)  # the two texts are groups of their own
+    # A near copy with a smaller id takes one of the two texts with it, not the other.
+    rows = [(0, b + " tail"), (1, a), (1, b)]
+    got = {(r.doc_id, r.text_md5): (r.component_id, r.first) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got == {(0, md5(b + " tail")): (0, True), (1, md5(a)): (1, True), (1, md5(b)): (0, False)}
+
+
+def test_pipeline_drops_rows_not_ids(spark, sf):
+    import corpus_pipeline as P
+
+    a, b, rows = two_texts_of_one_id()
+    rows = [(0, b + " tail"), (1, a), (1, a), (1, b), (None, b), (4, None), (4, None)]
+    d = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, text_md5 string, mix_size int")
+    got = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, d, sf).collect()]
+    assert sorted(got, key=str) == sorted([(0, b + " tail"), (1, a), (None, b), (4, None)], key=str)
+
+
+def test_mixed_documents_equal_the_copies_of_the_mix(spark):
+    rnd = random.Random(12)
+    rows = [(i % 300 if i % 7 else None, " ".join("w" * rnd.randrange(0, 9)), rnd.choice(["a", "b", "c", None]), "x", "y") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_size string, mix_cut string")
+    want = defaultdict(int)
+    for r in mixing.copies_of(mixing.mix_sources(d), keep=("source", "size")).collect():
+        key = (r.doc_id, r.source, r["size"])
+        want[key] = max(want[key], r.copies)
+    rows_of_key = defaultdict(int)
+    for i, t, s, *_ in rows:
+        rows_of_key[i, s, len((t or "").split())] += 1
+    got = defaultdict(int)
+    out = mixing.mixed_documents(d)
+    assert out.columns == d.columns
+    for r in out.collect():
+        got[r.doc_id, r.source, len((r.text or "").split())] += 1
+    assert dict(got) == {k: want[k] * n for k, n in rows_of_key.items() if want[k]}
+    assert mixing.mixed_documents(d.limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long").repartition(7)
     got = {r.node: r.component for r in components.connected_components(e, "test").collect()}
