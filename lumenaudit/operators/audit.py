@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import roc_auc
-from .relational import stratified_folds
+from .relational import hashed_rank, shuffle_key, stratified_folds
 
 
 def by_scope(df: DataFrame, domain: str, everything: str = "ALL") -> DataFrame:
@@ -78,11 +78,12 @@ def permutation_importance(df: DataFrame, tier: Tier, label: str, key: str, repe
     _, model = _fit(d, features, label, seed)
     predicted = lambda x, *by: model.transform(x.withColumn("features", array_to_vector("_x"))).select(*by, label, vector_to_array("probability")[1].alias("p"))
     # Values as one array: a column for each would make plans of very many constraints.
-    own = d.select(key, label, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"), F.row_number().over(Window.orderBy(key)).alias("_i")).cache()
+    own = d.select(key, label, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    own = hashed_rank(own, [], shuffle_key(seed - 1, key), key, "_i").cache()  # numbers in any order serve
     base = roc_auc(predicted(own), label, "p").first()["auc"]
     at = own.select(key, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r"), F.col("_x").alias("_o"))
     seeded = F.md5(F.concat((F.col("_r") + seed).cast("string"), F.lit("|"), F.col(key).cast("string")))  # shuffle_key of each repeat
-    other = at.select("_r", "_o", F.row_number().over(Window.partitionBy("_r").orderBy(seeded, key)).alias("_i"))
+    other = hashed_rank(at, ["_r"], seeded, key, "_i").select("_r", "_o", "_i")
     dealt = own.join(other, "_i").withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
     dealt = dealt.select(label, "_r", "_f", F.transform("_x", lambda v, i: F.when(i == F.col("_f"), F.get("_o", i)).otherwise(v)).alias("_x"))
     auc = roc_auc(predicted(dealt, "_r", "_f"), label, "p", ["_r", "_f"])

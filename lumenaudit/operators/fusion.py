@@ -33,16 +33,21 @@ def pool_weights(spark: SparkSession, pools=POOLS) -> DataFrame:
     return spark.createDataFrame([(s, w, i) for i, (s, w) in enumerate(rows)], "signal string, weight double, pos int")
 
 
+def nominal_weights(signals: DataFrame, weights: DataFrame) -> DataFrame:
+    """signals with the weight of each, applicable or not; unknown ones weigh nothing."""
+    return signals.join(weights.select("signal", "weight"), "signal", "left").fillna(0.0, subset=["weight"])
+
+
 def weighted_mean(signals: DataFrame, weights: DataFrame) -> DataFrame:
     """media, fused, weight_sum over applicable signals; unknown ones weigh nothing. Without weight the sum counts as 1."""
-    s = signals.where("score is not null").join(F.broadcast(weights), "signal", "left").fillna(0.0, subset=["weight"])
+    s = signals.where("score is not null").join(weights, "signal", "left").fillna(0.0, subset=["weight"])
     total = F.sum("weight")
     return s.groupBy("media").agg((F.sum(F.col("score") * F.col("weight")) / F.when(total > 0, total).otherwise(1.0)).alias("fused"), total.alias("weight_sum"))
 
 
 def share_of_weight(signals: DataFrame, weights: DataFrame) -> DataFrame:
     """Applicable signals with their renormalised weight and their position."""
-    s = signals.where("score is not null").join(F.broadcast(weights), "signal", "left").fillna(0.0, subset=["weight"])
+    s = signals.where("score is not null").join(weights, "signal", "left").fillna(0.0, subset=["weight"])
     total = F.sum("weight").over(Window.partitionBy("media"))
     return s.withColumn("weight", F.col("weight") / F.when(total > 0, total).otherwise(1.0))
 

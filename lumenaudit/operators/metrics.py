@@ -1,40 +1,69 @@
-"""Exact ranking metrics by prefix sums over distinct scores, per group."""
+"""Exact ranking metrics by prefix sums over distinct scores, per group.
+
+A prefix sum has two levels: totals of ranges of the score, of which there are at most RANGES a group, and a running sum inside each range. So no task holds all scores.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of a score that prefix sums are taken over.
+RANGES = 128
 
 def _distinct(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """Positives and negatives at each distinct score: what the windows below order is this, not the rows."""
     return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
+def _ranged(df: DataFrame, score: str) -> list[float]:
+    """Bounds between ranges of the score with about equal numbers of rows: at most RANGES - 1 numbers, whatever the table's size."""
+    found = df.agg(F.percentile_approx(F.col(score).cast("double"), [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).first()[0]
+    return sorted({float(x) for x in found or [] if x == x})
+
+
+def _prefix_sums(d: DataFrame, by: list[str], cuts: list[float]) -> DataFrame:
+    """d (by, s, pos, neg) with pos_below, neg_below, the sums over smaller scores, and p, q, the sums over the group."""
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col("s").cast("double")))
+    d = d.withColumn("_range", bucket)
+    group = Window.partitionBy(*[f"_{c}" for c in by])
+    ahead = group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy(*by, "_range").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_range").alias("_at"), "_pos", "_neg")
+    totals = totals.select(*[f"_{c}" for c in by], "_at", *[F.coalesce(F.sum(f"_{x}").over(ahead), F.lit(0)).alias(f"_{x}_ahead") for x in ("pos", "neg")], F.sum("_pos").over(group).alias("p"), F.sum("_neg").over(group).alias("q"))
+    same = F.col("_range") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = Window.partitionBy(*by, "_range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    inner = d.select("*", *[F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(f"_{x}_inside") for x in ("pos", "neg")])
+    below = [(F.col(f"_{x}_inside") + F.col(f"_{x}_ahead")).alias(f"{x}_below") for x in ("pos", "neg")]
+    return inner.join(totals, same).select(*by, "s", "pos", "neg", *below, "p", "q")
+
+
+def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None, cuts: list[float] | None = None) -> DataFrame:
     """auc with ties at half; null where a group has one class."""
     by = by or []
-    below = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    d = _distinct(df, label, score, by).withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    d = _prefix_sums(_distinct(df, label, score, by), by, _ranged(df, score) if cuts is None else cuts)
     return d.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("u")).select(
         *by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc")
     )
 
 
-def roc_pr_curve(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
+def _curve(df: DataFrame, label: str, score: str, by: list[str], cuts: list[float] | None) -> DataFrame:
+    d = _prefix_sums(_distinct(df, label, score, by), by, _ranged(df, score) if cuts is None else cuts).where("p > 0 and q > 0")
+    return d.withColumn("tp", F.col("p") - F.col("pos_below")).withColumn("fp", F.col("q") - F.col("neg_below"))
+
+
+def roc_pr_curve(df: DataFrame, label: str, score: str, by: list[str] | None = None, cuts: list[float] | None = None) -> DataFrame:
     """A point for each distinct score, from the highest: fpr, tpr (recall), precision."""
     by = by or []
-    down = Window.partitionBy(*by).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    d = _distinct(df, label, score, by).select(*by, "s", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("q"))
-    return d.where("p > 0 and q > 0").select(*by, F.col("s").alias("threshold"), "tp", "fp", (F.col("fp") / F.col("q")).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    return _curve(df, label, score, by, cuts).select(*by, F.col("s").alias("threshold"), "tp", "fp", (F.col("fp") / F.col("q")).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
-def average_precision(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
+def average_precision(df: DataFrame, label: str, score: str, by: list[str] | None = None, cuts: list[float] | None = None) -> DataFrame:
+    """Sum over distinct scores of the precision there times the recall that it adds."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy(F.col("threshold").desc())
-    step = F.col("tpr") - F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    return roc_pr_curve(df, label, score, by).withColumn("step", step).groupBy(*by).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
+    gained = F.col("pos") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    return _curve(df, label, score, by, cuts).groupBy(*by).agg(F.sum(gained).alias("average_precision"))
 
 
 def youden_threshold(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
@@ -59,7 +88,8 @@ def headline(df: DataFrame, label: str, score: str, threshold: float, by: list[s
         "*", ((tp + F.col("tn")) / n).alias("accuracy"), (F.greatest(F.col("n_fake"), n - F.col("n_fake")) / n).alias("majority"),
         ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ((tp + fp) / n).alias("predicted_rate"),
     )
-    auc, ap = roc_auc(df, label, score, by).select(*by, "auc"), average_precision(df, label, score, by)
+    cuts = _ranged(df, score)
+    auc, ap = roc_auc(df, label, score, by, cuts).select(*by, "auc"), average_precision(df, label, score, by, cuts)
     if not by:
         return base.join(auc, how="inner").join(ap, how="left")
     return base.join(auc, by, "left").join(ap, by, "left")
@@ -78,15 +108,18 @@ def generator_recall(df: DataFrame, generator: str, score: str, threshold: float
     return df.where(F.col(generator).isNotNull() & (F.col(generator).cast("string") != "")).groupBy(generator).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(score) >= threshold).cast("double")).alias("recall"), F.avg(score).alias("mean_score"))
 
 
-def bootstrap_auc(df: DataFrame, label: str, score: str, key: str, replicates: int, seed: int) -> DataFrame:
-    """low, high: 2.5 and 97.5 percentiles of the AUC over replicates of n draws by hash. Rows are numbered once; a draw is a join on the number.
+def bootstrap_auc(df: DataFrame, label: str, score: str, key: str, replicates: int = 200, seed: int = 7) -> DataFrame:
+    """low, high: 2.5 and 97.5 percentiles of the AUC over replicates of n draws by hash.
 
-    The numbering orders rows without a key, so this is for evaluation sets, as the draws are replicates times their size.
+    Rows are numbered in the order of key (a number) over ranges of it; a draw is a join on the number. Draws are replicates times the rows, made where they are joined.
     """
-    numbered = df.select(F.col(label).alias("y"), F.col(score).alias("s"), F.col(key).alias("k")).withColumn("i", F.row_number().over(Window.orderBy("k")) - 1)
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    draws = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("draw", F.explode(F.expr("sequence(0, cast(n as int) - 1)")))
-    at = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "rep", "draw")), 1, 8), 16, 10).cast("long") % F.col("n")
-    sampled = draws.withColumn("i", at.cast("int")).join(numbered, "i")
-    auc = roc_auc(sampled, "y", "s", ["rep"]).where(F.col("auc").isNotNull())
+    own = df.select(F.col(label).alias("y"), F.col(score).alias("s"), F.col(key).alias("k"))
+    cuts = _ranged(own, "k")
+    counted = _prefix_sums(own.groupBy(F.col("k").alias("s")).agg(F.count(F.lit(1)).alias("pos"), F.lit(0).cast("long").alias("neg")), [], cuts).select(F.col("s").alias("k"), F.col("pos_below").alias("i"))
+    numbered = own.join(counted, "k").withColumn("i", F.col("i") + F.row_number().over(Window.partitionBy("k").orderBy("y", "s")) - 1)
+    n = own.count()
+    draws = df.sparkSession.range(replicates * n).select((F.expr(f"id div {max(n, 1)}")).alias("rep"), (F.col("id") % max(n, 1)).alias("draw"))
+    at = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "rep", "draw")), 1, 8), 16, 10).cast("long") % n
+    sampled = draws.withColumn("i", at).join(numbered, "i")
+    auc = roc_auc(sampled, "y", "s", ["rep"], _ranged(own, "s")).where(F.col("auc").isNotNull())
     return auc.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))

@@ -12,16 +12,29 @@ GENERATORS = (
 )
 DECLARATIONS = ("trainedalgorithmicmedia", "compositesynthetic", "algorithmicmedia")
 SOFTWARE_TAGS = ("Software", "ProcessingSoftware", "HostComputer", "Artist")
+TEXT_KEYS = ("parameters", "prompt", "workflow", "sd-metadata", "software")
+XMP_KEYS = ("xmp", "xml:com.adobe.xmp")
+XMP_PROPERTIES = ("xmp:creatortool", "tiff:software", "dc:creator", "photoshop:credit", "exif:software", "digitalsourcetype")
 CAPTURE_FIELDS = ("ExposureTime", "FNumber", "ISOSpeedRatings", "FocalLength", "DateTimeOriginal")
 
 
-def software_fields(tags: DataFrame, media: str, key: str, value: str, names=SOFTWARE_TAGS) -> DataFrame:
-    return tags.where(F.col(key).isin(*names)).groupBy(media).agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda e: e[value]), " ")).alias("fields"))
+def software_fields(tags: DataFrame, media: str, key: str, value: str, names=SOFTWARE_TAGS, text_keys=TEXT_KEYS, properties=XMP_PROPERTIES) -> DataFrame:
+    """media, fields: what may name the producing tool, in lower case: some tags, text chunks as "key value", and of an XMP payload its software properties only.
+
+    Tags first, then text chunks, then properties in their order. Tags of a file are few, so they are collected.
+    """
+    k = F.lower(F.col(key))
+    field = lambda kind, pos, text: F.struct(F.lit(kind).alias("kind"), F.lit(pos).alias("pos"), F.col(key).alias("key"), text.alias("text"))
+    of_property = lambda pos: lambda v: field(2, pos, v)  # noqa: E731  one parameter: a second would be the element's index
+    in_xmp = [F.transform(xmp_property(F.col(value), p), of_property(i)) for i, p in enumerate(properties)]
+    own = F.when(F.col(key).isin(*names), F.array(field(0, 0, F.col(value)))).when(k.isin(*text_keys), F.array(field(1, 0, F.concat_ws(" ", F.col(key), F.col(value))))).when(k.isin(*XMP_KEYS), F.concat(*in_xmp))
+    rows = tags.select(F.col(media), F.explode(own).alias("f"))
+    return rows.groupBy(media).agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda e: e["text"]), " ")).alias("fields"))
 
 
 def xmp_property(blob: Column, name: str) -> Column:
-    """Values of an XMP property, as an attribute or an element."""
-    return F.concat(F.regexp_extract_all(blob, F.lit(f'(?is){name}="([^"]*)"'), 1), F.regexp_extract_all(blob, F.lit(f"(?is)<{name}>(.*?)</{name}>"), 1))
+    """Values of an XMP property, as an attribute or an element with or without attributes."""
+    return F.concat(F.regexp_extract_all(blob, F.lit(f'(?is){name}\\s*=\\s*"([^"]*)"'), 1), F.regexp_extract_all(blob, F.lit(f"(?is)<{name}(?:\\s[^>]*)?>(.*?)</{name}>"), 1))
 
 
 def match_marker(text: Column, markers=GENERATORS) -> Column:

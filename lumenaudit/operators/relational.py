@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
+#: Rows that share a key of near_pairs, or tiles of one media item, that are compared as one block.
+BLOCK = 512
+
 
 def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), sources)
@@ -21,35 +29,69 @@ def complete_rows(long_df: DataFrame, media: str, signal: str, score: str, requi
     return long_df.where(F.col(signal).isin(*required)).groupBy(media).pivot(signal, required).agg(F.first(score, ignorenulls=True)).dropna(subset=required)
 
 
-def near_pairs(df: DataFrame, id_col: str, hash_col: str, max_distance: int = 4, bands: int = 5, different: str | None = None) -> DataFrame:
-    """(h1, h2, distance) of distinct 64-bit hashes at most max_distance apart, found exactly by equality of one of max_distance+1 bands.
+def near_pairs(df: DataFrame, hash_col: str, max_distance: int = 4, blocks: int = 6, different: str | None = None) -> DataFrame:
+    """(h1, h2, distance) of distinct 64-bit hashes at most max_distance apart, found exactly.
 
-    different: only pairs whose rows have more than one value of that column together. A band value shared by very many hashes is a skewed key,
-    which adaptive execution splits; no pair is lost.
+    The bits are cut into blocks; a pair leaves at least blocks - max_distance of them untouched, so it is equal in the bits of some choice of so many blocks, and is told by
+    the first such choice only. Rows of a choice that no other row has go before the join, and a choice that very many hashes share is compared in parts, each with all.
+    different: only pairs whose rows have more than one value of that column together.
     """
-    if bands <= max_distance:
-        raise ValueError("a pair may differ in every band")
+    if blocks <= max_distance:
+        raise ValueError("a pair may differ in every block")
+    h = F.col(hash_col).alias("h")
+    hashes = df.groupBy(h).agg(F.min(different).alias("lo"), F.max(different).alias("hi")) if different else df.select(h).distinct()
+    hashes = materialize(hashes.where("h is not null"), "near-hashes")
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [((1 << hi) - (1 << lo)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    choices = [signed(sum(masks[k] for k in c)) for c in combinations(range(blocks), blocks - max_distance)]
+    keys = F.array(*[F.struct(F.lit(n).alias("choice"), F.col("h").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for n, m in enumerate(choices)])
+    keyed = hashes.select("*", F.explode(keys).alias("key")).select("key.*", *hashes.columns)
+    shared = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    members = keyed.join(shared.drop("n"), ["choice", "bits"])
+    one = members.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    all_ = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    a, b = (x.select("choice", "bits", "part", *[F.col(c).alias(f"{c}{n}") for c in hashes.columns]) for n, x in ((1, one), (2, all_)))
+    pairs = a.join(b, ["choice", "bits", "part"]).where(F.col("h1") < F.col("h2"))
+    apart = F.col("h1").bitwiseXOR(F.col("h2"))
+    pairs = pairs.withColumn("distance", F.bit_count(apart)).where(F.col("distance") <= max_distance)
     if different:
-        hashes = df.groupBy(F.col(hash_col).alias("h")).agg(F.min(different).alias("lo"), F.max(different).alias("hi"))
-    else:
-        hashes = df.select(F.col(hash_col).alias("h")).distinct()
-    width = -(-64 // bands)
-    keys = [F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("h", b * width).bitwiseAND(F.lit((1 << min(width, 64 - b * width)) - 1)).alias("value")) for b in range(bands)]
-    banded = hashes.withColumn("key", F.explode(F.array(*keys)))
-    a, b = (banded.select([F.col(c).alias(f"{c}{n}") for c in banded.columns]) for n in "12")
-    pairs = a.join(b, F.col("key1") == F.col("key2")).where(F.col("h1") < F.col("h2"))
-    pairs = pairs.withColumn("distance", F.bit_count(F.col("h1").bitwiseXOR(F.col("h2")))).where(F.col("distance") <= max_distance)
-    if different:
-        pairs = pairs.where((F.least("lo1", "lo2") != F.greatest("hi1", "hi2")))
-    return pairs.select("h1", "h2", "distance").distinct()
+        pairs = pairs.where(F.least("lo1", "lo2") != F.greatest("hi1", "hi2"))
+    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, n) for n, m in enumerate(choices)])
+    return pairs.where(F.col("choice") == first).select("h1", "h2", "distance")
+
 
+def tile_pairs(tiles: DataFrame, media: str, positions: list[str], vector: str, least: float) -> DataFrame:
+    """media, best: the largest inner product of two tiles of a media item that are at least so far apart in one of the positions.
 
-def tile_pairs(tiles: DataFrame, media: str, key: str, vector: str, far: Column) -> DataFrame:
-    """Largest cosine between two tiles of one media item that are far apart; far is over columns a_key and b_key."""
-    a = tiles.select(media, F.col(key).alias("a_key"), F.col(vector).alias("a_vec"))
-    b = tiles.select(media, F.col(key).alias("b_key"), F.col(vector).alias("b_vec"))
-    dot = F.aggregate(F.zip_with("a_vec", "b_vec", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, media).where((F.col("a_key") < F.col("b_key")) & far).groupBy(media).agg(F.max(dot).alias("best"))
+    A media item's tiles lie in blocks, dealt by a hash; each pair of blocks is multiplied in one task and gives one number, so no pair of tiles is ever a row.
+    """
+    n = tiles.groupBy(media).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    at = [F.col(p).cast("double") for p in positions]
+    rows = tiles.join(n, media).select(media, "_blocks", F.pmod(F.xxhash64(*positions), F.col("_blocks")).cast("int").alias("_block"), F.array(*at).alias("at"), F.col(vector).cast("array<double>").alias("v"))
+    kind = tiles.schema[media].dataType.simpleString()
+
+    def pack(group: pa.Table) -> pa.Table:
+        columns = {media: group.column(media).slice(0, 1), "blocks": pa.array([group.column("_blocks")[0].as_py()], pa.int32()), "block": pa.array([group.column("_block")[0].as_py()], pa.int32()), "n": pa.array([len(group)], pa.int32())}
+        for c in ("at", "v"):
+            columns[c] = pa.array([np.asarray(group.column(c).combine_chunks().flatten(), np.float64).tobytes()], pa.binary())
+        return pa.table(columns)
+
+    schema = f"`{media}` {kind}, blocks int, block int, n int, at binary, v binary"
+    blocks = materialize(rows.groupBy(media, "_blocks", "_block").applyInArrow(pack, schema), "tile-blocks")
+    a, b = (blocks.select(media, *[F.col(c).alias(f"{x}_{c}") for c in ("block", "n", "at", "v")]) for x in "ab")
+    met = a.join(b, media).where(F.col("a_block") <= F.col("b_block"))
+
+    def highest(it):
+        for batch in it:
+            best = []
+            for r in batch.to_pylist():
+                p, x, q, y = (np.frombuffer(r[f"{s}_{c}"]).reshape(r[f"{s}_n"], -1) for s in "ab" for c in ("at", "v"))
+                far = (np.abs(p[:, None] - q[None]) >= least).any(2)
+                best.append(float((x @ y.T)[far].max()) if far.any() else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.float64())], [media, "best"])
+
+    return met.mapInArrow(highest, f"`{media}` {kind}, best double").groupBy(media).agg(F.max("best").alias("best")).where("best is not null")
 
 
 def with_previous(df: DataFrame, part: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -144,9 +186,25 @@ def shuffle_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(shuffle_key(seed, key), key).limit(n)
 
 
+def hashed_rank(df: DataFrame, by: list[str], order: Column, tie: str, name: str) -> DataFrame:
+    """df with the number of each row, from 0, in its group by a hexadecimal hash and then tie: counted over ranges of the hash, so that no task holds a group."""
+    h, bucket, before, count = (f"_{name}_{x}" for x in ("hash", "bucket", "before", "count"))
+    keyed = df.withColumn(h, order).withColumn(bucket, F.substring(h, 1, 3))
+    counts = keyed.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias(count))
+    ahead = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows a group
+    counts = counts.select(*[F.col(c).alias(f"_{name}_{c}") for c in by], F.col(bucket).alias(f"{bucket}_"), F.coalesce(F.sum(count).over(ahead), F.lit(0)).alias(before))
+    same = F.col(bucket) == F.col(f"{bucket}_")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{name}_{c}"))
+    inside = F.row_number().over(Window.partitionBy(*by, bucket).orderBy(h, tie)) - 1
+    return keyed.withColumn(count, inside).join(counts, same).select(*df.columns, (F.col(count) + F.col(before)).alias(name))
+
+
 def stratified_folds(df: DataFrame, cls: str, key: str, k: int, seed: int) -> DataFrame:
-    w = Window.partitionBy(cls).orderBy(shuffle_key(seed, key), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    """df with fold: the rows of each class dealt in turn, in hash order, to k folds, or to as many as the smallest class has rows."""
+    smallest = df.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).agg(F.least(F.min("n"), F.lit(k)).alias("_folds"))
+    ranked = hashed_rank(df, [cls], shuffle_key(seed, key), key, "_rank")
+    return ranked.join(smallest, how="inner").withColumn("fold", (F.col("_rank") % F.col("_folds")).cast("int")).drop("_rank", "_folds")  # one row of a number
 
 
 def largest_box(df: DataFrame, media: str, area: Column, item: str) -> DataFrame:

@@ -106,14 +106,14 @@ def overlay_signal(df: DataFrame, media: list[str], border: Column, error: str)
     return m.select(*media, C.squash(r, "share", 2).alias("score"))
 
 
-def crowd_signal(tiles: DataFrame, media: str, key: str, vector: str, far: Column, least: int = 4) -> DataFrame:
+def crowd_signal(tiles: DataFrame, media: str, positions: list[str], vector: str, apart: float, least: int = 4) -> DataFrame:
     """Largest cosine of mean-centred tiles that are far apart; too few tiles: not applicable."""
     n = F.size(vector)
     total = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x)
     centred = tiles.withColumn("_m", total / n).withColumn("_c", F.transform(vector, lambda x: x - F.col("_m")))
     norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, x: s + x * x))
-    unit = centred.withColumn("_n", F.when(norm > 0, norm).otherwise(1e-6)).select(media, key, F.transform("_c", lambda x: x / F.col("_n")).alias("u"))
-    best = R.tile_pairs(unit, media, key, "u", far)
+    unit = centred.withColumn("_n", F.when(norm > 0, norm).otherwise(1e-6)).select(media, *positions, F.transform("_c", lambda x: x / F.col("_n")).alias("u"))
+    best = R.tile_pairs(unit, media, positions, "u", apart)
     counts = tiles.groupBy(media).agg(F.count(F.lit(1)).alias("tiles"))
     s = F.greatest(F.lit(0.0), F.coalesce("best", F.lit(0.0)))
     return counts.join(best, media, "left").select(media, "tiles", F.when(F.col("tiles") >= least, C.squash(s, "above")).alias("score"), F.when(F.col("tiles") >= least, s).alias("similarity"))

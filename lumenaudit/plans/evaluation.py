@@ -92,12 +92,12 @@ def _(spark, sf):
 
 
 @query("e2_bootstrap_auc", """WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, quality AS y, floor(n_chars / 100.0::DOUBLE) AS s FROM documents JOIN labels USING (doc_id)), n AS (SELECT count(*) AS n FROM d),
-  x AS (SELECT rep, (CAST('0x' || substr(md5('7|' || rep || '|' || draw), 1, 8) AS BIGINT) % n) AS i FROM n, range(0, 50) r(rep), range(0, 4000) q(draw) WHERE draw < n), j AS (SELECT rep, y, s FROM x JOIN d USING (i)),
+  x AS (SELECT rep, (CAST('0x' || substr(md5('7|' || rep || '|' || draw), 1, 8) AS BIGINT) % n) AS i FROM n, range(0, 200) r(rep), (SELECT unnest(range(n)) AS draw FROM n) q), j AS (SELECT rep, y, s FROM x JOIN d USING (i)),
   g AS (SELECT rep, s, sum(y) AS pos, sum(1 - y) AS neg FROM j GROUP BY 1, 2), a AS (SELECT rep, sum(pos * (below + 0.5 * neg))::DOUBLE / (sum(pos) * sum(neg))::DOUBLE AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) GROUP BY rep HAVING sum(pos) > 0 AND sum(neg) > 0)
   SELECT count(*) AS replicates, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM a""")
 def _(spark, sf):
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id").select("doc_id", "quality", F.floor(F.col("n_chars") / 100).alias("s"))
-    return M.bootstrap_auc(d, "quality", "s", "doc_id", 50, 7).select("replicates", r6("low").alias("low"), r6("high").alias("high"))
+    return M.bootstrap_auc(d, "quality", "s", "doc_id", 200, 7).select("replicates", r6("low").alias("low"), r6("high").alias("high"))
 
 
 _SIG = f"(SELECT event_type AS signal, media, avg(s) AS s, (media // 1000) % 2 AS y FROM {_WEEKS_SQL} GROUP BY 1, 2)"

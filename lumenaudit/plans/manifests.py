@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import columns as C
 from ..operators import relational as R
 from ..sources import tables as S
+from ..sources.scratch import scratch_path
 from .registry import query
 
 t = S.table
@@ -30,7 +32,10 @@ _MANIFEST_SQL = f"(SELECT *, {_SPLIT_SQL} AS split FROM (SELECT d.doc_id, qualit
 
 @query("s1_scan_manifest", "SELECT doc_id, lang, source, n_chars FROM documents")
 def _(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    """A manifest as CSV, then its scan under a fixed schema."""
+    path = scratch_path(spark, "manifest")
+    S.write_report(t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), path)
+    return S.read_manifest(spark, path, StructType.fromDDL("doc_id long, lang string, source string, n_chars long"), required=True)
 
 
 @query("s2_filter_splits", f"SELECT doc_id, split FROM {_MANIFEST_SQL} WHERE split IN ('val', 'test')")
@@ -78,12 +83,18 @@ def _(spark, sf):
 
 @query("s7_report_rows", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
 def _(spark, sf):
-    return t(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    """A report as CSV, and what is read back of it."""
+    path = scratch_path(spark, "report")
+    S.write_report(t(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")), path)
+    return S.read_manifest(spark, path, StructType.fromDDL("lang string, n long, chars long"), required=True)
 
 
 @query("s8_embedding_archive", "SELECT vec_id, label, len(embedding) AS dims, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings")
 def _(spark, sf):
-    e = t(spark, sf, "embeddings")
+    """The archive of embeddings, and what is read back of it."""
+    path = scratch_path(spark, "embeddings")
+    S.write_embeddings(t(spark, sf, "embeddings"), path, ["vec_id", "embedding", "label"])
+    e = spark.read.parquet(path)
     return e.select("vec_id", "label", F.size("embedding").alias("dims"), r6(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))).alias("total"))
 
 
@@ -340,13 +351,13 @@ _F_SQL = f"WITH f AS MATERIALIZED (SELECT doc_id, source, {_SIGNED} AS h, {_SPLI
 
 @query("j5_near_pairs", f"{_F_SQL} SELECT h1, h2, CAST(distance AS INTEGER) AS distance FROM {_PAIRS_SQL} WHERE crosses")
 def _(spark, sf):
-    return R.near_pairs(fingerprints(spark, sf), "doc_id", "dhash", different="split").withColumn("distance", F.col("distance").cast("int"))
+    return R.near_pairs(fingerprints(spark, sf), "dhash", different="split").withColumn("distance", F.col("distance").cast("int"))
 
 
 @query("j6_tile_pairs", "SELECT a.label, round(max(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS best FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id - a.vec_id >= 40 GROUP BY a.label")
 def _(spark, sf):
     e = t(spark, sf, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return R.tile_pairs(e, "label", "vec_id", "v", F.col("b_key") - F.col("a_key") >= 40).select("label", r6("best").alias("best"))
+    return R.tile_pairs(e, "label", ["vec_id"], "v", 40).select("label", r6("best").alias("best"))
 
 
 @query("j7_with_previous", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_event_id FROM events")
@@ -512,7 +523,7 @@ def _(spark, sf):
 @query("d2_leakage_report", f"{_F_SQL} SELECT cross_split + cross_class + near AS leak_total, cross_split, cross_class, near, cross_split + cross_class + near = 0 AS ok FROM (SELECT count(*) FILTER (splits > 1) AS cross_split, count(*) FILTER (classes > 1) AS cross_class FROM {_DUP_SQL}), (SELECT count(*) AS near FROM {_PAIRS_SQL} WHERE crosses)")
 def _(spark, sf):
     exact = t(spark, sf, "documents").select(F.sha2("text", 256).alias("h"), C.assign_split(F.col("source")).alias("split"), "lang")
-    near = R.near_pairs(fingerprints(spark, sf), "doc_id", "dhash", different="split").agg(F.count(F.lit(1)).alias("near"))
+    near = R.near_pairs(fingerprints(spark, sf), "dhash", different="split").agg(F.count(F.lit(1)).alias("near"))
     x = R.duplicate_groups(exact, "h", "split", "lang").join(near, how="inner")
     total = F.col("cross_split") + F.col("cross_class") + F.col("near")
     return x.select(total.alias("leak_total"), "cross_split", "cross_class", "near", (total == 0).alias("ok"))

@@ -41,9 +41,9 @@ _VERDICTS = f"""(SELECT *, CASE WHEN verdict = 'suspicious' THEN 100 * score ELS
     CASE WHEN coalesce(1 / (1 + exp(-logit)), fused) >= CASE WHEN logit IS NOT NULL THEN 0.4454 ELSE 0.5 END THEN 'suspicious' ELSE 'authentic' END AS verdict FROM {_FUSED} LEFT JOIN {_LOGIT} USING (media)))"""
 
 
-@query("f1_pool_weights", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {round(w / len(m), 6)}::DOUBLE)" for w, m in U.POOLS.values() for s in m) + ") p(signal, weight)")
+@query("f1_pool_weights", f"SELECT media, signal, round(coalesce(weight, 0), 6) AS weight FROM {_LONG} LEFT JOIN (VALUES " + ", ".join(f"('{s}', {w}::DOUBLE / {len(m)})" for w, m in U.POOLS.values() for s in m) + ") p(signal, weight) USING (signal)")
 def _(spark, sf):
-    return U.pool_weights(spark).select("signal", r6("weight").alias("weight"))
+    return U.nominal_weights(long_signals(spark, sf), U.pool_weights(spark)).select("media", "signal", r6("weight").alias("weight"))
 
 
 @query("f2_weighted_mean", f"SELECT media, round(fused, 6) AS fused, round(weight_sum, 6) AS weight_sum FROM {_FUSED}")
@@ -112,11 +112,20 @@ def _(spark, sf):
     return _explained(spark, sf).select("media", "rendered")
 
 
-@query("x4_report_json", f"SELECT media, verdict, risk, len(string_split(reasons, chr(10))) AS findings FROM {_EXPLAINED}")
+_SHARES_SQL = f"(SELECT media, count(*) AS signals, round(sum(round(score, 4)), 4) AS score_sum, round(sum(round(weight / total, 4)), 3) AS weight_sum FROM (SELECT *, sum(weight) OVER (PARTITION BY media) AS total FROM {_LONG} JOIN {_W} USING (signal) WHERE score IS NOT NULL) GROUP BY media)"
+
+
+@query("x4_report_json", f"SELECT e.media, e.verdict, e.risk, len(string_split(reasons, chr(10))) AS findings, CASE WHEN notes IS NULL THEN 0 ELSE len(string_split(notes, chr(10))) END AS unavailable, round(v.confidence, 4) AS confidence, v.method, s.signals, s.score_sum, s.weight_sum, {len(X.LIMITATIONS)} AS limitations, '{X.PERFORMANCE['accuracy']}' AS accuracy FROM {_EXPLAINED} e JOIN {_VERDICTS} v USING (media) JOIN {_SHARES_SQL} s USING (media)")
 def _(spark, sf):
-    r = X.report_json(_explained(spark, sf))
-    p = F.from_json("report", "struct<verdict:string,risk_level:string,findings:array<string>>")
-    return r.select("media", p["verdict"].alias("verdict"), p["risk_level"].alias("risk"), F.size(p["findings"]).alias("findings"))
+    s, w = long_signals(spark, sf), U.pool_weights(spark)
+    r = X.report_json(X.explain(U.fuse(s, w, FIVE), s, w), s, w)
+    shape = "struct<verdict:string,risk_level:string,confidence_score:double,findings:array<string>,unavailable_signals:array<string>,signals:map<string,struct<score:double,weight:double>>,provenance:struct<fusion_method:string>,limitations:array<string>,system_performance:struct<accuracy:string>>"
+    p = F.from_json("report", shape)
+    total = lambda c: F.round(F.aggregate(F.map_values(p["signals"]), F.lit(0.0), lambda acc, x: acc + x[c]), 4)
+    return r.select(
+        "media", p["verdict"].alias("verdict"), p["risk_level"].alias("risk"), F.size(p["findings"]).alias("findings"), F.size(p["unavailable_signals"]).alias("unavailable"), F.round(p["confidence_score"], 4).alias("confidence"),
+        p["provenance"]["fusion_method"].alias("method"), F.size(p["signals"]).alias("signals"), total("score").alias("score_sum"), F.round(total("weight"), 3).alias("weight_sum"), F.size(p["limitations"]).alias("limitations"), p["system_performance"]["accuracy"].alias("accuracy"),
+    )
 
 
 @query("x5_exportable", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
@@ -212,7 +221,7 @@ def _(spark, sf):
   SELECT label, tiles, round(least(1, greatest(0, (greatest(0, best) - 0.9) / 0.1)), 6) AS score, round(greatest(0, best), 6) AS similarity FROM b JOIN (SELECT label, count(*) AS tiles FROM embeddings GROUP BY 1) USING (label)""")
 def _(spark, sf):
     e = t(spark, sf, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    s = G.crowd_signal(e, "label", "vec_id", "v", F.col("b_key") - F.col("a_key") >= 40)
+    s = G.crowd_signal(e, "label", ["vec_id"], "v", 40)
     return s.select("label", "tiles", r6("score").alias("score"), r6("similarity").alias("similarity"))
 
 
@@ -252,9 +261,20 @@ def _(spark, sf):
     return t(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("frame_idx"))
 
 
-@query("p1_software_fields", "SELECT user_id, lower(string_agg(props, ' ' ORDER BY event_type, props)) AS fields FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+_SOFTWARE_SQL = """SELECT user_id, lower(string_agg(field, ' ' ORDER BY kind, pos, key, field)) AS fields FROM (
+  SELECT user_id, 0 AS kind, 0 AS pos, key, value AS field FROM k WHERE key IN ('Software', 'Artist') UNION ALL
+  SELECT user_id, 1, 0, key, key || ' ' || value FROM k WHERE key = 'Prompt' UNION ALL
+  SELECT user_id, 2, 0, key, unnest(regexp_extract_all(value, 'xmp:creatortool="([^"]*)"', 1)) FROM k WHERE key = 'xmp' UNION ALL
+  SELECT user_id, 2, 1, key, unnest(regexp_extract_all(value, '<tiff:software>(.*?)</tiff:software>', 1)) FROM k WHERE key = 'xmp') GROUP BY user_id"""
+
+
+@query("p1_software_fields", """WITH k AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'Software' WHEN 'view' THEN 'Artist' WHEN 'signup' THEN 'Prompt' WHEN 'error' THEN 'xmp' ELSE 'Make' END AS key,
+  CASE event_type WHEN 'error' THEN '<x xmp:creatortool="' || event_id || '" aux:imagenumber="1"><tiff:software>T' || event_id || '</tiff:software></x>' ELSE props END AS value FROM events) """ + _SOFTWARE_SQL)
 def _(spark, sf):
-    return P.software_fields(t(spark, sf, "events"), "user_id", "event_type", "props", ("click", "view"))
+    names = {"click": "Software", "view": "Artist", "signup": "Prompt", "error": "xmp", "purchase": "Make"}
+    xmp = F.concat(F.lit('<x xmp:creatortool="'), "event_id", F.lit('" aux:imagenumber="1"><tiff:software>T'), "event_id", F.lit("</tiff:software></x>"))
+    tags = t(spark, sf, "events").select("user_id", C.harmonise_label(F.col("event_type"), names).alias("key"), F.when(F.col("event_type") == "error", xmp).otherwise(F.col("props")).alias("value"))
+    return P.software_fields(tags, "user_id", "key", "value")
 
 
 @query("p1_xmp_property", "SELECT page_id, array_to_string(list_concat(regexp_extract_all(html, '(?is)lang=\"([^\"]*)\"', 1), regexp_extract_all(html, '(?is)<lang>(.*?)</lang>', 1)), ',') AS lang, md5(array_to_string(list_concat(regexp_extract_all(html, '(?is)h1=\"([^\"]*)\"', 1), regexp_extract_all(html, '(?is)<h1>(.*?)</h1>', 1)), ',')) AS h1 FROM pages")

@@ -81,7 +81,7 @@ def test_near_pairs_equal_brute_force(spark):
                 x ^= 1 << b
             hashes.append(x)
     signed = sorted({h - (1 << 64) if h >> 63 else h for h in hashes})
-    got = {(r.h1, r.h2) for r in relational.near_pairs(spark.createDataFrame([(i, h) for i, h in enumerate(signed)], "id long, h long"), "id", "h").collect()}
+    got = {(r.h1, r.h2) for r in relational.near_pairs(spark.createDataFrame([(i, h) for i, h in enumerate(signed)], "id long, h long"), "h").collect()}
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4} and len(got) > 60
 
 
@@ -170,3 +170,127 @@ def test_class_told_by_a_category_is_detected(spark):
     drop = {r.feature: r["drop"] for r in audit.permutation_importance(df, (["size"], ["format"]), "y", "id").collect()}
     assert set(drop) == {"size", "format=jpg", "format=png"} and max(drop["format=jpg"], drop["format=png"]) > 0.2
     assert audit.separability(df.where("y = 1"), {"all": (["size"], [])}, "y", "id").first()["error"] == "only one class present"
+
+
+def test_every_signal_has_texts_and_reports_state_the_limits(spark):
+    known = [s for _, members in fusion.POOLS.values() for s in members]
+    assert set(explain.REASONS) == set(explain.NOTES) == set(known) and len(known) == 15
+    w = fusion.pool_weights(spark)
+    for score, side in ((0.9, 0), (0.1, 1)):
+        r = explain.rank_reasons(_signals(spark, dict.fromkeys(known, score)), w).first().reasons
+        assert len(r) == 15 and {x.split("(")[0] for x in r} == {explain.REASONS[s][side].split("(")[0] for s in known}
+    none = explain.notes(_signals(spark, dict.fromkeys([*known, "other"], None))).first().notes
+    assert len(none) == 16 and "other was unavailable for this run." in none
+    s = _signals(spark, {"trained_probe": 0.9, "deep_learning": 0.2, "scene_consistency": None})
+    import json
+
+    x = explain.explain(fusion.fuse(s, w), s, w).withColumn("model_version", F.lit("probe/vit"))
+    r = json.loads(explain.report_json(x, s, w).first().report)
+    assert r["limitations"] == list(explain.LIMITATIONS) and r["system_performance"]["test_set_size"] == 275 and r["filename"] is None
+    assert r["signals"] == {"trained_probe": {"score": 0.9, "weight": 0.8}, "deep_learning": {"score": 0.2, "weight": 0.2}} and r["provenance"] == {"model_version": "probe/vit", "pipeline_version": None, "fusion_method": "weighted"}
+    assert r["unavailable_signals"] == [explain.NOTES["scene_consistency"]] and r["verdict"] == "suspicious" and r["confidence_score"] == 76.0
+
+
+def test_software_fields_take_only_what_names_a_tool(spark):
+    xmp = '<x aux:imagenumber="177034" xmp:CreatorTool = "Nikon\nTool"><dc:creator id="a">Ann</dc:creator><crs:prompt>no</crs:prompt></x>'
+    rows = [("m", "Software", "Firefly 2"), ("m", "Make", "imagen"), ("m", "Prompt", "a cat"), ("m", "XML:com.adobe.xmp", xmp), ("n", "Make", "x")]
+    got = {r.m: r.fields for r in provenance.software_fields(spark.createDataFrame(rows, "m string, k string, v string"), "m", "k", "v").collect()}
+    assert got == {"m": "firefly 2 prompt a cat nikon\ntool ann"}
+
+
+def test_tile_pairs_equal_brute_force(spark):
+    rnd = random.Random(4)
+    rows = [(m, x, y, [rnd.gauss(0, 1) for _ in range(5)]) for m, n in (("a", 700), ("b", 30), ("c", 1)) for x, y in [(rnd.randrange(300), rnd.randrange(300)) for _ in range(n)]]
+    got = {r.m: r.best for r in relational.tile_pairs(spark.createDataFrame(rows, "m string, x int, y int, v array<double>"), "m", ["x", "y"], "v", 40).collect()}
+    want = {}
+    for i, (m, x, y, v) in enumerate(rows):
+        for n, p, q, w in rows[i + 1 :]:
+            if m == n and (abs(x - p) >= 40 or abs(y - q) >= 40):
+                want[m] = max(want.get(m, -1e9), sum(a * b for a, b in zip(v, w)))
+    assert got.keys() == want.keys() == {"a", "b"} and all(abs(got[m] - want[m]) < 1e-9 for m in want)
+
+
+def test_prefix_sums_over_ranges_equal_plain_curves(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(2), rnd.choice([rnd.random(), 0.5, -1e9]), rnd.choice(["a", "b", None])) for _ in range(900)] + [(1, None, "a"), (None, 0.5, "a"), (1, 3.0, "one class")]
+    d = spark.createDataFrame(rows, "y int, s double, g string")
+    got = {r.g: r for r in metrics.headline(d.where("y is not null and s is not null"), "y", "s", 0.5, ["g"]).where("g is not null").collect()}
+    for g in ("a", "b"):
+        own = [(s, y) for y, s, h in rows if h == g and s is not None and y is not None]
+        pos, neg = [s for s, y in own if y], [s for s, y in own if not y]
+        auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
+        ap, seen = 0.0, 0
+        for t in sorted({s for s, _ in own}, reverse=True):
+            tp, fp = sum(p >= t for p in pos), sum(n >= t for n in neg)
+            ap, seen = ap + (tp - seen) / len(pos) * tp / (tp + fp), tp
+        assert abs(got[g].auc - auc) < 1e-12 and abs(got[g].average_precision - ap) < 1e-12
+    assert got["one class"].auc is None
+    plan = metrics.roc_auc(d, "y", "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_at" in line for line in plan.splitlines() if "windowspecdefinition(s#" in line or "Window" in line and "[]" in line)
+
+
+def test_folds_and_ranks_are_exact(spark):
+    d = spark.createDataFrame([(i, i % 3 if i % 7 else None) for i in range(500)], "id long, c int")
+    got = relational.hashed_rank(d, ["c"], relational.shuffle_key(1, "id"), "id", "rank").collect()
+    import hashlib
+
+    by = {}
+    for r in got:
+        by.setdefault(r.c, []).append((r["rank"], hashlib.md5(f"1|{r.id}".encode()).hexdigest()))
+    for rows in by.values():
+        assert [h for _, h in sorted(rows)] == sorted(h for _, h in rows) and sorted(i for i, _ in rows) == list(range(len(rows)))
+    few = spark.createDataFrame([(i, int(i < 3)) for i in range(50)], "id long, c int")
+    folds = [(r.c, r.fold) for r in relational.stratified_folds(few, "c", "id", 5, 1).collect()]
+    assert {f for _, f in folds} == {0, 1, 2} and sorted(f for c, f in folds if c == 1) == [0, 1, 2]  # as many folds as the smallest class has rows
+
+
+def logistic_by_newton(x, y, ridge):
+    """Weights and intercept that minimise the mean log loss plus ridge / 2 times the squared weights."""
+    import numpy as np
+
+    z, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    penalty = np.diag([ridge] * x.shape[1] + [0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(x) + penalty, z.T @ (y - p) / len(x) - penalty @ w)
+    return w[:-1], w[-1]
+
+
+def test_probe_and_combiner_have_the_coefficients_of_a_plain_fit(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(150, 6)), rng.integers(0, 2, 150)
+    x[:, 2] += 1.5 * y
+    df = spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, y))], "id long, v array<double>, y int")
+    head = training.fit_probe(df, "v", "y", 3, 0.5)
+    z = (x - x.mean(0)) / x.std(0)
+    _, _, vt = np.linalg.svd(z - z.mean(0), full_matrices=False)
+    w, b = logistic_by_newton(z @ vt[:3].T, y, 1 / (0.5 * len(x)))
+    assert np.allclose(np.array(head["weights"]), vt[:3].T @ w, atol=2e-3) and abs(head["bias"] - b) < 2e-3
+    a = rng.random((90, 2))
+    t = (a[:, 0] + 0.3 * rng.normal(size=90) > 0.5).astype(int)
+    wide = spark.createDataFrame([(*map(float, r), int(v), "val") for r, v in zip(a, t)], "p double, q double, y int, split string")
+    fit = training.fit_combiner(wide, ["p", "q"], "y")
+    w, b = logistic_by_newton(a, t, 1 / 90)
+    assert np.allclose(fit["weights"], w, atol=2e-3) and abs(fit["intercept"] - b) < 2e-3
+    # The threshold is a score of the split at which tpr - fpr is largest.
+    p = 1 / (1 + np.exp(-(a @ np.array(fit["weights"]) + fit["intercept"])))
+    gain = lambda c: (p[t == 1] >= c).mean() - (p[t == 0] >= c).mean()
+    assert abs(gain(fit["threshold"] - 1e-9) - max(gain(c) for c in p)) < 1e-9
+
+
+def test_bootstrap_equals_plain_draws(spark):
+    import hashlib
+
+    import numpy as np
+
+    rnd = random.Random(9)
+    rows = [(10 * i, rnd.randrange(2), rnd.randrange(6) / 5) for i in range(60)]
+    got = metrics.bootstrap_auc(spark.createDataFrame(rows, "k long, y int, s double"), "y", "s", "k", 20, 7).first()
+    aucs = []
+    for rep in range(20):
+        at = [int(hashlib.md5(f"7|{rep}|{d}".encode()).hexdigest()[:8], 16) % 60 for d in range(60)]
+        pos, neg = ([rows[i][2] for i in at if rows[i][1] == v] for v in (1, 0))
+        aucs.append(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg))
+    assert got.replicates == 20 and np.allclose([got.low, got.high], np.percentile(aucs, [2.5, 97.5]))
