@@ -19,17 +19,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row of the smallest doc_id and text; of rows equal in both, one. Only rows that are to go, or occur twice, are joined to the texts."""
-    marks = near_duplicates(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id", F.coalesce("text_md5", F.lit("")).alias("text_md5"))
-    marks = marks.agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("rows")).where(~F.col("first") | (F.col("rows") > 1))
+    """Of each group of near-duplicates the row of the smallest doc_id and text; of rows equal in both, one.
+
+    Texts are dealt by doc_id once, to meet the ids that go. Only rows of ids that occur twice and stay in part are told apart by their texts.
+    """
     key = free_name("text_md5", docs)
-    marks = materialize(marks.withColumnRenamed("text_md5", key), "pipeline-marks")
-    gone, repeated = (marks.where(c).select("doc_id", key) for c in (~F.col("first"), F.col("first")))
-    kept = docs.withColumn(key, F.coalesce(F.md5("text"), F.lit(""))).join(gone, ["doc_id", key], "left_anti")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, ["doc_id", key], "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(repeated, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns))
+    marks = near_duplicates(docs).where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text_md5", F.lit("")).alias(key), "first")
+    marks = materialize(marks.where(~F.col("first")).unionAll(_repeated(marks)), "pipeline-marks")
+    per_id = marks.groupBy("doc_id").agg(F.bool_or("first").alias("stays"))
+    kept = docs.join(per_id.where(~F.col("stays")).select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    in_part = per_id.where("stays").select("doc_id")
+    if in_part.isEmpty():
+        return kept
+    of_these = kept.join(in_part, "doc_id", "left_semi").withColumn(key, F.coalesce(F.md5("text"), F.lit("")))
+    first = of_these.join(marks.where("first").select("doc_id", key), ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return kept.join(in_part, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+
+
+def _repeated(marks: DataFrame) -> DataFrame:
+    """Marks of the rows that stay and whose doc_id occurs more than once."""
+    twice = marks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    return marks.where("first").join(twice, "doc_id", "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """MinHash near-duplicates: banded candidates, odd sketches to verify them, exact confirmation on full shingle sets.
 
 Texts with equal shingle sets are one class, a node with a number of its own; its first row is that of the smallest doc_id. In each band's bucket every member is first
-compared with the bucket's smallest (a star); then, where a bucket still holds several components, all pairs between
+compared with the bucket's first document (a star); then, where a bucket still holds several components, all pairs between
 them, in blocks of bounded size. Each pair is measured by the odd sketches of its MinHash samples, then by parity bitmaps of the full sets, whose
 bounds leave a true link no room to fail, and what passes is confirmed on the sets themselves.
 
@@ -58,13 +58,12 @@ def _signatures(it):
 
 
 def _band_rows(it):
-    """(band, key, node) of each class."""
+    """(band, key, node, rep) of each class."""
     for b in it:
         if b.num_rows:
-            keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(S.BANDS, dtype=np.int32), b.num_rows)), pa.array(keys), pa.array(np.repeat(np.asarray(b.column(0)), S.BANDS))], ["band", "key", "node"]
-            )
+            keys = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
+            each = [pa.array(np.repeat(np.asarray(c), S.BANDS)) for c in b.columns[:2]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(S.BANDS, dtype=np.int32), b.num_rows)), pa.array(keys), *each], ["band", "key", "node", "rep"])
 
 
 def _most_odd(both: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -164,13 +163,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = [F.any_value(c).alias(c) for c in ("n_shingles", "keys", "sketch", "bitmap")]
     reps = known.groupBy("cls").agg(F.min(F.struct("doc_id", "text_md5")).alias("least"), F.count(F.lit(1)).alias("rows"), *same)
     reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
-    bands = reps.select("node", "keys").mapInArrow(_band_rows, "band int, key long, node long")
-    shared = bands.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    members = materialize(bands.join(shared, ["band", "key"]), "minhash-members")
+    bands = reps.select("node", F.col("least.doc_id").alias("rep"), "keys").mapInArrow(_band_rows, "band int, key long, node long, rep long")
+    # The first document is the likeliest origin of the others, so the star has it as its head.
+    head = F.min(F.struct("rep", "node"))["node"].alias("head")
+    shared = bands.groupBy("band", "key").agg(head, F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    members = materialize(bands.drop("rep").join(shared, ["band", "key"]), "minhash-members")
 
-    # One text of each class that shares a bucket. Its rows that repeat are together after the join, whose key tells them apart.
+    # One text of each class that shares a bucket, dealt by key at every size. Its rows that repeat are together after the join, whose key tells them apart.
     wanted = members.select("node").distinct().join(reps.select("node", "least.*"), "node")
-    whole = texts.join(wanted, ["doc_id", "text_md5"]).dropDuplicates(["doc_id", "text_md5"]).select("node", "text")
+    whole = texts.join(wanted.hint("merge"), ["doc_id", "text_md5"]).dropDuplicates(["doc_id", "text_md5"]).select("node", "text")
     sets = materialize(whole.mapInArrow(_full_sets, "node long, shingles binary"), "minhash-sets")
 
     words = [F.conv(F.hex(F.substring("sketch", 1 + 8 * k, 8)), 16, -10).cast("long").alias(f"w{k}") for k in range(S.BITS // 64)]
