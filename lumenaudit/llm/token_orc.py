@@ -1,8 +1,9 @@
 """Token ids as ORC: ascending doc_id, integer run-length encoding, row indexes, and Bloom filters on doc_id.
 
-The layout lets a reader take stripes in parallel and skip files, stripes and row groups by doc_id from metadata alone. Defined results: a null or
-empty text is the end id alone; equal doc_ids follow each other in the order of their ids; a null doc_id comes first; an empty table
-gives an empty dataset; columns other than doc_id and text are not read.
+The layout lets a reader take stripes in parallel and skip files, stripes and row groups by doc_id from metadata alone. A row knows its file (shard) and its place in it
+(row), so that the order of the ids is that of the files, whatever reads them. Defined results: a null or empty text is the end id alone, a very long one a row like others;
+equal doc_ids follow each other in the order of a hash of their texts, so that many of them need not be in one file; a null doc_id comes first; doc_id may be of any type that
+sorts; an empty table gives an empty dataset; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,26 +24,27 @@ SHARD_ROWS = 8_192
 
 
 def write_token_orc(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, shard_rows: int = SHARD_ROWS) -> None:
-    """Write doc_id, ids in files that follow each other in doc_id; each is sorted."""
-    rows = docs.select("doc_id", "text")
+    """Write doc_id, ids, n_tokens, shard, row in files that follow each other in doc_id; each is sorted."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     n_shards = max(1, -(-docs.select("doc_id").count() // shard_rows))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def batches(it):
-        enc = encoder(tokenizer)
+        enc, shard, row = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in it:
             flat, sizes = enc.encode(b.column(1))
             ends = np.cumsum(sizes)
             ids = np.insert(flat.astype(np.int32), ends, np.int32(end_id))
             offsets = np.concatenate([[0], ends + np.arange(1, len(sizes) + 1)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), b.column(2)], ["doc_id", "ids", "shard"])
+            cols = [b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(sizes.astype(np.int64) + 1), pa.array(np.full(len(sizes), shard, np.int32)), pa.array(np.arange(row, row + len(sizes)))]
+            row += len(sizes)
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_tokens", "shard", "row"])
 
     (
-        # The bounds come from doc_id alone, so that no more than that column is read to find them.
-        rows.withColumn("shard", _shard_of(docs, n_shards))
-        .repartition(n_shards, "shard")
-        .sortWithinPartitions("shard", "doc_id", F.col("text").asc_nulls_first())
-        .mapInArrow(batches, f"doc_id {kind}, ids array<int>, shard int")
+        # Range bounds come from Spark's own sample of the keys; the hash of the text lets a doc_id that very many rows share go to several shards.
+        rows.repartitionByRange(n_shards, "doc_id", "h")
+        .sortWithinPartitions("doc_id", "h", "text")
+        .mapInArrow(batches, f"doc_id {kind}, ids array<int>, n_tokens long, shard int, row long")
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
@@ -52,27 +55,8 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.j
     )
 
 
-def _shard_of(docs: DataFrame, n_shards: int):
-    """Range of doc_id that a row is in: its place among the quantiles of doc_id; nulls are in the first."""
-    if n_shards == 1:
-        return F.lit(0)
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n_shards for k in range(1, n_shards)], 10 * n_shards)).first()[0] or []
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0)
-    # Binary search as nested comparisons: a row compares with log2(n) bounds.
-
-    def below(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= F.lit(cuts[mid]), below(lo, mid)).otherwise(below(mid + 1, hi))
-
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(below(0, len(cuts)))
-
-
 def read_token_orc(spark: SparkSession, path: str, lo: int | None = None, hi: int | None = None, doc_ids: list[int] | None = None) -> DataFrame:
-    """doc_id, ids, shard. A range or a short list of ids is pushed to the scan, which skips by stripe statistics and Bloom filters."""
+    """doc_id, ids, n_tokens, shard, row. A range or a short list of ids is pushed to the scan, which skips by stripe statistics and Bloom filters."""
     df = spark.read.orc(path)
     if lo is not None:
         df = df.where(F.col("doc_id") >= lo)
@@ -82,7 +66,7 @@ def read_token_orc(spark: SparkSession, path: str, lo: int | None = None, hi: in
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from the files: sizes of shards, of which there are few, give each shard's start."""
+    """doc_id, start, n_tokens, ids_crc32 from the files: sizes of shards, of which there are few, give each shard's start, the rows' places in it the rest."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def batches(it):
@@ -91,13 +75,13 @@ def token_digests(tokens: DataFrame) -> DataFrame:
             offsets = np.asarray(col.offsets)
             ids = np.asarray(col.values).astype("<u4")
             crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "shard", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "shard", "row", "n_tokens", "ids_crc32"])
 
-    digests = tokens.select("doc_id", "ids", "shard").mapInArrow(batches, f"doc_id {kind}, shard int, n_tokens long, ids_crc32 long")
-    totals = tokens.groupBy("shard").agg(F.sum(F.size("ids")).cast("long").alias("shard_tokens"))
+    digests = tokens.select("doc_id", "ids", "shard", "row").mapInArrow(batches, f"doc_id {kind}, shard int, row long, n_tokens long, ids_crc32 long")
+    totals = tokens.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
     ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("shard", F.coalesce(F.sum("shard_tokens").over(ahead), F.lit(0)).alias("shard_start"))
-    inside = Window.partitionBy("shard").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         digests.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         .join(offsets, "shard")
