@@ -1,7 +1,8 @@
 """Token counts by rank-synchronous merging: a batch's distinct pre-tokens as ragged arrays, each sequence's lowest-rank pair applied at once.
 
-Exact for a SentencePiece BPE model with identity normalisation, a dummy prefix, kept white space and byte fallback. Defined results: a null
-or empty text has 0 bytes and 0 tokens; repeated rows are counted each; columns other than doc_id and text are not read.
+Exact for a SentencePiece BPE model with identity normalisation, a dummy prefix, kept white space and byte fallback. A run of spaces, whose pieces share the last rank of all, is
+counted from its length once the word behind it is. Defined results: a null or empty text has 0 bytes and 0 tokens; a very long text or run is counted like others, in time
+that grows with its length; repeated rows are counted each; an empty table gives an empty result; doc_id may be of any type; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -58,6 +59,11 @@ class PieceRanks:
         self.leftmost = alone | shared
         self.pairs = R.RunCache()
         self.pairs.add(self._key(lefts, rights))
+        runs = {len(s): rank[k] for s, k in symbol.items() if k < self.n_pieces and set(s) == {_MARK}}
+        # Runs of the mark of 1, 2, ... that are pieces, if they merge after all others and by one rank; None where they do not.
+        held = [k for s, k in symbol.items() if k < self.n_pieces and _MARK in s[1:] and set(s) != {_MARK}]
+        self.runs = frozenset(runs) if {1, 2} <= set(runs) and set(runs.values()) == {rank.max()} and not held else None
+        self.of_run: dict[int, int] = {}
 
     @staticmethod
     def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,6 +77,33 @@ class PieceRanks:
         row[(a < 0) | (b < 0)] = -1
         return np.where(row >= 0, self.rank[row], _NEVER), np.where(row >= 0, self.merged[row], -1)
 
+    def count_run(self, n: int) -> int:
+        """Pieces of n marks: of equal ranks the leftmost pair goes first, so a run is merged from the left as it is read."""
+        if self.runs is None:
+            return int(self.count([_MARK * n])[0])
+        if n not in self.of_run:
+            stack: list[int] = []
+            for _ in range(n):
+                stack.append(1)
+                while len(stack) > 1 and stack[-2] + stack[-1] in self.runs:
+                    last = stack.pop()
+                    stack[-1] += last
+            if len(self.of_run) > 100_000:
+                self.of_run.clear()
+            self.of_run[n] = len(stack)
+        return self.of_run[n]
+
+    def count_after(self, marks: list[int], words: list[str]) -> np.ndarray:
+        """Surviving symbols of each word behind so many marks. Of more than two the word takes one or none, as behind two of them."""
+        if self.runs is None:
+            return self.count([_MARK * m + w for m, w in zip(marks, words, strict=True)])
+        wide = [k for k, m in enumerate(marks) if m > 2]
+        out = self.count([_MARK * min(m, 2) + w for m, w in zip(marks, words, strict=True)])
+        one = self.count([_MARK + words[k] for k in wide])
+        for k, n in zip(wide, one.tolist(), strict=True):
+            out[k] = n - 1 + self.count_run(marks[k]) if out[k] == n else n + self.count_run(marks[k] - 1)
+        return out
+
     def count(self, texts: list[str]) -> np.ndarray:
         """Surviving symbols of each pre-token; one outside the vocabulary counts its UTF-8 bytes."""
         size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -161,8 +194,8 @@ class TokenCounter:
                 rows[:] = -1
             new, at = np.unique(h[rows < 0], return_index=True)
             at = np.flatnonzero(rows < 0)[at]
-            found = [_MARK * k + whole[a:b].decode("utf-8", "replace") for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), spaces[at].tolist(), strict=True)]
-            self.known.extend(self.ranks.count(found), np.ones(len(found), np.int64))
+            found = [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            self.known.extend(self.ranks.count_after(spaces[at].tolist(), found), np.ones(len(found), np.int64))
             self.cache.add(new)
             rows = self.cache.find(h)
         out = R.per_text(self.known.flat[rows], starts, bounds)
@@ -171,7 +204,7 @@ class TokenCounter:
         np.maximum.at(stop, text, ends)
         tail = bounds[1:] - stop + ((np.diff(bounds) > 0) & (stop == bounds[:-1]))
         for k in np.flatnonzero(tail):
-            out[k] += self.ranks.count([_MARK * int(tail[k])])[0]
+            out[k] += self.ranks.count_run(int(tail[k]))
         return out
 
 
