@@ -1,13 +1,14 @@
 """Toxicity by noisy-channel deobfuscation: disguised words are restored by Viterbi decoding, then the restored text is scored.
 
-A word is suspicious where signs or digits stand inside or beside its letters, or a letter is repeated; so is a row of single letters. Its characters open a lattice:
+A word is suspicious where signs or digits stand between or beside its letters, or a letter is repeated; so is a row of four or more single letters, with or without signs between. Its characters open a lattice:
 a leet sign may stand for letters, a separator for nothing, a repeated letter for one or two of it; the path that is best under a character
 trigram model of the whole corpus plus the channel's costs is the word restored. Texts are scored by the lower confidence bounds of the log odds that their
 letter runs show in labelled texts, and a logistic function of the highest and the sum of these.
 
-Defined results: a null or empty text gets the score of a text without evidence; repeated rows are scored each; a document with several labels is toxic if one
-says so; without labels of both kinds to learn from every score is 0; columns other than doc_id and text are not read, nor are labels, lang, source or doc_id
-part of a score.
+Defined results: a null or empty text gets the score of a text without evidence; a word of any length is decoded whole; letters are a-z and those of Latin-1, other scripts are
+boundaries of words; repeated rows are scored each; a document with several labels is toxic if one says so; without labels of both kinds to learn from every score is 0; an
+empty table gives an empty result; columns other than doc_id and text are not read, nor are labels, lang, source or doc_id part of a score; a column of the caller's that is
+named as the score stays, and the score gets the next free name.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runs as R
-from .common import materialize, table
+from .common import free_name, materialize, table
 
 #: Labelled rows to learn from at most (a random sample by hash where there are more); size of the hashed table of letter runs.
 MAX_LABELLED, TABLE_BITS = 30_000, 20
@@ -45,6 +46,8 @@ _MIXED[[ord(c) for c in "0123456789@$!|+("]] = True
 _APART = np.zeros(256, bool)
 _APART[[ord(c) for c in SEPARATORS]] = True
 _RUN = re.compile(r"(.)\1*", re.S)
+#: Signs around a single letter that are no part of it.
+_AROUND = ".-_*~'`,/\\#;:?\"%&()[]{}<>="
 
 
 def _symbols(text: str) -> list[int]:
@@ -97,45 +100,72 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log((three + 20 * p2[None]) / (three.sum(2, keepdims=True) + 20))
 
 
-def restore(word: str, lm: np.ndarray) -> str:
-    """The most likely letters behind a disguised word: Viterbi over (last two letters), a step for each run of equal characters."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def _arcs(c: str, n: int) -> list[tuple[str, list[int], float]]:
+    """(letters, symbols, cost) that a run of n equal characters may stand for."""
+    if c.isalpha():
+        arcs = [(c * n, 0.0)] if n < 3 else [(c, SINGLE), (c * 2, DOUBLE)]
+        if n == 2:
+            arcs.append((c, DOUBLE))
+    else:
+        arcs = [(x * k, SUBSTITUTE * k) for x in LEET.get(c, "") for k in sorted({n, 1, 2} if n < 4 else {1, 2}) if k <= n]
+        if c in SEPARATORS or not arcs:
+            arcs.append(("", DELETE))
+    return [(out, _symbols(out), cost) for out, cost in arcs]
+
+
+def _settled(back: list[dict], state: tuple[int, int], to: int) -> str:
+    """Letters of the best path to a state of layer to, back being the layers' (state before, letters)."""
+    out = []
+    for layer in reversed(back[:to]):
+        state, letters = layer[state]
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def restore(word: str, lm) -> str:
+    """The most likely letters behind a disguised word: Viterbi over all states (last two letters), a step for each run of equal characters.
+
+    Where all paths have one ancestor, what lies before it is settled and written out, so that a word of any length takes bounded memory as a rule.
+    """
+    best, back, done = {(0, 0): 0.0}, [], []
     for m in _RUN.finditer(word):
-        c, n = m[1], len(m[0])
-        if c.isalpha():
-            arcs = [(c * n, 0.0)] if n < 3 else [(c, SINGLE), (c * 2, DOUBLE)]
-            if n == 2:
-                arcs.append((c, DOUBLE))
-        else:
-            arcs = [(x * k, SUBSTITUTE * k) for x in LEET.get(c, "") for k in ({n, 1, 2} if n < 4 else {1, 2}) if k <= n]
-            if c in SEPARATORS or not arcs:
-                arcs.append(("", DELETE))
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
-            for out, cost in arcs:
-                x, y, s = a, b, score - cost
-                for z in _symbols(out):
-                    s += lm[x, y, z]
+        step: dict[tuple[int, int], float] = {}
+        layer: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for state, score in best.items():
+            for out, symbols, cost in _arcs(m[1], len(m[0])):
+                (x, y), s = state, score - cost
+                for z in symbols:
+                    s += lm[x][y][z]
                     x, y = y, z
-                if (x, y) not in step or step[x, y][0] < s:
-                    step[x, y] = (s, text + out)
-        best = dict(sorted(step.items(), key=lambda kv: -kv[1][0])[:24])
-    ends = [(s + lm[a, b, 0], t) for (a, b), (s, t) in best.items()]
-    return max(ends)[1] if ends else ""
+                if (x, y) not in step or step[x, y] < s:
+                    step[x, y], layer[x, y] = s, (state, out)
+        best = step
+        back.append(layer)
+        if len(back) % 512 == 0:
+            states, at = set(best), len(back)
+            while at and len(states) > 1:
+                at -= 1
+                states = {back[at][x][0] for x in states}
+            if at:
+                done.append(_settled(back, next(iter(states)), at))
+                back = back[at:]
+    (a, b) = max(best, key=lambda x: best[x] + lm[x[0]][x[1]][0])
+    return "".join(done) + _settled(back, (a, b), len(back))
 
 
 class Deobfuscator:
     """Letters of texts with the restored words after them, for a batch at a time; restored words are kept per worker."""
 
     def __init__(self, lm: np.ndarray):
-        self.lm, self.known = lm, {}
+        self.lm, self.known = lm.tolist(), {}
 
     def _restored(self, word: str) -> str:
+        if len(word) > 256:  # not worth keeping
+            return restore(word, self.lm)
         if word not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            # A very long run without white space is restored piece by piece.
-            self.known[word] = " ".join(restore(word[k : k + 64], self.lm) for k in range(0, len(word), 64))
+            self.known[word] = restore(word, self.lm)
         return self.known[word]
 
     def letters(self, column):
@@ -164,16 +194,21 @@ class Deobfuscator:
             return {}
         ends = R.word_ends(data, bounds, starts)
         letter, space = _LETTER[data], R.IS_SPACE[data]
-        before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
-        before[1:], after[:-1] = letter[:-1], letter[1:]
-        odd = ~letter & ~space
+        odd, mixed = ~letter & ~space, _MIXED[data]
+        # The nearest letters on both sides of a sign, if they are of its word.
+        at = np.arange(len(data))
+        first_letter = np.minimum.reduceat(np.where(letter, at, len(data)), starts)
+        last_letter = np.maximum.reduceat(np.where(letter, at, -1), starts)
+        word_of = np.searchsorted(starts, at, "right") - 1
+        between = odd & (at > first_letter[word_of]) & (at < last_letter[word_of]) & (at < ends[word_of])
         thrice = np.zeros(len(data), bool)
         thrice[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
-        two_apart = np.zeros(len(data), bool)
-        two_apart[1:-2] = odd[1:-2] & odd[2:-1] & letter[:-3] & letter[3:]
-        flag = odd & before & after | two_apart | thrice | (_MIXED[data] & (data != ord("!")) & after)
-        seen = np.logical_or.reduceat(flag, starts) if len(starts) else flag[:0]
-        # A digit or sign at a word's end belongs to it where it is a single one: "mor0", not "end!!".
+        # Leet signs before a letter, or right behind one at the word's end: "4ss", "mor0", "a$$"; but not "end!".
+        beside = np.zeros(len(data), bool)
+        beside[:-1] = letter[1:]
+        beside[1:] |= letter[:-1]
+        flag = between | thrice | mixed & (data != ord("!")) & beside
+        seen = np.logical_or.reduceat(flag, starts)
         text = np.searchsorted(bounds, starts, "right") - 1
         out: dict[int, list[str]] = {}
         whole = data.tobytes()
@@ -181,17 +216,21 @@ class Deobfuscator:
             word = whole[starts[k] : ends[k]].decode("utf-8", "replace").strip(".,;:?!\"'*%&#()[]{}<>=")
             if any(c.isalpha() for c in word):
                 out.setdefault(int(text[k]), []).append(self._restored(word))
-        # Rows of single letters, with or without a sign behind each.
-        alone = ends - starts == 1
-        alone &= letter[starts] | _MIXED[data[starts]]
-        same = np.r_[False, text[1:] == text[:-1]]
-        begins = alone & ~(np.r_[False, alone[:-1]] & same)
-        where = np.flatnonzero(begins)
-        stops = np.flatnonzero(alone & ~(np.r_[alone[1:], False] & np.r_[same[1:], False]))
-        for a, b in zip(where.tolist(), stops.tolist(), strict=True):
-            if b - a >= 3:
-                word = "".join(chr(data[starts[k]]) for k in range(a, b + 1))
-                out.setdefault(int(text[a]), []).append(self._restored(word))
+        # Rows of single letters: words of one letter or leet sign, with any separators; words of separators alone do not end a row.
+        inside = ~space
+        n_letters = np.add.reduceat((letter & ((data < 0x80) | (data >= 0xC0)) & inside).astype(np.int64), starts)
+        n_leet = np.add.reduceat(((mixed & ~_APART[data]) & inside).astype(np.int64), starts)
+        single = n_letters + n_leet == 1
+        ends_row = n_letters + n_leet > 1
+        new_text = np.r_[True, text[1:] != text[:-1]]
+        row = np.cumsum(ends_row | new_text)
+        some = np.flatnonzero(single)
+        if len(some) >= 4:
+            heads = np.flatnonzero(np.r_[True, row[some][1:] != row[some][:-1]])
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(some)], strict=True):
+                if b - a >= 4 and n_letters[some[a:b]].any():
+                    word = "".join(whole[starts[k] : ends[k]].decode("utf-8", "replace").strip(_AROUND) for k in some[a:b].tolist())
+                    out.setdefault(int(text[some[a]]), []).append(self._restored(word))
         return out
 
 
@@ -296,8 +335,8 @@ def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, max_labelled: int =
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
-    """Every column of docs and a last one, the score from 0 to 1; a column of docs that has its name gives way."""
-    docs = docs.drop(name)
+    """Every column of docs and a last one, the score from 0 to 1, under the name given or, where docs has that already, the next free one."""
+    name = free_name(name, docs)
     lm = language_model(docs)
     model = fit(docs, labels, lm)
     names = docs.columns
