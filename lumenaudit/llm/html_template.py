@@ -8,8 +8,8 @@ pages without a slot. Texts that are themselves template tokens, inside the slot
 
 Pages of equal sets of containers are a layout; a token that is frequent in a layout or in the whole host is template on all pages of the host. Occurrence vectors are
 summed fingerprints, so hosts of any size aggregate in parts. Pages of equal texts count once. Defined results: null or empty html gives an empty string; a null
-url is a host of its own; repeated rows are pages of their own; a host of one page uses its elements alone; broken or cut markup is read as far as it goes;
-columns other than page_id, url and html are not read.
+url is a host of its own; repeated rows are pages of their own; a host of one page uses its elements alone; broken or cut markup is read as far as it goes; a page or
+text of any length is read whole; an empty table gives an empty result; columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -84,6 +84,11 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, str, int, in
     stack: list[tuple[str, str, int]] = []  # tag, path of its block, level of no content
     parts: list[str] = []
     state = [0, _KEPT]  # characters in links, level of the open block
+    links = [0]  # open links
+
+    def cut(depth: int) -> None:
+        links[0] -= sum(t == "a" for t, _, _ in stack[depth:])
+        del stack[depth:]
 
     def flush() -> None:
         if parts:
@@ -100,12 +105,12 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, str, int, in
         if not parts:
             state[1] = no
         parts.append(raw)
-        if any(t == "a" for t, _, _ in stack[-4:]):
+        if links[0]:
             state[0] += len(raw)
 
     def close_to(depth: int) -> None:
         flush()
-        del stack[depth:]
+        cut(depth)
 
     at, page = 0, page or ""
     for m in _TOKEN.finditer(page):
@@ -121,7 +126,7 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, str, int, in
                 if tag not in _INLINE:
                     flush()
             elif tag in _INLINE:
-                del stack[depth:]
+                cut(depth)
             else:
                 close_to(depth)
             continue
@@ -137,17 +142,18 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, str, int, in
         if tag in _INLINE:
             name, no = _element(tag, m[4], True)
             stack.append((tag, outer[1], _OUT if no == _OUT else outer[2]))
+            links[0] += tag == "a"
             continue
         flush()
         if tag in _CLOSES:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in _CLOSES[tag]:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] not in _INLINE:
                     break
         while stack and stack[-1][0] in _INLINE:
-            stack.pop()
+            cut(len(stack) - 1)
         outer = stack[-1] if stack else ("", "", _KEPT)
         name, no = _element(tag, m[4], any(t in ("article", "main") for t, _, _ in stack))
         stack.append((tag, f"{outer[1]}/{name}", max(outer[2], no)))
