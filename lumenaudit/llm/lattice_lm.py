@@ -1,57 +1,59 @@
 """Language-model scores by subword lattice likelihood: a text's probability is the sum over all its segmentations into vocabulary pieces.
 
-The vocabulary is that of an existing file; its pieces' probabilities start from its scores and are fitted to the corpus by expectation maximisation
-over the lattices of all training words. A forward recursion in log space sums a word's segmentations; a word known from training has one more arc,
-itself whole, whose probability is its discounted share of the training tokens, and what the discount frees is the weight of the lattice of pieces.
-So the words' probabilities and the end's sum to one. Words meet counts and probabilities by joins on the word, never through the driver.
-A document's probability is the product over its words in order, and what it has said already is one more arc of a word: a discounted share of the words
-before it in the same document, which grows with their number (a Pitman-Yor restaurant whose base is the lattice).
+The vocabulary is that of an existing file. A piece's weight comes from its score: the score is the prior of a fit to the corpus, expectation maximisation over the lattices of all
+training words, and alone the weight where there is nothing to learn from. Pieces and the end share one distribution, so the probabilities of all texts sum to at most one. A forward
+recursion in log space sums the segmentations; pieces do not cross white space, so a text's sum is the product of its words' sums and the end's.
+Words meet counts and probabilities by joins on the word, never through the driver. Texts are read once: chunks of bounded bytes keep each document as numbers of its chunk's distinct words.
 
 Defined results: a null, empty or blank text is its end alone; repeated rows are scored, and where they train counted, each; a null doc_id
-trains; without training rows c and N are 0 and the pieces keep the probabilities of their scores; characters outside the vocabulary are
-spelled in bytes; columns other than doc_id and text are not read.
+trains; a very long text is a chunk of its own; without training rows c and N are 0 and the pieces have the weights of their scores; an empty table gives an empty result; characters
+outside the vocabulary are spelled in bytes, as is the mark of a word's start inside a word; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import runs as R
-from .common import materialize, table, tokenizer_path
+from .common import discard, materialize, table, tokenizer_path
 
-#: Documents whose words are looked up together; rounds of expectation maximisation; pseudo-count of a piece; longest piece in characters.
-CHUNK_ROWS, ROUNDS, PRIOR, LONGEST = 16_384, 3, 0.01, 16
+#: Bytes of text that make a chunk, about; rounds of expectation maximisation; what the vocabulary's scores weigh against the corpus, in tokens.
+CHUNK_BYTES, ROUNDS, PRIOR = 16 << 20, 3, 1_000.0
 ADD = 0.1
-#: Words that the corpus weighs against those said before in a document, and what each distinct one of these gives back to the corpus.
-STRENGTH, GIVEN_BACK = 100.0, 0.85
 _MARK = "▁"
-_PLACE = np.random.default_rng(41).integers(1, 2**62, LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NEG = -1e30
 
 
+def start_weights(scores: np.ndarray) -> np.ndarray:
+    """Weights of pieces from a vocabulary's scores: log probabilities are taken as they are; other scores fall by one a rank, and rank r weighs 1 / (r + 10)."""
+    as_logs = np.exp(np.minimum(scores, 0))
+    if 0.9 < as_logs.sum() < 1.1:
+        return as_logs
+    return 1 / (10 - np.minimum(scores, 0))
+
+
 class Vocabulary:
-    """Pieces that a word can be made of (256 bytes first), each with a start probability from its score."""
+    """Pieces that a word can be made of, 256 bytes first, and the start log probability of each from its score."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(path))
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        pieces = [(sp.id_to_piece(i), sp.get_score(i)) for i in plain]
-        pieces = [(p, s) for p, s in pieces if len(p) <= LONGEST and _MARK not in p[1:] and not any("A" <= c <= "Z" for c in p)]
-        # A score says no more than a rank: start from Zipf's law over ranks.
-        rank = np.argsort(np.argsort([-s for _, s in pieces], kind="stable"), kind="stable")
-        weight = np.concatenate([np.full(256, 1e-4), 1.0 / (rank + 10.0)])
+        # Texts are in lower case and words hold no white space: other pieces have no place in a lattice.
+        pieces = [(p, sp.get_score(i)) for i in plain if _MARK not in (p := sp.id_to_piece(i))[1:] and not any("A" <= c <= "Z" for c in p)]
+        weight = np.concatenate([np.full(256, 1e-4), start_weights(np.array([s for _, s in pieces]))])
         self.start = np.log(weight / weight.sum())
-        self.size = len(weight)
+        self.size, self.longest = len(weight), max(len(p) for p, _ in pieces)
+        self.place = np.random.default_rng(41).integers(1, 2**62, self.longest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         h = np.empty(len(pieces), np.uint64)
         for k, (p, _) in enumerate(pieces):
             code = np.array([ord(c) for c in p], np.uint64)
-            h[k] = (code * _PLACE[: len(p)]).sum() + np.uint64(len(p))
+            h[k] = (code * self.place[: len(p)]).sum() + np.uint64(len(p))
         self.rows = R.RunCache()
         self.rows.add(self._key(h))
 
@@ -64,10 +66,14 @@ class Vocabulary:
     def arcs(self, code: np.ndarray) -> list[np.ndarray]:
         """For words (rows) of equal length: by piece length l, the piece (or -1) at each start; 256 and over are pieces, bytes stand for none here."""
         out, h = [], np.zeros(code.shape, np.uint64)
-        for n in range(1, min(LONGEST, code.shape[1]) + 1):
-            h = h[:, : code.shape[1] - n + 1] + code[:, n - 1 :] * _PLACE[n - 1]
+        marks = code[:, 1:] == ord(_MARK)
+        for n in range(1, min(self.longest, code.shape[1]) + 1):
+            h = h[:, : code.shape[1] - n + 1] + code[:, n - 1 :] * self.place[n - 1]
             row = self.rows.find(self._key((h + np.uint64(n)).T.ravel())).reshape(h.shape[::-1]).T
             out.append(np.where(row >= 0, row + 256, -1))
+        if marks.any():  # a mark of the text's own starts no word
+            for a in out:
+                a[:, 1:][marks[:, : a.shape[1] - 1]] = -1
         return out
 
 
@@ -153,160 +159,138 @@ def log_probabilities(words: list[bytes], voc: Vocabulary, logp: np.ndarray) ->
     return out
 
 
-def said_before(word: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word (its number and its text, texts in order): how often its text has it before, how many words and how many distinct ones come before."""
-    n = len(word)
-    bits, word_bits = n.bit_length(), int(word.max(initial=0)).bit_length()
-    if bits + word_bits + int(text.max(initial=0)).bit_length() < 64:  # the same word of a text in its order, sorted as one number each
-        packed = np.sort((text << (word_bits + bits)) | (word << bits) | np.arange(n))
-        order, key = packed & ((1 << bits) - 1), packed >> bits
-        again = key[1:] == key[:-1]
-    else:
-        order = np.lexsort((word, text))
-        again = (word[order][1:] == word[order][:-1]) & (text[order][1:] == text[order][:-1])
-    new = np.ones(n, bool)
-    new[1:] = ~again
-    at = np.arange(n)
-    count, first = np.empty(n, np.int64), np.empty(n, np.int64)
-    count[order] = at - np.maximum.accumulate(np.where(new, at, 0))
-    first[order] = new
-    begins = np.searchsorted(text, text)
-    ahead = np.cumsum(first) - first
-    return count, at - begins, ahead - ahead[begins]
-
-
-def adapted(lp: np.ndarray, word: np.ndarray, text: np.ndarray, end: float) -> np.ndarray:
-    """log10 probability of each word after those before it in its text; lp is that of the corpus, end the probability of an end."""
-    count, words, distinct = said_before(word, text)
-    with np.errstate(divide="ignore"):
-        again = np.log((1 - end) * np.maximum(count - GIVEN_BACK, 0) / (words + STRENGTH))
-    fresh = np.log((STRENGTH + GIVEN_BACK * distinct) / (words + STRENGTH)) + lp * np.log(10)
-    return np.logaddexp(again, fresh) / np.log(10)
-
-
-def chunked(docs: DataFrame) -> DataFrame:
-    """doc_id, text, held_out, chunk: a chunk is a stretch of rows of one file, the same whenever it is read."""
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
-
-    def of(df: DataFrame) -> DataFrame:
-        chunk = F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {CHUNK_ROWS}"))
-        return df.select("doc_id", "text", held.alias("held_out"), chunk.alias("chunk"))
-
-    try:
-        return of(docs)
-    except AnalysisException:  # not read from files
-        return of(materialize(docs.select("doc_id", "text"), "lm-documents"))
-
-
-def _chunk_words(it):
-    """(chunk, h, word, n): the words of a batch, n counts those of training rows."""
-    for b in it:
-        held, chunk = np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool), b.column(2).to_numpy()
-        for key in np.unique(chunk):
-            rows = np.flatnonzero(chunk == key)
-            found: dict[str, list] = {"h": [], "n": [], "word": []}
-            hs, ws, ns = [], [], []
-            for first, _, raw, bounds in R.text_chunks(b.column(0).take(pa.array(rows)), 1 << 22):
-                data = R.lower_ascii(raw)
-                starts = R.word_starts(data, bounds) if len(data) else np.empty(0, np.int64)
-                if not len(starts):
-                    continue
-                ends = R.word_ends(data, bounds, starts)
-                h = R.fingerprints(data, starts, ends)
-                train = ~held[rows[first + np.searchsorted(bounds, starts, "right") - 1]]
-                u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-                whole = data.tobytes()
-                hs.append(u)
-                ns.append(np.bincount(inv, train, len(u)).astype(np.int64))
-                ws += [whole[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            if not hs:
-                continue
-            h, n = np.concatenate(hs), np.concatenate(ns)
-            u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-            words = pa.array(ws, pa.binary()).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), key)), pa.array(u.view(np.int64)), words, pa.array(np.bincount(inv, n, len(u)).astype(np.int64))], ["chunk", "h", "word", "n"])
-
-
-def fit_pieces(words: DataFrame, vocab: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probability of each piece from the distinct training words (word, c), each of one weight, as the discount takes as much from each.
+def _held_out(doc_id) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
+
+
+class _Chunk:
+    """Distinct words of successive texts, and each text as numbers of them."""
+
+    def __init__(self):
+        self.ids, self.held, self.sizes, self.words, self.parts, self.bytes = [], [], [], [], [], 0
+
+    def add(self, ids: list, held: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> None:
+        data = R.lower_ascii(raw)
+        starts = R.word_starts(data, bounds) if len(data) else np.empty(0, np.int64)
+        ends = R.word_ends(data, bounds, starts) if len(starts) else starts
+        u, at, inv = np.unique(R.fingerprints(data, starts, ends), return_index=True, return_inverse=True)
+        sizes = np.diff(np.searchsorted(starts, bounds))
+        train = np.bincount(inv, np.repeat(~held, sizes), len(u)).astype(np.int64)
+        whole = data.tobytes()
+        self.words += [whole[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        self.parts.append((u, inv, train))
+        self.ids += ids
+        self.held.append(held)
+        self.sizes.append(sizes)
+        self.bytes += len(raw)
+
+    def row(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
+        h = np.concatenate([u for u, _, _ in self.parts])
+        u, at, inv = np.unique(h, return_index=True, return_inverse=True)
+        n = np.bincount(inv, np.concatenate([n for _, _, n in self.parts]), len(u)).astype(np.int64)
+        small = np.uint16 if len(u) < 1 << 16 else np.uint32
+        heads = np.cumsum([0] + [len(p[0]) for p in self.parts])
+        places = np.concatenate([inv[h0 : h0 + len(p[0])].astype(small)[p[1]] for h0, p in zip(heads, self.parts)])
+        held = np.concatenate(self.held)
+        columns = [
+            (number, pa.int64()), (u.view(np.int64), pa.list_(pa.int64())), ([self.words[k] for k in at.tolist()], pa.list_(pa.binary())), (n, pa.list_(pa.int64())), (self.ids, pa.list_(kind)),
+            (held, pa.list_(pa.bool_())), (np.concatenate(self.sizes).astype("<i4").tobytes(), pa.binary()), (places.tobytes(), pa.binary()), (places.itemsize, pa.int32()), (int((~held).sum()), pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in columns], _CHUNK)
+
+
+_CHUNK = ["chunk", "h", "word", "n", "doc_ids", "held", "sizes", "places", "wide", "train"]
+
+
+def chunked(docs: DataFrame, most_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """A row for each chunk of successive documents."""
+    rows = docs.select("doc_id", "text", _held_out(F.col("doc_id")).alias("held"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def chunks(it):
+        part, seq, chunk, arrow_kind = TaskContext.get().partitionId() << 32, 0, _Chunk(), None
+        for b in it:
+            held = np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool)
+            arrow_kind = b.column(0).type
+            for first, to, raw, bounds in R.text_chunks(b.column(1), min(most_bytes, 1 << 22)):
+                if chunk.bytes and chunk.bytes + len(raw) > most_bytes:
+                    yield chunk.row(part + seq, arrow_kind)
+                    chunk, seq = _Chunk(), seq + 1
+                chunk.add(b.column(0)[first:to].to_pylist(), held[first:to], raw, bounds)
+        if chunk.ids:
+            yield chunk.row(part + seq, arrow_kind)
+
+    return rows.mapInArrow(chunks, f"chunk long, h array<long>, word array<binary>, n array<long>, doc_ids array<{kind}>, held array<boolean>, sizes binary, places binary, wide int, train long")
+
+
+def fit_pieces(words: DataFrame, vocab: str, texts: int, rounds: int = ROUNDS, prior: float = PRIOR) -> tuple[np.ndarray, float]:
+    """(log probability of each piece, of the end) from the distinct training words (word, c) and the number of texts; the scores weigh as much as prior tokens.
 
     The driver gets one number a piece and round.
     """
     voc = vocabulary(vocab)
-    logp = voc.start
+    # Before the corpus is seen, a text ends about once in a thousand pieces.
+    before = prior * np.exp(np.append(voc.start + np.log(0.999), np.log(0.001)))
+    logp = np.log(before / before.sum())
     for _ in range(rounds):
 
         def expect(it, logp=logp):
             v, total = vocabulary(vocab), None
             for b in it:
                 total = np.zeros(v.size) if total is None else total
+                c = b.column(1).to_numpy().astype(float)
                 for rows, code in _by_length(b.column(0).to_pylist()):
-                    total += lattice(code, v, logp, np.ones(len(rows)))[1]
+                    total += lattice(code, v, logp[:-1], c[rows])[1]
             if total is not None:
                 some = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
 
-        got = words.where("c > 0").select("word").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        if got.empty:
-            return logp
-        count = np.full(voc.size, PRIOR)
-        count[got["piece"].to_numpy()] += got["n"].to_numpy()
+        got = words.where("c > 0").select("word", "c").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        count = before.copy()
+        count[got["piece"].to_numpy(np.int64)] += got["n"].to_numpy()
+        count[-1] += texts
         logp = np.log(count / count.sum())
-    return logp
+    return logp[:-1], float(logp[-1])
 
 
-def score_texts(docs: DataFrame, vocab: str = "piece_bpe_32k.model") -> DataFrame:
+def score_texts(docs: DataFrame, vocab: str = "piece_bpe_32k.model", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
-    texts = chunked(docs)
-    pairs = texts.select("text", "held_out", "chunk").mapInArrow(_chunk_words, "chunk long, h long, word binary, n long")
-    words = materialize(pairs.groupBy("h").agg(F.sum("n").alias("c"), F.min("word").alias("word")), "lm-words")
-    n_texts = texts.where(~F.col("held_out")).count()
-    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *(F.count_if(c).alias(k) for k, c in (("v", F.col("c") > 0), ("once", F.col("c") == 1), ("twice", F.col("c") == 2)))).first()
+    chunks = materialize(chunked(docs, chunk_bytes), "lm-chunks")
+    words = chunks.select(F.explode(F.arrays_zip("h", "word", "n")).alias("w")).select("w.h", "w.word", "w.n").groupBy("h").agg(F.sum("n").alias("c"), F.min("word").alias("word"))
+    words = materialize(words, "lm-words")
+    n_texts = chunks.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
+    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_all, distinct = int(totals.n) + n_texts, int(totals.v) + (n_texts > 0)
-    logp = fit_pieces(words, vocab)
+    logp, end = fit_pieces(words, vocab, n_texts)
     ln10, below = np.log(10), n_all + ADD * (distinct + 1)
-    # Absolute discounting, by how many words were seen once and twice; without training rows the pieces have all the weight but an end's.
-    discount = min(0.95, max(0.5, totals.once / max(1, totals.once + 2 * totals.twice)))
-    seen, free = (n_all, discount * totals.v / n_all) if totals.v else (1, 0.999)
-    end_score = np.log10(n_texts / n_all if totals.v else 0.001 if not n_texts else 1 - free)
 
     def spell(it):
         v = vocabulary(vocab)
         for b in it:
-            lattice_of = np.log(free) + log_probabilities(b.column(2).to_pylist(), v, logp)
-            c = b.column(1).to_numpy()
-            with np.errstate(divide="ignore"):
-                whole = np.log(np.maximum(c - discount, 0) / seen)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.logaddexp(whole, lattice_of) / ln10)], ["h", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(log_probabilities(b.column(2).to_pylist(), v, logp) / ln10)], ["h", "c", "lp"])
 
     scored = materialize(words.select("h", "c", "word").mapInArrow(spell, "h long, c long, lp double"), "lm-scored")
-    looked_up = pairs.select("chunk", "h").distinct().join(scored, "h").select(F.col("chunk").alias("d_chunk"), "h", "c", "lp")
+    discard(words)
+    looked_up = chunks.select(F.col("chunk").alias("d_chunk"), F.posexplode("h").alias("pos", "h")).join(scored, "h").select("d_chunk", "pos", "c", "lp")
     kind = docs.schema["doc_id"].dataType.simpleString()
     end_base = np.log10((n_texts + ADD) / below)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        h = right.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        h, c, lp = h[order], right.column("c").to_numpy()[order], right.column("lp").to_numpy()[order]
-        base = np.log10((c + ADD) / below)
-        n = len(left)
-        tokens, known, base_sum, lp_sum = np.ones(n, np.int64), np.full(n, int(n_texts > 0), np.int64), np.full(n, end_base), np.full(n, end_score)
-        for first, to, raw, bounds in R.text_chunks(left.column("text"), 1 << 22):
-            data = R.lower_ascii(raw)
-            starts = R.word_starts(data, bounds) if len(data) else np.empty(0, np.int64)
-            if not len(starts):
-                continue
-            at = np.searchsorted(h, R.fingerprints(data, starts, R.word_ends(data, bounds, starts)))
-            rows = slice(first, to)
-            tokens[rows] += R.per_text(np.ones(len(starts), np.int64), starts, bounds)
-            known[rows] += R.per_text((c[at] > 0).astype(np.int64), starts, bounds)
-            text = np.searchsorted(bounds, starts, "right") - 1
-            base_sum[rows] += np.bincount(text, base[at], to - first)
-            lp_sum[rows] += np.bincount(text, adapted(lp[at], at, text, 10**end_score), to - first)
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(n, n_all), "base_score": base_sum, "score": lp_sum})
+        """One chunk: its row, and its words' counts and log probabilities."""
+        r = {c: left.column(c)[0] for c in left.column_names}
+        pos = right.column("pos").to_numpy()
+        c, lp = np.empty(len(pos), np.int64), np.empty(len(pos))
+        c[pos], lp[pos] = right.column("c").to_numpy(), right.column("lp").to_numpy()
+        sizes = np.frombuffer(r["sizes"].as_py(), "<i4").astype(np.int64)
+        places = np.frombuffer(r["places"].as_py(), f"<u{r['wide'].as_py()}")
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        of_text = lambda x: np.bincount(text, x[places], len(sizes))
+        known = of_text((c > 0).astype(float)).astype(np.int64) + int(n_texts > 0)
+        return pa.table({"doc_id": r["doc_ids"].values, "held_out": r["held"].values, "n_tokens": sizes + 1, "n_known": known, "train_tokens": np.full(len(sizes), n_all), "base_score": of_text(np.log10((c + ADD) / below)) + end_base, "score": of_text(lp) + end / ln10})
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("chunk").cogroup(looked_up.groupBy("d_chunk")).applyInArrow(score, schema)
+    own = chunks.select("chunk", "doc_ids", "held", "sizes", "places", "wide")
+    return own.groupBy("chunk").cogroup(looked_up.groupBy("d_chunk")).applyInArrow(score, schema)
 
 
 def op10_lattice_lm(spark, sf_dir: str) -> DataFrame:
