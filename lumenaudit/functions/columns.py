@@ -13,7 +13,7 @@ SPLIT_RATIOS = (("train", 0.70), ("val", 0.85))
 BAND_HIGH, BAND_LOW, RISK_LOW, RISK_MEDIUM = 0.65, 0.35, 0.3, 0.6
 #: Typographic characters and their plain forms.
 PLAIN_FORMS = {"—": "--", "–": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "...", " ": " ", "•": "*", "×": "x"}
-#: Accepted extensions by media type, licences, and leading bytes by extension as (hex, offset).
+#: Accepted extensions by media type, and accepted licences.
 IMAGE_EXTENSIONS, VIDEO_EXTENSIONS = ("jpg", "jpeg", "png", "webp"), ("mp4", "mov", "avi", "mkv")
 ACCEPTED_LICENSES = ("cc0", "pd", "public domain", "cc-by", "cc-by-sa")
 

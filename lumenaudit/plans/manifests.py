@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import columns as C
+from ..operators import content as N
 from ..operators import relational as R
 from ..sources import tables as S
 from ..sources.scratch import scratch_path
@@ -151,31 +152,16 @@ _CHARS_SQL = "(SELECT doc_id, unnest(string_split(text, '')) AS symbol FROM docu
 _ENTROPY_SQL = f"(SELECT doc_id, -sum(p * log2(p)) AS entropy FROM (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, symbol, count(*)::DOUBLE AS n FROM {_CHARS_SQL} GROUP BY 1, 2)) GROUP BY doc_id)"
 
 
-def symbol_entropy(df: DataFrame, key: str, symbols: Column) -> DataFrame:
-    """Shannon entropy in bits of each row's symbols: counted by key and symbol before any row is brought together."""
-    counts = df.select(key, F.explode(symbols).alias("symbol")).groupBy(key, "symbol").count()
-    p = F.col("count") / F.sum("count").over(Window.partitionBy(key))
-    return counts.withColumn("p", p).groupBy(key).agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
-
-
 @query("c10_symbol_entropy", f"SELECT doc_id, round(entropy, 6) AS entropy FROM {_ENTROPY_SQL}")
 def _(spark, sf):
-    return symbol_entropy(t(spark, sf, "documents"), "doc_id", F.split("text", "")).select("doc_id", r6("entropy").alias("entropy"))
-
-
-def quality_gate(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
-    """df with reject_reason: the first rule that fails, or null for a row that is kept."""
-    reason = F.lit(None).cast("string")
-    for name, fails in reversed(rules):
-        reason = F.when(fails, name).otherwise(reason)
-    return df.withColumn("reject_reason", reason)
+    return N.text_entropy(t(spark, sf, "documents"), ["doc_id"], "text").where("entropy is not null").select("doc_id", r6("entropy").alias("entropy"))
 
 
 @query("c9_quality_gate", f"SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'unreadable' WHEN n_chars < 384 THEN 'too_small' WHEN entropy < 4.0 THEN 'low_entropy' END AS reject_reason FROM documents LEFT JOIN {_ENTROPY_SQL} USING (doc_id)")
 def _(spark, sf):
     d = t(spark, sf, "documents")
-    d = d.join(symbol_entropy(d, "doc_id", F.split("text", "")), "doc_id", "left")
-    return quality_gate(d, [("unreadable", F.coalesce(F.col("text") == "", F.lit(True))), ("too_small", F.col("n_chars") < 384), ("low_entropy", F.col("entropy") < 4.0)]).select("doc_id", "reject_reason")
+    d = N.text_entropy(d.withColumn("empty", F.coalesce(F.col("text") == "", F.lit(True))), ["doc_id", "n_chars", "empty"], "text")
+    return N.quality_gate(d, [("unreadable", F.col("empty")), ("too_small", F.col("n_chars") < 384), ("low_entropy", F.col("entropy") < 4.0)]).select("doc_id", "reject_reason")
 
 
 @query("c11_crop_box", "SELECT p_partkey, least(w, h) AS side, (w - least(w, h)) // 2 AS left_x, (h - least(w, h)) // 2 AS top_y FROM (SELECT p_partkey, p_size * 7 AS w, p_size * 4 + 100 AS h FROM part)")
@@ -239,15 +225,9 @@ def frames(spark, sf: str) -> DataFrame:
     return t(spark, sf, "events").withColumn("frame_idx", F.row_number().over(w) - 1).withColumn("score", F.col("value") / 500)
 
 
-def sample_frames(df: DataFrame, media: str, index: str, count: int) -> DataFrame:
-    """Rows of evenly spread frames of each media item."""
-    total = F.count(F.lit(1)).over(Window.partitionBy(media))
-    return df.withColumn("_at", C.even_indices(total, count)).where(F.array_contains("_at", F.col(index))).drop("_at")
-
-
 @query("c19_even_frames", f"SELECT user_id, frame_idx FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS total FROM {_FRAMES_SQL}) WHERE CASE WHEN 8 >= total THEN true ELSE list_contains(list_transform(range(0, 8), lambda i: CAST(floor(i * (total / 8.0::DOUBLE)) AS BIGINT)), frame_idx) END")
 def _(spark, sf):
-    return sample_frames(frames(spark, sf), "user_id", "frame_idx", 8).select("user_id", "frame_idx")
+    return N.sample_frames(frames(spark, sf), "user_id", "frame_idx", 8).select("user_id", "frame_idx")
 
 
 @query("c20_frame_time", f"SELECT user_id, frame_idx, round(CASE WHEN user_id % 7 > 0 THEN frame_idx / (user_id % 7)::DOUBLE ELSE 0 END, 6) AS seconds, round(CASE WHEN user_id % 7 > 0 THEN count(*) OVER (PARTITION BY user_id) / (user_id % 7)::DOUBLE END, 6) AS total FROM {_FRAMES_SQL}")
@@ -256,15 +236,10 @@ def _(spark, sf):
     return f.select("user_id", "frame_idx", r6(C.frame_time(F.col("frame_idx"), fps)).alias("seconds"), r6(C.duration(F.count(F.lit(1)).over(Window.partitionBy("user_id")), fps)).alias("total"))
 
 
-def validate_records(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """df with violations: the names of the rules that a row breaks."""
-    return df.withColumn("violations", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()])))
-
-
 @query("c21_validate_records", "SELECT o_orderkey, concat_ws(',', CASE WHEN NOT (o_orderstatus IN ('F','O')) THEN 'status' END, CASE WHEN NOT (o_totalprice BETWEEN 0 AND 200000) THEN 'price' END) AS violations FROM orders")
 def _(spark, sf):
     rules = {"status": F.col("o_orderstatus").isin("F", "O"), "price": F.col("o_totalprice").between(0, 200000)}
-    return validate_records(t(spark, sf, "orders"), rules).select("o_orderkey", F.array_join("violations", ",").alias("violations"))
+    return N.validate_records(t(spark, sf, "orders"), rules).select("o_orderkey", F.array_join("violations", ",").alias("violations"))
 
 
 @query("c22_client_key", "SELECT page_id, coalesce(nullif(trim(string_split(CASE WHEN page_id % 2 = 0 THEN ' ' || url || ', proxy' END, ',')[1]), ''), regexp_extract(url, '//([^/]+)', 1), 'unknown') AS client FROM pages")
@@ -319,24 +294,10 @@ _HASH_SQL = """(SELECT doc_id, source, list_sum(list_transform(range(0, 64), lam
 _SIGNED = "CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT)"
 
 
-def dhash(cells: Column) -> Column:
-    """64 bits, the first the highest: whether each of 65 cells is less than the next."""
-    bits = F.zip_with(F.slice(cells, 1, 64), F.slice(cells, 2, 64), lambda a, b: F.when(b > a, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
-
-
 def fingerprints(spark, sf: str) -> DataFrame:
-    """doc_id, source, split, dhash over the 65-bucket histogram of character trigrams: counted by document and bucket, then put in order."""
-    d = t(spark, sf, "documents")
-    chars = F.transform(F.split("text", ""), lambda c: F.ascii(c))
-    n = F.size("a") - 2
-    shifted = F.arrays_zip(*[F.slice("a", k, F.greatest(n, F.lit(0))).alias(f"c{k}") for k in (1, 2, 3)])  # not element_at by index, which would build the array anew for each
-    g = d.select("doc_id", "source", F.filter(chars, lambda c: c.isNotNull()).alias("a")).select("doc_id", "source", shifted.alias("z"))
-    g = g.select("doc_id", "source", F.transform("z", lambda e: (961 * e.getField("c1") + 31 * e.getField("c2") + e.getField("c3")) % 65).alias("g"))
-    counts = g.select("doc_id", F.explode("g").alias("bucket")).groupBy("doc_id", "bucket").count().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "count"))).alias("m"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("long")))
-    out = g.select("doc_id", "source").join(counts, "doc_id", "left")
-    return out.select("doc_id", "source", C.assign_split(F.col("source")).alias("split"), dhash(F.when(F.col("m").isNotNull(), cells).otherwise(F.array_repeat(F.lit(0).cast("long"), 65))).alias("dhash"))
+    """doc_id, source, split, dhash of documents."""
+    d = N.text_dhash(t(spark, sf, "documents"), ["doc_id", "source"], "text")
+    return d.select("doc_id", "source", C.assign_split(F.col("source")).alias("split"), "dhash")
 
 
 @query("d1_dhash", f"SELECT doc_id, {_SIGNED} AS dhash FROM {_HASH_SQL}")
@@ -415,17 +376,9 @@ def _(spark, sf):
     return out.select("label", "distinct_sizes", "min_size", F.concat(F.lit("["), F.array_join(F.transform("top", lambda e: e["x"]), ", "), F.lit("]")).alias("top5"))
 
 
-def vetting_verdict(d: DataFrame, label: str, size: str, target: int) -> DataFrame:
-    """One row: the verdict on a dataset whose classes may be told apart by size alone; null with fewer than two classes."""
-    per = d.groupBy(label).agg(F.countDistinct(size).alias("k"), F.min(size).alias("lo")).agg(F.count(F.lit(1)).alias("classes"), F.min("k").alias("k"), F.min("lo").alias("lo"))
-    x = per.join(R.value_overlap(d, label, [size]), how="inner")
-    verdict = F.when(F.col("classes") < 2, None).when((F.col("k") == 1) & (F.col("shared") == 0), "UNUSABLE").when(F.col("lo") < target, "RISKY").when(F.col("shared") == 0, "USABLE AFTER NORMALIZATION").otherwise("PROMISING")
-    return x.select("classes", "shared", verdict.alias("verdict"))
-
-
 @query("a5_vetting_verdict", f"SELECT (SELECT count(DISTINCT label) FROM {_DIST_SQL}) AS classes, count(*) FILTER (c = 3) AS shared, CASE WHEN (SELECT min(size) FROM {_DIST_SQL}) < 1 THEN 'RISKY' WHEN count(*) FILTER (c = 3) = 0 THEN 'USABLE AFTER NORMALIZATION' ELSE 'PROMISING' END AS verdict FROM (SELECT size, count(DISTINCT label) AS c FROM {_DIST_SQL} GROUP BY size)")
 def _(spark, sf):
-    return vetting_verdict(class_distributions(spark, sf), "label", "size", 1)
+    return N.vetting_verdict(class_distributions(spark, sf), "label", "size", 1)
 
 
 @query("a6_frame_stats", "SELECT user_id, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY user_id")

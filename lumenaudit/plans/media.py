@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import content as N
 from ..operators import explain as X
 from ..operators import fusion as U
 from ..operators import history as H
@@ -13,7 +14,7 @@ from ..operators import provenance as P
 from ..operators import signals as G
 from ..sources import tables as S
 from ..streaming import admission
-from .manifests import _FRAMES_SQL, _GRID_SQL, _WEEKS_SQL, TYPES, frames, grid, r6, sample_frames, weekly
+from .manifests import _FRAMES_SQL, _GRID_SQL, _WEEKS_SQL, TYPES, frames, grid, r6, weekly
 from .registry import query
 
 t = S.table
@@ -193,7 +194,7 @@ def _(spark, sf):
 
 @query("g6_temporal", f"SELECT user_id, count(*) AS frames, round(avg(score), 8) AS mean_fake, CASE WHEN count(*) >= 2 THEN round(least(1, stddev_pop(score) / 0.25), 6) END AS score, CASE WHEN avg(score) >= 0.5 THEN 'fake' ELSE 'real' END AS label FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS total FROM {_FRAMES_SQL}) f WHERE CASE WHEN 8 >= total THEN true ELSE list_contains(list_transform(range(0, 8), lambda i: CAST(floor(i * (total / 8.0::DOUBLE)) AS BIGINT)), frame_idx) END GROUP BY user_id")
 def _(spark, sf):
-    s = G.temporal_signal(sample_frames(frames(spark, sf), "user_id", "frame_idx", 8), "user_id", "score")
+    s = G.temporal_signal(N.sample_frames(frames(spark, sf), "user_id", "frame_idx", 8), "user_id", "score")
     return s.select("user_id", "frames", F.round("mean_fake", 8).alias("mean_fake"), r6("score").alias("score"), "label")
 
 

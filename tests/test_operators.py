@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenaudit.functions import columns as C
-from lumenaudit.operators import audit, explain, fusion, metrics, provenance, relational, signals, training
+from lumenaudit.operators import audit, content, explain, fusion, metrics, provenance, relational, signals, training
 from lumenaudit.sources import tables
 from lumenaudit.streaming import admission, incremental
 
@@ -294,3 +294,27 @@ def test_bootstrap_equals_plain_draws(spark):
         pos, neg = ([rows[i][2] for i in at if rows[i][1] == v] for v in (1, 0))
         aucs.append(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg))
     assert got.replicates == 20 and np.allclose([got.low, got.high], np.percentile(aucs, [2.5, 97.5]))
+
+
+def test_entropy_and_hash_of_texts(spark):
+    import math
+    from collections import Counter
+
+    texts = ["", None, "a", "ab", "aaaa", "日本語 and more 🙂🙂", "the quick brown fox " * 30]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    got = {r.id: r.entropy for r in content.text_entropy(d, ["id"], "text").collect()}
+    hashes = {r.id: r.dhash for r in content.text_dhash(d, ["id"], "text").collect()}
+    for i, t in enumerate(texts):
+        n = Counter(t or "")
+        want = -sum(c / len(t) * math.log2(c / len(t)) for c in n.values()) if t else None
+        assert got[i] is want is None or abs(got[i] - want) < 1e-12
+        cells = Counter((961 * ord(a) + 31 * ord(b) + ord(c)) % 65 for a, b, c in zip(t or "", (t or "")[1:], (t or "")[2:]))
+        assert hashes[i] % 2**64 == sum((cells[k + 1] > cells[k]) << (63 - k) for k in range(64))
+    counts = spark.createDataFrame([("m", "x", 3), ("m", "y", 1)], "m string, s string, n long")
+    assert abs(content.symbol_entropy(counts, "m", "n").first().entropy - 0.8112781) < 1e-6
+
+
+def test_accepted_licences(spark):
+    rows = [(" CC-BY ", True), ("cc0", True), ("Public Domain", True), ("cc-by-nc", False), ("", None), (None, None)]
+    d = spark.createDataFrame(rows, "licence string, ok boolean").select("ok", C.normal_license(F.col("licence")).isin(*C.ACCEPTED_LICENSES).alias("got"))
+    assert all(r.got == r.ok for r in d.collect())
