@@ -1,9 +1,9 @@
 """Sum-of-squares packing of token pieces into sequences of a fixed length.
 
 Each piece goes where the sum over gaps g of N(g)^2 becomes smallest, N(g) being the open sequences with g places left. Pieces are dealt by a hash
-of their document into groups of bounded size, packed at the same time; the under-filled sequences that groups leave are packed once more.
-Defined results: a null or empty text is a document of its end id alone; repeated rows are packed each; an empty table packs to nothing; columns other
-than doc_id and text are not read.
+of their place into groups of bounded size, packed at the same time; the under-filled sequences that groups leave are packed once more.
+Defined results: a null or empty text is a document of its end id alone; a very long text is cut into pieces; repeated rows are packed each, and dealt to groups each by its
+place in the table; doc_id may be of any type; an empty table packs to nothing; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,25 +79,23 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bin_of, offset
 
 
-def _pack(pdf: pd.DataFrame, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    b, off = sum_of_squares(pdf["length"].to_numpy(), capacity)
-    return b, off
-
-
 def pack_pieces(pieces: DataFrame, capacity: int, group_size: int = GROUP) -> DataFrame:
-    """pieces with sequence_id and offset. pieces needs a written source: it is read more than once."""
+    """pieces with sequence_id and offset. pieces is a written table: it is read more than once, and a row's place in it deals it to a group."""
     n_groups = max(1, -(-pieces.count() // group_size))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = int(pdf["group"].iloc[0])
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        b, off = _pack(pdf, capacity)
-        fill = np.bincount(b, pdf["length"].to_numpy(), minlength=1).astype(np.int64)
-        return pdf.assign(bin=b * n_groups + g, offset=off, fill=fill[b])
-
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_groups)).cast("int"))
-    packed = materialize(dealt.groupBy("group").applyInPandas(first, f"{kinds}, group int, bin long, offset long, fill long"), "pack-groups")
+    def first(group: pa.Table) -> pa.Table:
+        g = int(group.column("group")[0].as_py())
+        group = group.take(pc.sort_indices(group, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
+        length = group.column("length").to_numpy()
+        b, off = sum_of_squares(length, capacity)
+        fill = np.bincount(b, length, minlength=1).astype(np.int64)
+        for name, values in (("bin", b * n_groups + g), ("offset", off), ("fill", fill[b])):
+            group = group.append_column(name, pa.array(values))
+        return group
+
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(n_groups)).cast("int"))
+    packed = materialize(dealt.groupBy("group").applyInArrow(first, f"{kinds}, group int, bin long, offset long, fill long"), "pack-groups")
     # What the groups leave: sequences under half full join others as wholes; a few in each group, however many rows there are.
     loose = packed.where(F.col("fill") * 2 < capacity).groupBy("bin").agg(F.max("fill").alias("length"))
     n_second = max(1, -(-n_groups // 512))
@@ -104,7 +103,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_size: int = GROUP) -> Da
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
         g = int(pdf["part"].iloc[0])
         pdf = pdf.sort_values(["length", "bin"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        b, off = _pack(pdf, capacity)
+        b, off = sum_of_squares(pdf["length"].to_numpy(), capacity)
         return pd.DataFrame({"l_bin": pdf["bin"], "l_sequence": -1 - (b * n_second + g), "l_offset": off})
 
     moved = loose.withColumn("part", F.pmod(F.xxhash64("bin"), F.lit(n_second)).cast("int")).groupBy("part").applyInPandas(second, "l_bin long, l_sequence long, l_offset long")
