@@ -32,6 +32,8 @@ from .common import materialize, table
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
 _NEVER = frozenset("head nav footer aside form script style noscript template iframe object svg math canvas button select option textarea menu dialog audio video map".split())
+#: Those of them that hold no text of a page at all.
+_NO_TEXT = frozenset("head script style noscript template iframe object svg math canvas".split())
 #: Elements that make a layout.
 _CONTAINER = frozenset("body div section article main nav header footer aside form table ul".split())
 _RAW = "script|style|textarea|title|noscript|iframe|template|xmp"
@@ -58,9 +60,9 @@ _NAMES = re.compile(r"[^a-z0-9-]+")
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def _element(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
+def _element(tag: str, attributes: str, in_article: bool, names: bool) -> tuple[str, int]:
     """(name with class and id, level at which it says that it is no content)"""
-    name, no = tag, _OUT if tag in _NEVER or tag == "header" and not in_article else _KEPT
+    name, no = tag, _OUT if tag in _NO_TEXT or names and (tag in _NEVER or tag == "header" and not in_article) else _KEPT
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -68,6 +70,8 @@ def _element(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
                 words = [w for w in _NAMES.split(value) if w]
                 if key != "role":
                     name += "." + ".".join(words)
+                if not names:
+                    continue
                 if tag in ("article", "main"):
                     no = max(no, _OUT * any(w in _REMARKS for w in words))
                 elif tag not in ("body", "html"):
@@ -77,8 +81,8 @@ def _element(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
     return name, no
 
 
-def read_page(page: str | None) -> tuple[list[str], list[tuple[str, str, int, int]]]:
-    """(paths of the elements in order, blocks of text as (path, text, characters in links, level of no content))."""
+def read_page(page: str | None, names: bool = True) -> tuple[list[str], list[tuple[str, str, int, int]]]:
+    """(paths of the elements in order, blocks of text as (path, text, characters in links, level of no content)). Without names no element says that it is no content."""
     elements: list[str] = []
     blocks: list[tuple[str, str, int, int]] = []
     stack: list[tuple[str, str, int]] = []  # tag, path of its block, level of no content
@@ -140,7 +144,7 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, str, int, in
             continue
         outer = stack[-1] if stack else ("", "", _KEPT)
         if tag in _INLINE:
-            name, no = _element(tag, m[4], True)
+            name, no = _element(tag, m[4], True, names)
             stack.append((tag, outer[1], _OUT if no == _OUT else outer[2]))
             links[0] += tag == "a"
             continue
@@ -155,7 +159,7 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, str, int, in
         while stack and stack[-1][0] in _INLINE:
             cut(len(stack) - 1)
         outer = stack[-1] if stack else ("", "", _KEPT)
-        name, no = _element(tag, m[4], any(t in ("article", "main") for t, _, _ in stack))
+        name, no = _element(tag, m[4], any(t in ("article", "main") for t, _, _ in stack), names)
         stack.append((tag, f"{outer[1]}/{name}", max(outer[2], no)))
         elements.append(stack[-1][1])
     if at < len(page):
@@ -192,12 +196,12 @@ def _root_shape(elements: list[str]) -> int:
     return xxhash.xxh3_64_intdigest("\n".join(sorted(shape))) >> 1 | 1  # 0 stands for the whole host
 
 
-def _page_rows(it):
+def _page_rows(it, names: bool):
     """(host, content, tokens): a page's tokens, packed, under a fingerprint of its texts, by which copies of a page are known."""
     for b in it:
         hosts, contents, packed = [], [], []
         for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            elements, blocks = read_page(page)
+            elements, blocks = read_page(page, names)
             mass: dict[str, int] = defaultdict(int)
             texts: dict[bytes, list] = {}
             for path, text, linked, no in blocks:
@@ -240,7 +244,7 @@ _SUMS = ("pages", "sum1", "sum2", "mass")
 _NAMED = re.compile(r"/(article|main)\b")
 
 
-def _template(pdf: pd.DataFrame) -> tuple[str | None, list[bytes]]:
+def _template(pdf: pd.DataFrame, names: bool = True) -> tuple[str | None, list[bytes]]:
     """(path of the root element that holds the content, texts of the template) of the pages of one layout or host from their frequent tokens."""
     classes = pdf.groupby(["sum1", "sum2"])["token"].transform("size")
     e = pdf[pdf["kind"] == "e"]
@@ -253,20 +257,20 @@ def _template(pdf: pd.DataFrame) -> tuple[str | None, list[bytes]]:
     mass = {p: under(p) for p in root}
     total = max(mass.values(), default=0)
     good = [p for p in root if total and mass[p] >= 0.6 * total]
-    named = [p for p in good if _NAMED.search(p)]
+    named = [p for p in good if names and _NAMED.search(p)]
     if named:  # the names break the tie among the elements that hold the text
         slot = min(named, key=lambda p: p.count("/"))
-    elif total and own[own.index.str.contains(_NAMED.pattern.replace("(", "(?:"))].sum() >= 0.6 * total:
+    elif names and total and own[own.index.str.contains(_NAMED.pattern.replace("(", "(?:"))].sum() >= 0.6 * total:
         slot = None  # several articles on a page
     else:
         slot = max(good, key=lambda p: p.count("/")) if good else None
     return slot, t["token"].tolist()
 
 
-def deduce_templates(pages: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
+def deduce_templates(pages: DataFrame, least: int = 3, share: float = 0.5, names: bool = True) -> DataFrame:
     """t_host, slots, texts. Copies of a page count once, as what they share is no template. A token is the template's if it is on a share of the host's pages
     or of the pages of one layout, so that a group is as large as a few pages, however many it has."""
-    rows = pages.select("url", "html").mapInArrow(_page_rows, "host string, content binary, tokens binary").dropDuplicates(["host", "content"])
+    rows = pages.select("url", "html").mapInArrow(lambda it: _page_rows(it, names), "host string, content binary, tokens binary").dropDuplicates(["host", "content"])
     rows = rows.mapInArrow(_token_rows, "host string, layout long, kind string, token binary, path string, pages long, sum1 long, sum2 long, mass long, once boolean")
     sums = [*(F.sum(c).alias(c) for c in _SUMS), F.min("once").alias("once")]
     vectors = rows.groupBy("host", "layout", "kind", "token", "path").agg(*sums)
@@ -279,31 +283,31 @@ def deduce_templates(pages: DataFrame, least: int = 3, share: float = 0.5) -> Da
     frequent = frequent.where((F.col("pages") >= share * F.col("n")) & ((F.col("kind") != "t") | (F.col("pages") >= least))).drop("n_host", "n_layout")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        slot, texts = _template(pdf)
+        slot, texts = _template(pdf, names)
         return pd.DataFrame({"t_host": [pdf["host"].iloc[0]], "slot": [slot], "texts": [texts]})
 
     found = frequent.groupBy("host", "layout").applyInPandas(one, "t_host string, slot string, texts array<binary>")
     return found.groupBy("t_host").agg(F.sort_array(F.collect_set("slot")).alias("slots"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("texts")))).alias("texts"))
 
 
-def main_text(page: str | None, slots, texts: frozenset[bytes]) -> str:
+def main_text(page: str | None, slots, texts: frozenset[bytes], names: bool = True) -> str:
     """The page's text in that of the slots which holds most of it, without the template's texts; by tag names, or whole, where it has no slot."""
-    _, blocks = read_page(page)
+    _, blocks = read_page(page, names)
     blocks = [(path, text, linked, no) for path, text, linked, no in blocks if no != _OUT and (not texts or text_key(path, text) not in texts)]
     mass = {s: sum(max(0, len(text) - 2 * linked) for path, text, linked, _ in blocks if path == s or path.startswith(s + "/")) for s in slots or ()}
     slot = max(mass, key=lambda s: (mass[s], s), default=None)
     if slot is not None and mass[slot]:
         inside = lambda path: path == slot or path.startswith(slot + "/")
-    elif any(_NAMED.search(path) for path, _, _, _ in blocks):
+    elif names and any(_NAMED.search(path) for path, _, _, _ in blocks):
         inside = _NAMED.search
     else:
         return " ".join(text for _, text, _, no in blocks if no == _KEPT)
     return " ".join(text for path, text, _, _ in blocks if inside(path))
 
 
-def extract_main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row of pages."""
-    templates = materialize(deduce_templates(pages), "templates")
+def extract_main_text(pages: DataFrame, names: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars for every row of pages. Without names the template alone decides: no class and no element says by its name that it is, or is not, content."""
+    templates = materialize(deduce_templates(pages, names=names), "templates")
 
     def extract(it):
         known: dict[tuple, frozenset] = {}
@@ -314,7 +318,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                 if key not in known:
                     known = {} if len(known) > 256 else known
                     known[key] = frozenset(key)
-                out.append(main_text(page, slots, known[key]))
+                out.append(main_text(page, slots, known[key], names))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     own = pages.select("page_id", "url", "html", F.lower(F.when(F.col("url").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#]*)", 1)).otherwise(F.element_at(F.split("url", "/"), 1))).alias("host"))

@@ -324,28 +324,21 @@ def vectors():
 
 def test_near_embeddings_equal_brute_force(spark):
     rows = vectors()
+    other = (np.array(rows[205][1]) * 2 + 0.001).tolist()
+    rows += [(3, rows[205][1], 1, "x"), (500, other, 1, "x"), (501, rows[0][1], 1, "x")]  # 3 has two vectors: 500 is near the one, 501 the other
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, codes string")
     got = crosspolytope.near_embeddings(df).collect()
     ok = lambda v, lab, i: i is not None and lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
     good = [(i, np.array(v), lab) for i, v, lab, _ in rows if ok(v, lab, i)]
-    links = defaultdict(set)
-    count = defaultdict(int)
-    for p, (i, v, lab) in enumerate(good):
-        for q, (j, w, lab2) in enumerate(good):
-            if p != q and lab == lab2 and len(v) == len(w) and v @ w / np.sqrt(v @ v) / np.sqrt(w @ w) >= 0.98:
-                links[i].add(j)
-                count[p] += 1
-    label = {i: i for i, *_ in good}
-    for _ in range(6):
-        for i in label:
-            label[i] = min([label[i], *(label[j] for j in links[i])])
-    n_of = defaultdict(set)
-    for p, (i, *_) in enumerate(good):
-        n_of[i].add(count[p])
-    for r in got:
-        assert r.n_links in (n_of[r.vec_id] if r.vec_id in label else {0})
-        assert r.component_id == label.get(r.vec_id, r.vec_id)
-        assert r.kept == (r.vec_id is None or r.component_id == r.vec_id)
+    near = [[p != q and lab == lab2 and len(v) == len(w) and v @ w / np.sqrt(v @ v) / np.sqrt(w @ w) >= 0.98 for q, (_, w, lab2) in enumerate(good)] for p, (_, v, lab) in enumerate(good)]
+    label = [i for i, *_ in good]
+    for _ in range(8):
+        for p in range(len(good)):
+            label[p] = min([label[p], *(label[q] for q in range(len(good)) if near[p][q])])
+    want = Counter((i, sum(near[p]), label[p], i == label[p]) for p, (i, *_) in enumerate(good))
+    want.update((i, 0, i, True) for i, v, lab, _ in rows if not ok(v, lab, i))
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
+    assert {r.component_id for r in got if r.vec_id in (500, 501)} == {0, 3}
     assert len(got) == len(rows)
     assert crosspolytope.near_embeddings(df.limit(0)).count() == 0
 
@@ -429,6 +422,29 @@ def test_html_template_of_layouts_and_long_texts(spark):
     assert {r.text for r in html_template.extract_main_text(df).collect()} == {f"Body {i} of x{'y' * i} its own" for i in range(18)}
 
 
+def test_html_template_alone_tells_the_article(spark, sf):
+    """Without any name of a class or an element: menus, headers, footers, forms and the like are what a host's pages share, and the article is the slot."""
+    rnd = random.Random(13)
+    story = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    rows, want = [], {}
+    for i in range(40):
+        host, text = i % 2, [f"Title {story()[:20]}", story(), story()]
+        menu = "".join(f"<li><a href=/{k}>Part {k} of {host}</a></li>" for k in range(8))
+        body = f"<div class=x1><ul>{menu}</ul></div><div class=x2><h1>{text[0]}</h1><p>{text[1]}</p><div><p>Share this with friends</p></div><p>{text[2]}</p></div><div class=x3><p>About host {host}</p><form><p>Write to us</p></form></div>"
+        rows.append((i, f"https://host{host}.example/{i}", f"<html><head><title>t</title></head><body>{body}</body></html>"))
+        want[i] = " ".join(text)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.extract_main_text(df, names=False).collect()}
+    assert got == want
+    emptied = {i: html_template.main_text(page, None, frozenset(), names=False) for i, _, page in rows}
+    assert all(emptied[i] != want[i] for i in want)  # nothing else would tell it
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    own, alone = ({r.page_id: r.text for r in html_template.extract_main_text(pages, names=n).collect()} for n in (True, False))
+    host_of = {r.page_id: r.url.split("/")[2] for r in pages.collect()}
+    on_large_hosts = [k for k, h in host_of.items() if Counter(host_of.values())[h] >= 5]
+    assert all(own[k] == alone[k] for k in on_large_hosts)
+
+
 def test_toxicity(spark, docs, none):
     rnd = random.Random(9)
     clean = lambda: " ".join(rnd.choice(["river", "stone", "house", "window", "garden", "bread", "letter"]) for _ in range(60))
@@ -622,6 +638,107 @@ def test_pipeline_stages_on_a_small_table(spark, sf):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
 
 
+def copies_by_brute_force(rows):
+    """{(doc_id, text): copies} of the mix of (doc_id, text, source), in whole documents."""
+    size = lambda t: len((t or "").encode().split())
+    by = defaultdict(list)
+    for i, t, s in rows:
+        by[s].append((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), i, size(t), t))
+    names = sorted(by, key=lambda s: (s is None, s))
+    total = {s: sum(r[2] for r in by[s]) for s in names}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, left, open_ = {}, sum(total.values()), set(names)
+    while open_:  # share what is left by weight; who is above the cap gets the cap
+        level = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if 3 * total[s] <= level * weight[s]]
+        for s in over or open_:
+            target[s] = 3 * total[s] if over else level * weight[s]
+        if not over:
+            break
+        left -= sum(target[s] for s in over)
+        open_ -= set(over)
+    out = Counter()
+    for s in names:
+        budget = int(np.floor(target[s]))
+        epochs, before = (budget // total[s] if total[s] else 0), 0
+        for _, i, n, t in sorted(by[s], key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])):
+            out[i, t] += epochs + (n > 0 and (budget - epochs * total[s] - before) * 2 >= n)
+            before += n
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("aeiourstln") for _ in range(5))
+    rows = []
+    for i in range(240):
+        words = [word() for _ in range(rnd.choice([3, 30, 60, 2_500 if i % 40 == 0 else 80]))]
+        if i % 4 == 0:
+            words.insert(2, rnd.choice(["moron", "m0ron", "loser"]))
+        rows.append((i, " ".join(words), rnd.choice(["a", "b", "c", "d", None])))
+    rows += [(300 + k, rows[k][1] + " tail", "a") for k in range(5, 60, 7)] + [(400 + k, rows[k][1], "b") for k in range(3, 40, 9)] + [rows[9], (9, rows[10][1] + " more", "c"), (500, None, "a"), (501, "", None)]
+    docs = spark.createDataFrame([(*r, "en", 0) for r in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    toxic = {(r.doc_id, r.text) for r in toxicity.score_toxicity(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), "found").where("found >= 0.5").collect()}
+    assert len(toxic) > 30
+    clean = [r for r in rows if (r[0], r[1]) not in toxic]
+    sets = []
+    for _, t, _ in clean:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    group = list(range(len(clean)))
+    for _ in range(4):
+        for a in range(len(clean)):
+            for b in range(len(clean)):
+                if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+    kept, texts = [], lambda k: (clean[k][0], hashlib.md5((clean[k][1] or "").encode()).hexdigest())
+    for g in set(group):
+        kept.append(clean[min((k for k in range(len(clean)) if group[k] == g), key=texts)])
+    lib, want = library(), Counter()
+    for (i, t), n in copies_by_brute_force(kept).items():
+        ids = [*ids_of(lib, t), 0]
+        for p, s in enumerate(range(0, len(ids), 2048)):
+            want[i, p, s, len(ids[s : s + 2048]), crc(ids[s : s + 2048])] += n
+    got = P.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == +want
+    filled = defaultdict(list)
+    for r in got:
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert all([o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 2048 for x in filled.values())
+
+
+def test_queries_read_whole_tables(spark, docs, tmp_path):
+    """Each opN_ query on a folder of odd tables gives what brute force, or its operator that is tested above, gives."""
+    from lumenaudit.llm import registry
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    q = {int(k[2:].split("_")[0]): f for k, f in registry.queries().items()}
+    run = lambda n, columns: Counter(tuple(r) for r in q[n](spark, str(tmp_path)).select(*columns).collect())
+    lib, texts = library(), [(r[0], r[1] or "") for r in rows_of()]
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    assert run(2, ["doc_id", "n_bytes", "n_tokens", "over_limit"]) == Counter((i, len(t.encode()), n := len(sp.encode(t)), n > 4096) for i, t in texts)
+    want = Counter()
+    for i, t in texts:
+        ids = [*ids_of(lib, t), 0]
+        want.update((i, p, s, len(ids[s : s + 2048]), crc(ids[s : s + 2048])) for p, s in enumerate(range(0, len(ids), 2048)))
+    assert run(4, ["doc_id", "piece", "start", "length", "ids_crc32"]) == want
+    got = sorted(q[5](spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(ids := [*ids_of(lib, t), 2]), crc(ids)) for i, t in texts)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))] and [r.doc_id or -1 for r in got] == sorted(i or -1 for i, _ in texts)
+    columns = ["doc_id", "n_shingles", "component_id", "kept"]
+    assert run(7, columns) == Counter(tuple(r) for r in minhash.near_duplicates(docs).select(*columns).collect())
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    assert run(9, columns) == Counter(tuple(r) for r in mixing.mix_sources(docs).select(*columns).collect())
+    scores = sorted((r.doc_id or -1, r.held_out, r.n_tokens, round(r.score, 6)) for r in q[10](spark, str(tmp_path)).collect())
+    assert scores == sorted((r.doc_id or -1, r.held_out, r.n_tokens, round(r.score, 6)) for r in lattice_lm.score_texts(docs).collect())
+
+
 def test_queries_have_every_operator():
     from lumenaudit.llm import registry
 
