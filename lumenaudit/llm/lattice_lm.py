@@ -22,7 +22,7 @@ from . import runs as R
 from .common import discard, materialize, table, tokenizer_path
 
 #: Bytes of text that make a chunk, about; rounds of expectation maximisation; what the vocabulary's scores weigh against the corpus, in tokens.
-CHUNK_BYTES, ROUNDS, PRIOR = 16 << 20, 3, 1_000.0
+CHUNK_BYTES, ROUNDS, PRIOR = 8 << 20, 3, 1_000.0
 ADD = 0.1
 _MARK = "▁"
 _NEG = -1e30
@@ -188,18 +188,24 @@ class _Chunk:
         h = np.concatenate([u for u, _, _ in self.parts])
         u, at, inv = np.unique(h, return_index=True, return_inverse=True)
         n = np.bincount(inv, np.concatenate([n for _, _, n in self.parts]), len(u)).astype(np.int64)
-        small = np.uint16 if len(u) < 1 << 16 else np.uint32
+        # Numbers by how often a word occurs, so that two bytes hold nearly all; the others follow in four.
+        order = np.argsort(-np.bincount(inv, np.concatenate([np.bincount(i, minlength=len(u)) for u, i, _ in self.parts]), len(u)), kind="stable")
+        number_of = np.empty(len(u), np.uint32)
+        number_of[order] = np.arange(len(u))
+        u, at, n = u[order], at[order], n[order]
         heads = np.cumsum([0] + [len(p[0]) for p in self.parts])
-        places = np.concatenate([inv[h0 : h0 + len(p[0])].astype(small)[p[1]] for h0, p in zip(heads, self.parts)])
+        numbers = np.concatenate([number_of[inv[k : k + len(p[0])]][p[1]] for k, p in zip(heads, self.parts)])
+        places, far = np.minimum(numbers, _FAR).astype("<u2"), numbers[numbers >= _FAR].astype("<u4")
         held = np.concatenate(self.held)
         columns = [
             (number, pa.int64()), (u.view(np.int64), pa.list_(pa.int64())), ([self.words[k] for k in at.tolist()], pa.list_(pa.binary())), (n, pa.list_(pa.int64())), (self.ids, pa.list_(kind)),
-            (held, pa.list_(pa.bool_())), (np.concatenate(self.sizes).astype("<i4").tobytes(), pa.binary()), (places.tobytes(), pa.binary()), (places.itemsize, pa.int32()), (int((~held).sum()), pa.int64()),
+            (held, pa.list_(pa.bool_())), (np.concatenate(self.sizes).astype("<i4").tobytes(), pa.binary()), (places.tobytes(), pa.binary()), (far.tobytes(), pa.binary()), (int((~held).sum()), pa.int64()),
         ]
         return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in columns], _CHUNK)
 
 
-_CHUNK = ["chunk", "h", "word", "n", "doc_ids", "held", "sizes", "places", "wide", "train"]
+_FAR = 0xFFFF
+_CHUNK = ["chunk", "h", "word", "n", "doc_ids", "held", "sizes", "places", "far", "train"]
 
 
 def chunked(docs: DataFrame, most_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -220,7 +226,7 @@ def chunked(docs: DataFrame, most_bytes: int = CHUNK_BYTES) -> DataFrame:
         if chunk.ids:
             yield chunk.row(part + seq, arrow_kind)
 
-    return rows.mapInArrow(chunks, f"chunk long, h array<long>, word array<binary>, n array<long>, doc_ids array<{kind}>, held array<boolean>, sizes binary, places binary, wide int, train long")
+    return rows.mapInArrow(chunks, f"chunk long, h array<long>, word array<binary>, n array<long>, doc_ids array<{kind}>, held array<boolean>, sizes binary, places binary, far binary, train long")
 
 
 def fit_pieces(words: DataFrame, vocab: str, texts: int, rounds: int = ROUNDS, prior: float = PRIOR) -> tuple[np.ndarray, float]:
@@ -282,14 +288,15 @@ def score_texts(docs: DataFrame, vocab: str = "piece_bpe_32k.model", chunk_bytes
         c, lp = np.empty(len(pos), np.int64), np.empty(len(pos))
         c[pos], lp[pos] = right.column("c").to_numpy(), right.column("lp").to_numpy()
         sizes = np.frombuffer(r["sizes"].as_py(), "<i4").astype(np.int64)
-        places = np.frombuffer(r["places"].as_py(), f"<u{r['wide'].as_py()}")
+        places = np.frombuffer(r["places"].as_py(), "<u2").astype(np.int64)
+        places[places == _FAR] = np.frombuffer(r["far"].as_py(), "<u4")
         text = np.repeat(np.arange(len(sizes)), sizes)
         of_text = lambda x: np.bincount(text, x[places], len(sizes))
         known = of_text((c > 0).astype(float)).astype(np.int64) + int(n_texts > 0)
         return pa.table({"doc_id": r["doc_ids"].values, "held_out": r["held"].values, "n_tokens": sizes + 1, "n_known": known, "train_tokens": np.full(len(sizes), n_all), "base_score": of_text(np.log10((c + ADD) / below)) + end_base, "score": of_text(lp) + end / ln10})
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    own = chunks.select("chunk", "doc_ids", "held", "sizes", "places", "wide")
+    own = chunks.select("chunk", "doc_ids", "held", "sizes", "places", "far")
     return own.groupBy("chunk").cogroup(looked_up.groupBy("d_chunk")).applyInArrow(score, schema)
 
 

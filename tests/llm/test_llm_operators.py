@@ -561,6 +561,22 @@ def test_lattice_lm(spark, docs, none):
     assert lattice_lm.score_texts(none).count() == 0
 
 
+def test_lattice_lm_of_a_chunk_with_very_many_words(spark):
+    """More distinct words than two bytes number, in a text of its own chunk; repeated words among them."""
+    words = [f"w{k:x}" for k in range(70_000)]
+    rows = [(1, " ".join(words + words[-5:])), (2, "w0 w0 w111ff new")]
+    got = {r.doc_id: r for r in lattice_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=1_000).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0]
+    count = Counter(w for i, t in rows if i not in held for w in t.split())
+    texts = len(rows) - len(held)
+    n, v = sum(count.values()) + texts, len(count) + 1
+    for i, t in rows:
+        base = sum(np.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t.split()) + np.log10((texts + 0.1) / (n + 0.1 * (v + 1)))
+        assert np.isclose(got[i].base_score, base) and got[i].n_tokens == len(t.split()) + 1 and got[i].n_known == sum(count[w] > 0 for w in t.split()) + 1
+    whole = {r.doc_id: r.score for r in lattice_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(np.isclose(whole[i], got[i].score) for i in whole)
+
+
 def segmentations(word, pieces):
     """Sum of the products of weights over all segmentations of a word; a character that is no piece is spelled in bytes."""
     total = np.zeros(len(word) + 1)
