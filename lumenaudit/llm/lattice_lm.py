@@ -22,7 +22,7 @@ from . import runs as R
 from .common import discard, materialize, table, tokenizer_path
 
 #: Bytes of text that make a chunk, about; rounds of expectation maximisation; what the vocabulary's scores weigh against the corpus, in tokens.
-CHUNK_BYTES, ROUNDS, PRIOR = 8 << 20, 3, 1_000.0
+CHUNK_BYTES, ROUNDS, PRIOR = 12 << 20, 3, 1_000.0
 ADD = 0.1
 _MARK = "▁"
 _NEG = -1e30
