@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crosspolytope, html_template, lattice_lm, minhash, mixing, packing, token_counts, token_orc, topk, toxicity
+from . import collocations, crosspolytope, html_template, lattice_lm, minhash, mixing, packing, ranked_search, substring, token_counts, token_orc, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_extract_main_text": html_template.op8_extract_main_text,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_lattice_lm": lattice_lm.op10_lattice_lm,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_substring_dedup": substring.op12_substring_dedup,
+        "op13_ranked_search": ranked_search.op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": topk.OP3_SQL, "op6_embedding_near_duplicates": crosspolytope.OP6_SQL, "op9_mix_sources": mixing.OP9_SQL}
+    return {
+        "op3_top_k": topk.OP3_SQL,
+        "op6_embedding_near_duplicates": crosspolytope.OP6_SQL,
+        "op9_mix_sources": mixing.OP9_SQL,
+        "op11_collocations": collocations.OP11_SQL,
+        "op12_substring_dedup": substring.OP12_SQL,
+        "op13_ranked_search": ranked_search.OP13_SQL,
+    }
