@@ -30,7 +30,7 @@ from .common import materialize, table
 BREAKS, GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 SCALE = 1_000_000
 #: Phrases held before their counts are sent, and the ranks that the first round's level looks at, in limits; each round looks at WIDER times as many.
-HELD, AHEAD, WIDER = 2_000_000, 2, 4
+HELD, AHEAD, WIDER = 1_000_000, 2, 4
 
 _IS_BREAK = np.zeros(256, bool)
 _IS_BREAK[np.frombuffer(BREAKS, np.uint8)] = True
@@ -41,7 +41,7 @@ _OUTSIDE[np.frombuffer(GAPS, np.uint8)] = True
 def _read(batch: pa.RecordBatch):
     """(bytes, starts, ends, row, word, linked) of some texts: linked[i] says that word i + 1 follows word i in its piece. Columns text, lang_key."""
     langs = batch.column("lang_key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    for first, _, raw, bounds in R.text_chunks(batch.column("text"), 4 << 20):
+    for first, _, raw, bounds in R.text_chunks(batch.column("text")):
         data = R.lower_ascii(raw)
         starts = R.word_starts(data, bounds, _OUTSIDE)
         if not len(starts):

@@ -134,8 +134,9 @@ def _kept(words: int):
 
 
 def _repeated(found: DataFrame, key: str) -> DataFrame:
-    """key, smallest: of the keys that occur in several documents the smallest doc_id."""
-    return found.groupBy(key).agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest").select(key, "smallest")
+    """key, smallest: of the keys that occur in several documents the smallest doc_id. Written, so that a join on a passage that very many documents share can be split."""
+    repeated = found.groupBy(key).agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest").select(key, "smallest")
+    return materialize(repeated, f"substring-{key}")
 
 
 def _levels(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
