@@ -88,9 +88,9 @@ def torso_box(x: Column, y: Column, w: Column, h: Column, width: Column, height:
     return F.greatest(F.lit(0), x - side), F.least(height, y + h), F.least(width, x + w + side), F.least(height, y + h + drop)
 
 
-def scene_signal(counts: DataFrame, media: str, frame: str, bin_col: str, n: str) -> DataFrame:
-    """Largest Bhattacharyya distance between the histograms of neighbouring frames, over 0.5."""
-    ranked = counts.select(media, frame).distinct().withColumn("rank", F.row_number().over(Window.partitionBy(media).orderBy(frame)))
+def scene_signal(counts: DataFrame, media: str, frame: str, bin_col: str, n: str, frames: DataFrame | None = None) -> DataFrame:
+    """Largest Bhattacharyya distance between the histograms of neighbouring frames, over 0.5. frames: all frames, where one may have no count."""
+    ranked = (counts if frames is None else frames).select(media, frame).distinct().withColumn("rank", F.row_number().over(Window.partitionBy(media).orderBy(frame)))
     c = counts.join(ranked, [media, frame]).select(media, "rank", F.col(bin_col).alias("b"), F.col(n).cast("double").alias("v"))
     c = c.withColumn("total", F.sum("v").over(Window.partitionBy(media, "rank")))
     nxt = c.select(media, (F.col("rank") - 1).alias("rank"), "b", F.col("v").alias("v2"), F.col("total").alias("total2"))

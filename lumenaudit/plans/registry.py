@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import evaluation, manifests, media  # noqa: F401
+    from . import evaluation, manifests, media, pixels  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
