@@ -13,7 +13,7 @@ from ..operators import history as H
 from ..operators import provenance as P
 from ..operators import signals as G
 from ..sources import tables as S
-from ..streaming import admission
+from ..streaming import admission, lifecycle
 from .manifests import _FRAMES_SQL, _GRID_SQL, _WEEKS_SQL, TYPES, frames, grid, r6, weekly
 from .registry import query
 
@@ -344,6 +344,27 @@ def _(spark, sf):
     return H.lifecycle(t(spark, sf, "events"), "user_id", "event_type", "ts")
 
 
+#: What the event types stand for as statuses; a record is open for 30 days in the tests.
+AS_STATUS = {"signup": "pending", "view": "processing", "click": "processing", "purchase": "completed", "error": "failed"}
+_STATUS = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END"
+
+
+def status_events(spark, sf: str) -> DataFrame:
+    return t(spark, sf, "events").select("user_id", C.harmonise_label(F.col("event_type"), AS_STATUS).alias("status"), "ts", "event_id")
+
+
+@query("r4_records", f"""WITH e AS (SELECT user_id, {_STATUS} AS status, ts, event_id FROM events), n AS (SELECT max(ts) AS now FROM e),
+  g AS (SELECT user_id, coalesce(max(ts) FILTER (status = 'pending'), min(ts)) AS start, max(ts) AS last, arg_max(status, (ts, event_id)) AS status FROM e GROUP BY user_id),
+  r AS (SELECT *, status NOT IN ('completed', 'failed') AND start + INTERVAL 720 HOUR <= now AS recovered FROM g, n),
+  d AS (SELECT *, CASE WHEN status IN ('completed', 'failed') THEN last WHEN recovered THEN start + INTERVAL 720 HOUR END AS done FROM r)
+  SELECT user_id, CASE WHEN recovered THEN 'failed' ELSE status END AS status, CAST(floor((epoch_us(done) - epoch_us(start)) / 1000) AS BIGINT) AS duration_ms, epoch_us(done) AS completed_us, recovered FROM d""")
+def _(spark, sf):
+    e = status_events(spark, sf)
+    now = e.agg(F.max("ts")).first()[0]
+    r = lifecycle.records(e, "user_id", "status", "ts", "event_id", F.lit(now), 720 * 3600)
+    return r.select("user_id", "status", "duration_ms", F.unix_micros("completed_at").alias("completed_us"), "recovered")
+
+
 @query("r5_delete_ids", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 def _(spark, sf):
     o = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")

@@ -13,10 +13,18 @@ def score_pending(df: DataFrame, done: DataFrame, key: str, status: Column) -> D
     return pending(df, done, key).select(key, status.alias("status"))
 
 
-def score_incremental(stream: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, checkpoint: str, sink: str):
-    """Start a query that scores what is new and appends it; a batch that is run again leaves no second copy of its rows."""
+def score_incremental(stream: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, checkpoint: str, sink: str, ts: str | None = None, within: str | None = None):
+    """Start a query that scores each key once and appends it.
+
+    Keys that are done are the state of a streaming deduplication, which the checkpoint keeps over restarts, so a key of an earlier batch is not scored again. With ts and within,
+    keys are remembered for that span of event time (the watermark) only, which bounds the state. A batch that is run again overwrites its own folder and leaves no second copy.
+    """
+    if ts is not None and within is not None:
+        fresh = stream.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
+    else:
+        fresh = stream.dropDuplicates([key])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        score(batch.dropDuplicates([key])).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        score(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
