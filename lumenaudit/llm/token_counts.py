@@ -1,12 +1,16 @@
 """Token counts by rank-synchronous merging: a batch's distinct pre-tokens as ragged arrays, each sequence's lowest-rank pair applied at once.
 
+A long pre-token (a blob, a line without spaces) has thousands of ranks; its places wait in a queue by rank, and a pass touches the places of one rank and their neighbours, so that
+its time grows with its length but for the logarithm of a sort.
+
 Exact for a SentencePiece BPE model with identity normalisation, a dummy prefix, kept white space and byte fallback. A run of spaces, whose pieces share the last rank of all, is
-counted from its length once the word behind it is. Defined results: a null or empty text has 0 bytes and 0 tokens; a very long text or run is counted like others, in time
-that grows with its length; repeated rows are counted each; an empty table gives an empty result; doc_id may be of any type; columns other than doc_id and text are not read.
+counted from its length once the word behind it is. Defined results: a null or empty text has 0 bytes and 0 tokens; a very long text or run is counted whole like others; repeated rows are counted each; an empty table gives an empty result; doc_id may be of any type; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +23,8 @@ _MARK = "▁"
 _ONLY_SPACE = np.zeros(256, bool)
 _ONLY_SPACE[0x20] = True
 _NEVER = np.iinfo(np.int64).max
+#: Symbols from which on a pre-token is merged by itself.
+LONG = 192
 
 
 class PieceRanks:
@@ -105,17 +111,94 @@ class PieceRanks:
         return out
 
     def count(self, texts: list[str]) -> np.ndarray:
-        """Surviving symbols of each pre-token; one outside the vocabulary counts its UTF-8 bytes."""
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        """Surviving symbols of each pre-token; one outside the vocabulary counts its UTF-8 bytes. A long one is merged by itself, for its ranks are many."""
+        long = [k for k, t in enumerate(texts) if len(t) > LONG]
+        if not long:
+            return self._count_together(texts)
+        out = np.zeros(len(texts), np.int64)
+        short = [k for k, t in enumerate(texts) if len(t) <= LONG]
+        out[short] = self._count_together([texts[k] for k in short])
+        for k in long:
+            out[k] = self._count_alone(texts[k])
+        return out
+
+    def _symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, what each counts if it survives, UTF-8 bytes)"""
         code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         sym = self.of_char[code]
-        owner = np.repeat(np.arange(len(texts)), size)
         width = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
-        unknown = (sym < 0) | (sym >= self.n_pieces)
+        return sym, np.where((sym < 0) | (sym >= self.n_pieces), width, 1), width
+
+    def _count_alone(self, text: str) -> int:
+        """The same for one pre-token: places wait in a queue by rank, and a pass touches those of the lowest rank and their neighbours only."""
+        sym, cost, width = self._symbols([text])
+        n, fixed = len(sym), int(width[sym < 0].sum())
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        rank, into = np.full(n, _NEVER), np.full(n, -1)
+        rank[:-1], into[:-1] = self.look_up(sym[:-1], sym[1:])
+        waiting: dict[int, list] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] != _NEVER]
+            if not len(places):
+                return
+            order = np.argsort(rank[places], kind="stable")
+            places = places[order]
+            cuts = np.flatnonzero(np.diff(rank[places])) + 1
+            for part in np.split(places, cuts):
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                if self.leftmost[r]:
+                    for p in part.tolist():
+                        heapq.heappush(waiting[r], p)
+                else:
+                    waiting[r].append(part)
+
+        wait(np.arange(n - 1))
+        while ranks:
+            r = ranks[0]
+            if self.leftmost[r]:  # equal ranks, one at a time from the left
+                while waiting[r] and not (alive[waiting[r][0]] and rank[waiting[r][0]] == r):
+                    heapq.heappop(waiting[r])
+                at = np.array([heapq.heappop(waiting[r])] if waiting[r] else [], np.int64)
+                if not waiting[r] and not len(at):
+                    del waiting[heapq.heappop(ranks)]
+                    continue
+            else:
+                at = np.unique(np.concatenate(waiting.pop(heapq.heappop(ranks))))
+                at = at[alive[at] & (rank[at] == r)]
+                if not len(at):
+                    continue
+                # Of places that overlap, the first, third, ...
+                fresh = np.r_[True, after[at[:-1]] != at[1:]]
+                order = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+                at = at[order % 2 == 0]
+            gone = after[at]
+            sym[at], cost[at] = into[at], 1
+            alive[gone] = False
+            rank[gone] = _NEVER
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            changed = np.r_[at, before[at]]
+            changed = np.unique(changed[changed >= 0])
+            last = after[changed] >= n
+            rank[changed[last]] = _NEVER
+            changed = changed[~last]
+            rank[changed], into[changed] = self.look_up(sym[changed], sym[after[changed]])
+            wait(changed)
+        return fixed + int(cost[alive & (sym >= 0)].sum())
+
+    def _count_together(self, texts: list[str]) -> np.ndarray:
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        sym, cost, width = self._symbols(texts)
+        owner = np.repeat(np.arange(len(texts)), size)
         out = np.zeros(len(texts), np.int64)
         # Characters outside the vocabulary that no piece holds never merge: count them now, and let them cut the sequence.
         np.add.at(out, owner[sym < 0], width[sym < 0])
-        cost = np.where(unknown, width, 1)
         rank, into = np.full(len(sym), _NEVER), np.full(len(sym), -1)
         if len(sym) > 1:
             rank[:-1], into[:-1] = self.look_up(sym[:-1], sym[1:])

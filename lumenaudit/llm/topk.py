@@ -5,7 +5,7 @@ blocks are taken in the order of their summed term maxima, sum over terms of max
 Shards, rows of blocks, meet tiles of queries: a shard's extremes tell first, without its vectors, which tiles hold a query that it can still serve.
 
 Defined results: a vector that is null, or holds a null or non-finite component, takes no part; one of another size than the others' scores by the
-terms both have; ties go to the smaller vec_id; repeated rows are candidates each; a query's own row is any with its vec_id; queries of one vec_id share one list of k, the best of
+terms both have; an integer component beyond +-sqrt(2^62 / terms), 2^28 for 64 terms, counts as that, so that scores stay within 64 bits; ties go to the smaller vec_id; repeated rows are candidates each; a query's own row is any with its vec_id; queries of one vec_id share one list of k, the best of
 them all; a table without vectors or queries gives an empty result; columns other than vec_id and embedding are not read.
 """
 
@@ -22,14 +22,16 @@ from .common import discard, materialize, table
 #: Vectors of a block and of a shard of blocks, and queries of a tile. A shard and a tile meet in one Arrow row; they are of one size, so that much is computed for what is moved.
 #: LIST: shards whose extremes lie in one row.
 BLOCK, SHARD, TILE, LIST = 256, 4_096, 4_096, 4_096
-_LOWEST = -(2**62)
+_LOWEST = np.iinfo(np.int64).min
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """vec_id, v: floor(scale * x) of every whole vector."""
+    """vec_id, v: floor(scale * x) of every whole vector, held within +-sqrt(2^62 / terms), so that no inner product leaves 64 bits."""
     x = F.col("embedding")
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != F.lit(float("inf"))))
-    return embeddings.select("vec_id", "embedding").where(x.isNotNull() & finite & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, lambda e: F.floor(F.lit(scale) * e.cast("double")).cast("long")).alias("v"))
+    most = F.floor(F.sqrt(F.lit(float(2**62)) / F.greatest(F.size(x), F.lit(1)))).cast("double")
+    level = lambda e: F.greatest(-most, F.least(most, F.lit(float(scale)) * e.cast("double")))
+    return embeddings.select("vec_id", "embedding").where(x.isNotNull() & finite & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, lambda e: F.floor(level(e)).cast("long")).alias("v"))
 
 
 def _matrix(rows: pa.Array) -> np.ndarray:

@@ -4,13 +4,17 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
-from lumenaudit.llm import bitmaps, collocations, ranked_search, substring
+from lumenaudit.llm import bitmaps, collocations, ranked_search, substring, token_counts, topk
+from lumenaudit.llm.common import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, w long, rank string, node string, n string, query string, score string, pos string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -201,3 +205,36 @@ def test_empty_tables(spark, docs):
     assert substring.substring_dedup(none).count() == 0
     assert ranked_search.ranked_search(none, items(spark, QUERIES)).count() == 0
     assert ranked_search.ranked_search(docs, items(spark, QUERIES).limit(0)).count() == 0
+
+
+def test_vectors_of_extreme_components(spark):
+    """Components far past 64 bits count as the largest that is safe; every query keeps its whole list."""
+    values = {0: 1e300, 1: 1.0, 20: 2.0, 3: 1e17, 40: 1e17, 60: -1e308, 5: -3.5}
+    rows = [(k, [v, 1.0, 0.0, 0.0]) for k, v in values.items()]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    own = {r.vec_id: list(r.v) for r in v.collect()}
+    most = 2**30
+    assert own == {k: [max(-most, min(most, math.floor(64 * x) if abs(x) < 1e15 else int(math.copysign(most, x)))), 64, 0, 0] for k, x in values.items()}
+    got = topk.top_k(v, v.where("vec_id % 20 = 0"), 4, 2, 2).collect()
+    want = []
+    for q in (0, 20, 40, 60):
+        best = sorted(((-sum(a * b for a, b in zip(own[q], own[d])), d) for d in own if d != q))[:4]
+        want += [(q, i + 1, d, -s) for i, (s, d) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_long_texts_without_spaces_are_counted_in_near_linear_time():
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    c = token_counts.counter("piece_bpe_32k.model")
+    rnd = random.Random(1)
+    kinds = [lambda: rnd.choice("abcdefghijklmnopqrstuvwxyz"), lambda: rnd.choice(["the", "of", "straße", "tion", "日本", "a", "🙂", "\n", "=", "00"]), lambda: "a", lambda: rnd.choice("ABCdef0123456789+/"), lambda: rnd.choice("ab"), lambda: chr(rnd.randrange(0x4E00, 0x5200))]
+    texts = ["".join(f() for _ in range(n)) for f in kinds for n in (150, 191, 192, 193, 194, 700, 3_000)] + [" " * 300 + "ab" * 400 + " x", "é" * 999]
+    assert c.count(pa.array(texts)).tolist() == [len(sp.encode(t)) for t in texts]
+    took = []
+    for n in (80_000, 240_000):
+        text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        began = time.time()
+        got = c.count(pa.array([text])).tolist()
+        took.append(time.time() - began)
+        assert got == [len(sp.encode(text))]
+    assert took[1] < 5 * took[0]
