@@ -5,9 +5,16 @@ A prefix sum has two levels: totals of ranges of the score, of which there are a
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: From which 32-bit number on a Poisson variable of mean 1 is at least 1, 2, ..., 12; and the step between resamples.
+POISSON = np.array([math.floor(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12)], np.uint64)
+STEP = 0x9E3779B1
 #: Ranges of a score that prefix sums are taken over.
 RANGES = 128
 
@@ -108,18 +115,86 @@ def generator_recall(df: DataFrame, generator: str, score: str, threshold: float
     return df.where(F.col(generator).isNotNull() & (F.col(generator).cast("string") != "")).groupBy(generator).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(score) >= threshold).cast("double")).alias("recall"), F.avg(score).alias("mean_score"))
 
 
+def multiplicities(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """How often each row is drawn in each replicate (rows x replicates): Poisson with mean 1, from a hash of the key and the replicate's number."""
+    h = ((keys ^ (keys >> np.int64(32))) & np.int64(0xFFFFFFFF)).astype(np.uint32)
+    return np.searchsorted(POISSON, _scrambled(_scrambled(h)[:, None] + (np.arange(replicates, dtype=np.uint32) * np.uint32(STEP) + np.uint32(seed))[None]), "right")
+
+
+def _scrambled(h: np.ndarray) -> np.ndarray:
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x31848BAB), (16, 1)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return h
+
+
 def bootstrap_auc(df: DataFrame, label: str, score: str, key: str, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """low, high: 2.5 and 97.5 percentiles of the AUC over replicates of n draws by hash.
+    """replicates, low, high: how many resamples have both classes, and the 2.5 and 97.5 percentiles of their AUC.
 
-    Rows are numbered in the order of key (a number) over ranges of it; a draw is a join on the number. Draws are replicates times the rows, made where they are joined.
+    Each row's number of copies in each resample follows from its key (a whole number, one a row) alone, so no draw is ever joined or shuffled: rows are dealt once by range of
+    the score, their copies are made where they are summed, and each range gives one row a resample. Rows of a score that repeats within a batch are summed before they are dealt.
     """
-    own = df.select(F.col(label).alias("y"), F.col(score).alias("s"), F.col(key).alias("k"))
-    cuts = _ranged(own, "k")
-    counted = _prefix_sums(own.groupBy(F.col("k").alias("s")).agg(F.count(F.lit(1)).alias("pos"), F.lit(0).cast("long").alias("neg")), [], cuts).select(F.col("s").alias("k"), F.col("pos_below").alias("i"))
-    numbered = own.join(counted, "k").withColumn("i", F.col("i") + F.row_number().over(Window.partitionBy("k").orderBy("y", "s")) - 1)
-    n = own.count()
-    draws = df.sparkSession.range(replicates * n).select((F.expr(f"id div {max(n, 1)}")).alias("rep"), (F.col("id") % max(n, 1)).alias("draw"))
-    at = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "rep", "draw")), 1, 8), 16, 10).cast("long") % n
-    sampled = draws.withColumn("i", at).join(numbered, "i")
-    auc = roc_auc(sampled, "y", "s", ["rep"], _ranged(own, "s")).where(F.col("auc").isNotNull())
+    own = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"), F.col(key).cast("long").alias("k"))
+    cuts = _ranged(own, "s")
+
+    def summed(it):
+        """Rows as they are; of scores with more rows than resamples the sums."""
+        for b in it:
+            s, y, k = (b.column(c).to_numpy(zero_copy_only=False) for c in ("s", "y", "k"))
+            order = np.argsort(s, kind="stable")
+            heads = np.flatnonzero(np.concatenate([[True], s[order][1:] != s[order][:-1]])) if len(s) else np.empty(0, np.int64)
+            counts = np.diff(np.append(heads, len(s)))
+            many = np.repeat(counts > replicates, counts)
+            single = order[~many]
+            yield pa.RecordBatch.from_arrays([pa.array(s[single]), pa.array(y[single]), pa.array(k[single]), pa.nulls(len(single), pa.binary())], ["s", "y", "k", "w"])
+            for a, n in zip(heads[counts > replicates].tolist(), counts[counts > replicates].tolist(), strict=True):
+                for c in (0, 1):
+                    at = order[a : a + n][y[order[a : a + n]] == c]
+                    w = sum((multiplicities(k[at[i : i + 4096]], replicates, seed).sum(0) for i in range(0, len(at), 4096)), np.zeros(replicates, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(s[at[:1]]), pa.array(y[at[:1]]), pa.array(k[at[:1]]), pa.array([w.astype(np.int64).tobytes()] * len(at[:1]), pa.binary())], ["s", "y", "k", "w"])
+
+    def ranked(it):
+        """Of each range and resample: positives, negatives, and twice the pairs of both inside it, ties at half."""
+        here, below, twice, total, last = None, None, None, None, None
+        tie = np.zeros((2, replicates), np.int64)
+
+        def closed():
+            nonlocal twice, below
+            twice += tie[1] * (2 * below + tie[0])
+            below += tie[0]
+            tie[:] = 0
+
+        def out():
+            closed()
+            rep = np.arange(replicates)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(replicates, here)), pa.array(rep), *(pa.array(x) for x in (total[1], total[0], twice))], ["range", "rep", "pos", "neg", "twice"])
+
+        for b in it:
+            for a in range(0, b.num_rows, 4096):
+                part = b.slice(a, 4096)
+                s, y, k, r = (part.column(c).to_numpy(zero_copy_only=False) for c in ("s", "y", "k", "range"))
+                w = multiplicities(k, replicates, seed)
+                for i in np.flatnonzero(part.column("w").is_valid().to_numpy(zero_copy_only=False)):
+                    w[i] = np.frombuffer(part.column("w")[i].as_py(), np.int64)
+                heads = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (r[1:] != r[:-1])]))
+                at = [np.add.reduceat(np.where((y == c)[:, None], w, 0), heads, axis=0) for c in (0, 1)]
+                for g, i in enumerate(heads.tolist()):
+                    if here != r[i]:
+                        if here is not None:
+                            yield out()
+                        here, last = int(r[i]), s[i]
+                        below, twice, total = np.zeros(replicates, np.int64), np.zeros(replicates, np.int64), np.zeros((2, replicates), np.int64)
+                    elif last != s[i]:
+                        closed()
+                        last = s[i]
+                    for c in (0, 1):
+                        tie[c] += at[c][g]
+                        total[c] += at[c][g]
+        if here is not None:
+            yield out()
+
+    dealt = own.mapInArrow(summed, "s double, y int, k long, w binary").withColumn("range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col("s"))))
+    parts = dealt.repartition("range").sortWithinPartitions("range", "s").mapInArrow(ranked, "range long, rep long, pos long, neg long, twice long")
+    ahead = Window.partitionBy("rep").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = parts.withColumn("twice", F.col("twice") + 2 * F.col("pos") * F.coalesce(F.sum("neg").over(ahead), F.lit(0)))
+    auc = pairs.groupBy("rep").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum("twice").alias("u")).where("p > 0 and q > 0").select((F.col("u") / 2 / (F.col("p") * F.col("q"))).alias("auc"))
     return auc.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))

@@ -14,6 +14,8 @@ from ..sources.scratch import materialize
 
 #: Rows that share a key of near_pairs, or tiles of one media item, that are compared as one block.
 BLOCK = 512
+#: Blocks of tiles that lie in one part.
+PART = 4
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def near_pairs(df: DataFrame, hash_col: str, max_distance: int = 4, blocks: int
 def tile_pairs(tiles: DataFrame, media: str, positions: list[str], vector: str, least: float) -> DataFrame:
     """media, best: the largest inner product of two tiles of a media item that are at least so far apart in one of the positions.
 
-    A media item's tiles lie in blocks, dealt by a hash; each pair of blocks is multiplied in one task and gives one number, so no pair of tiles is ever a row.
+    A media item's tiles lie in blocks, dealt by a hash; pairs of blocks are multiplied whole and each unit of them gives one number, so no pair of tiles is ever a row.
     """
     n = tiles.groupBy(media).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     at = [F.col(p).cast("double") for p in positions]
@@ -79,19 +81,28 @@ def tile_pairs(tiles: DataFrame, media: str, positions: list[str], vector: str,
 
     schema = f"`{media}` {kind}, blocks int, block int, n int, at binary, v binary"
     blocks = materialize(rows.groupBy(media, "_blocks", "_block").applyInArrow(pack, schema), "tile-blocks")
-    a, b = (blocks.select(media, *[F.col(c).alias(f"{x}_{c}") for c in ("block", "n", "at", "v")]) for x in "ab")
-    met = a.join(b, media).where(F.col("a_block") <= F.col("b_block"))
-
-    def highest(it):
-        for batch in it:
-            best = []
-            for r in batch.to_pylist():
-                p, x, q, y = (np.frombuffer(r[f"{s}_{c}"]).reshape(r[f"{s}_n"], -1) for s in "ab" for c in ("at", "v"))
-                far = (np.abs(p[:, None] - q[None]) >= least).any(2)
-                best.append(float((x @ y.T)[far].max()) if far.any() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.float64())], [media, "best"])
-
-    return met.mapInArrow(highest, f"`{media}` {kind}, best double").groupBy(media).agg(F.max("best").alias("best")).where("best is not null")
+    # Blocks lie in parts of at most PART; every two parts meet in one unit, the key by which they are dealt, so a media item of any size is spread over tasks and a unit holds 2 * PART blocks.
+    parts = F.ceil(F.col("blocks") / PART).cast("int")
+    own = F.floor(F.col("block") / PART).cast("int")
+    units = blocks.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    units = units.select(media, F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "n", "at", "v")
+
+    def highest(group: pa.Table) -> pa.Table:
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        part = group.column("part").to_pylist()
+        read = lambda c, k: np.frombuffer(group.column(c)[k].as_py()).reshape(group.column("n")[k].as_py(), -1)
+        best = None
+        for i in range(len(part)):
+            for j in range(i, len(part)):
+                if lo == hi or part[i] != part[j]:
+                    far = (np.abs(read("at", i)[:, None] - read("at", j)[None]) >= least).any(2)
+                    if far.any():
+                        top = float((read("v", i) @ read("v", j).T)[far].max())
+                        best = top if best is None else max(best, top)
+        return pa.table({media: group.column(media).slice(0, 1), "best": pa.array([best], pa.float64())})
+
+    met = units.groupBy(media, "lo", "hi").applyInArrow(highest, f"`{media}` {kind}, best double")
+    return met.groupBy(media).agg(F.max("best").alias("best")).where("best is not null")
 
 
 def with_previous(df: DataFrame, part: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -91,9 +91,18 @@ def _(spark, sf):
     return _rounded(M.headline(scored(spark, sf), "y", "s", 0.5, ["g"]))
 
 
-@query("e2_bootstrap_auc", """WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, quality AS y, floor(n_chars / 100.0::DOUBLE) AS s FROM documents JOIN labels USING (doc_id)), n AS (SELECT count(*) AS n FROM d),
-  x AS (SELECT rep, (CAST('0x' || substr(md5('7|' || rep || '|' || draw), 1, 8) AS BIGINT) % n) AS i FROM n, range(0, 200) r(rep), (SELECT unnest(range(n)) AS draw FROM n) q), j AS (SELECT rep, y, s FROM x JOIN d USING (i)),
-  g AS (SELECT rep, s, sum(y) AS pos, sum(1 - y) AS neg FROM j GROUP BY 1, 2), a AS (SELECT rep, sum(pos * (below + 0.5 * neg))::DOUBLE / (sum(pos) * sum(neg))::DOUBLE AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) GROUP BY rep HAVING sum(pos) > 0 AND sum(neg) > 0)
+def _scrambled(x: str) -> str:
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x31848BAB), (16, 1)):
+        x = f"(SELECT * REPLACE (xor(h, h >> {shift}) * {factor} % 4294967296 AS h) FROM {x})"
+    return x
+
+
+_ROWS = _scrambled("(SELECT (doc_id % 4294967296)::UBIGINT AS h, quality AS y, floor(n_chars / 100.0::DOUBLE) AS s FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL)")
+_DRAWS = _scrambled(f"(SELECT rep, y, s, (h + rep * {M.STEP} % 4294967296 + 7) % 4294967296 AS h FROM {_ROWS} d, (SELECT unnest(range(200))::UBIGINT AS rep) r)")
+
+
+@query("e2_bootstrap_auc", f"""WITH g AS (SELECT rep, s, sum(y * w) AS pos, sum((1 - y) * w) AS neg FROM (SELECT *, {' + '.join(f'(h >= {int(c)})::BIGINT' for c in M.POISSON)} AS w FROM {_DRAWS}) GROUP BY 1, 2),
+  a AS (SELECT rep, sum(pos * (below + 0.5 * neg))::DOUBLE / (sum(pos) * sum(neg))::DOUBLE AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) GROUP BY rep HAVING sum(pos) > 0 AND sum(neg) > 0)
   SELECT count(*) AS replicates, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM a""")
 def _(spark, sf):
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id").select("doc_id", "quality", F.floor(F.col("n_chars") / 100).alias("s"))

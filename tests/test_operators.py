@@ -198,8 +198,9 @@ def test_software_fields_take_only_what_names_a_tool(spark):
     assert got == {"m": "firefly 2 prompt a cat nikon\ntool ann"}
 
 
-def test_tile_pairs_equal_brute_force(spark):
+def test_tile_pairs_equal_brute_force(spark, monkeypatch):
     rnd = random.Random(4)
+    monkeypatch.setattr(relational, "BLOCK", 40)  # many blocks, several parts
     rows = [(m, x, y, [rnd.gauss(0, 1) for _ in range(5)]) for m, n in (("a", 700), ("b", 30), ("c", 1)) for x, y in [(rnd.randrange(300), rnd.randrange(300)) for _ in range(n)]]
     got = {r.m: r.best for r in relational.tile_pairs(spark.createDataFrame(rows, "m string, x int, y int, v array<double>"), "m", ["x", "y"], "v", 40).collect()}
     want = {}
@@ -280,22 +281,44 @@ def test_probe_and_combiner_have_the_coefficients_of_a_plain_fit(spark):
     assert abs(gain(fit["threshold"] - 1e-9) - max(gain(c) for c in p)) < 1e-9
 
 
-def test_bootstrap_equals_plain_draws(spark):
-    import hashlib
+def scrambled(h):
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x31848BAB), (16, 1)):
+        h = (h ^ (h >> shift)) * factor % 2**32
+    return h
+
 
+@pytest.mark.parametrize(("n", "levels"), [(60, 6), (400, 3), (50, 1000)])
+def test_bootstrap_equals_plain_draws(spark, n, levels):
+    """Scores with ties, with more rows than resamples, and all distinct."""
     import numpy as np
 
     rnd = random.Random(9)
-    rows = [(10 * i, rnd.randrange(2), rnd.randrange(6) / 5) for i in range(60)]
-    got = metrics.bootstrap_auc(spark.createDataFrame(rows, "k long, y int, s double"), "y", "s", "k", 20, 7).first()
+    rows = [(10 * i + (i << 34), rnd.randrange(2), rnd.randrange(levels) / 5) for i in range(n)]
+    got = metrics.bootstrap_auc(spark.createDataFrame([*rows, (1, None, 0.5), (2, 1, None)], "k long, y int, s double").repartition(3), "y", "s", "k", 20, 7).first()
     aucs = []
     for rep in range(20):
-        at = [int(hashlib.md5(f"7|{rep}|{d}".encode()).hexdigest()[:8], 16) % 60 for d in range(60)]
-        pos, neg = ([rows[i][2] for i in at if rows[i][1] == v] for v in (1, 0))
-        aucs.append(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg))
+        drawn = []
+        for k, y, s in rows:
+            x = scrambled((scrambled((k ^ (k >> 32)) & 0xFFFFFFFF) + rep * metrics.STEP + 7) % 2**32)
+            drawn += [(y, s)] * sum(x >= int(c) for c in metrics.POISSON)
+        pos, neg = ([s for y, s in drawn if y == v] for v in (1, 0))
+        aucs.append(sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / len(pos) / len(neg))
     assert got.replicates == 20 and np.allclose([got.low, got.high], np.percentile(aucs, [2.5, 97.5]))
 
 
+def test_bootstrap_is_near_that_of_draws_with_replacement(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 500)
+    s = np.round(rng.normal(0, 1, 500) + 0.7 * y, 2)
+    auc = lambda a, b: (a[:, None] > b[None]).mean() + 0.5 * (a[:, None] == b[None]).mean()
+    draws = [rng.integers(0, 500, 500) for _ in range(2000)]
+    low, high = np.percentile([auc(s[d][y[d] == 1], s[d][y[d] == 0]) for d in draws], [2.5, 97.5])
+    got = metrics.bootstrap_auc(spark.createDataFrame(list(zip(range(500), y.tolist(), s.tolist())), "k long, y int, s double"), "y", "s", "k").first()
+    assert abs(got.low - low) < 0.02 and abs(got.high - high) < 0.02
+
+
 def test_entropy_and_hash_of_texts(spark):
     import math
     from collections import Counter
