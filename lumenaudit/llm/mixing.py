@@ -1,7 +1,7 @@
 """Mixing sources to target weights: hash-random order, two-level prefix sums, exact cut at each source's budget.
 
 Native: DataFrame functions only. Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source
-of its own, ranked last; a null doc_id hashes as the empty string; repeated rows are separate rows (equal rows are
+of its own, ranked last; a null doc_id hashes as the empty string beside its text; repeated rows are separate rows (equal rows are
 interchangeable); an empty table gives an empty result; columns other than doc_id, text and source are not read.
 """
 
@@ -52,22 +52,23 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """doc_id, source, size, source_size, target, before, budget, taken for every row of docs.
 
-    Each source's rows are put in the order of md5(doc_id), range-partitioned by its leading bits into about sqrt(N) buckets.
+    Each source's rows are put in the order of an md5 of doc_id and text, range-partitioned by its leading bits into about sqrt(N) buckets.
     Bucket totals give each bucket's offset, a running sum inside the bucket the rest, so no task holds a whole source.
     The budget floor(target) is taken as whole epochs over the source and then, in hash order, up to the exact word.
     """
-    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _random_key(F.col("doc_id"), F.col("text")).alias("key")), "mix-sizes")
     return _placed(sizes, weights, max_epochs).select("doc_id", "source", "size", "source_size", "target", "before", "budget", "epochs", "rest", "taken")
 
 
-def _random_key(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+def _random_key(doc_id: Column, text: Column) -> Column:
+    """Of doc_id and text, so that rows without an id, or of one id, do not share a key."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.md5(text.cast("string")), F.lit(""))))
 
 
 def _placed(sizes: DataFrame, weights, max_epochs: int) -> DataFrame:
     targets = materialize(source_targets(sizes, weights, max_epochs), "mix-targets")
     n_buckets = max(1, int(sizes.count() ** 0.5))
-    keyed = sizes.withColumn("key", _random_key(F.col("doc_id"))).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(2**32)).cast("int"))
+    keyed = sizes.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(2**32)).cast("int"))
     totals = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("bucket_before"))
@@ -105,12 +106,12 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     In a source's hash order all rows up to the cut are taken once more, so the cut, one row a source, is all that the texts have to meet: they are not shuffled.
     Rows that are equal in doc_id, source and size are taken together. Columns of docs may have any other names.
     """
-    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _random_key(F.col("doc_id"), F.col("text")).alias("key")), "mix-sizes")
     place = F.struct("key", "doc_id", "size")
     cuts = _placed(sizes, weights, max_epochs).groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(_once_more(), place)).alias("cut"))
     cuts = materialize(cuts, "mix-cuts")
     source, cut, epochs, size = (free_name(f"mix_{c}", docs) for c in ("source", "cut", "epochs", "size"))
-    own = F.struct(_random_key(F.col("doc_id")).alias("key"), F.col("doc_id"), F.col(size).alias("size"))
+    own = F.struct(_random_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("doc_id"), F.col(size).alias("size"))
     copies = F.col(epochs) + F.coalesce((F.col(size) > 0) & (own <= F.col(cut)), F.lit(False)).cast("long")
     met = docs.join(cuts.toDF(source, epochs, cut), F.col("source").eqNullSafe(F.col(source))).withColumn(size, word_count(F.col("text")))
     return met.withColumn(size, copies).where(F.col(size) > 0).withColumn(size, F.explode(F.sequence(F.lit(1).cast("long"), F.col(size)))).select(*docs.columns)
@@ -119,7 +120,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 OP9_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
 r AS (SELECT *, 3 * source_size AS cap, CAST(3 * source_size AS DOUBLE) / weight AS ratio FROM w),

@@ -659,7 +659,8 @@ def copies_by_brute_force(rows):
     size = lambda t: len((t or "").encode().split())
     by = defaultdict(list)
     for i, t, s in rows:
-        by[s].append((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), i, size(t), t))
+        key = f"{'' if i is None else i}|{'' if t is None else hashlib.md5(t.encode()).hexdigest()}"
+        by[s].append((hashlib.md5(key.encode()).hexdigest(), i, size(t), t))
     names = sorted(by, key=lambda s: (s is None, s))
     total = {s: sum(r[2] for r in by[s]) for s in names}
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
@@ -799,3 +800,35 @@ def test_groups_that_span_batches_stay_whole():
             assert len(set(k[a:b])) == 1
             seen.append((k[a], b - a))
     assert seen == sorted((k, keys.count(k)) for k in set(keys))
+
+
+def test_mix_keys_of_rows_without_an_id_differ(spark):
+    rows = [(None, f"w{k} " * 5, "a") for k in range(300)] + [(7, f"v{k} " * 5, "a") for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = d.select(mixing._random_key(F.col("doc_id"), F.col("text")).alias("k")).distinct().count()
+    mixed = mixing.mix_sources(d)
+    assert keys == 600 and mixed.agg(F.sum("taken")).first()[0] == 3000 and mixed.count() == 600
+
+
+def test_pipeline_with_nulls_clashing_names_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rnd = random.Random(8)
+    make = lambda: " ".join("".join(rnd.choice("aeioulnrst") for _ in range(6)) for _ in range(40))
+    base = make()
+    rows = [(None, make(), "a", "x") for _ in range(30)] + [(None, base, "a", "x")] * 3 + [(k, base, "b", "y") for k in (4, 9)] + [(k, make(), None, None) for k in range(20, 60)] + [(70, None, "a", "x"), (71, "", "a", "x")]
+    clash = ["text_md5", "dealt_by", "named", "mix_size", "mix_cut", "toxicity", "first", "size", "key"]
+    schema = "doc_id long, text string, source string, lang string, " + ", ".join(f"{c} string" for c in clash)
+    docs = spark.createDataFrame([(*r, *["clash"] * len(clash)) for r in rows], schema)
+    for name, df in (("some", docs), ("none", docs.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels = [(k, int(k % 3 == 0)) for k in range(20, 60)] if name == "some" else []
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    kept = P.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/some/documents.parquet"), f"{tmp_path}/some")
+    assert kept.columns == docs.columns
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert ids == Counter({None: 33, 4: 1, 70: 1, 71: 1, **{k: 1 for k in range(20, 60)}})
+    assert P.run(spark, f"{tmp_path}/some").count() > 0
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, spark.read.parquet(f"{tmp_path}/none/documents.parquet"), f"{tmp_path}/none").columns == docs.columns
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
