@@ -1,4 +1,9 @@
-"""Corpus pipeline: toxicity, near-duplicates, source mixing, packing. Each stage takes (spark, docs, sf_dir) and works on all that the one before kept."""
+"""Corpus pipeline: toxicity, near-duplicates, source mixing, packing. Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+
+Defined results: a null or empty text is clean, near to nothing, has no words and so is never mixed in; a null doc_id is near to nothing and goes through the other stages as any row; of
+rows equal in doc_id and text one stays, rows of one doc_id with different texts are told apart by them; ties follow the operators; empty tables give an empty
+result with its columns; documents may have more columns of any names, and all stages but the last return them.
+"""
 
 from __future__ import annotations
 
@@ -23,17 +28,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts are dealt by doc_id once, to meet the ids that go. Only rows of ids that occur twice and stay in part are told apart by their texts.
     """
-    key = free_name("text_md5", docs)
+    key, place, named = (free_name(c, docs) for c in ("text_md5", "dealt_by", "named"))
     marks = near_duplicates(docs).where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text_md5", F.lit("")).alias(key), "first")
     marks = materialize(marks.where(~F.col("first")).unionAll(_repeated(marks)), "pipeline-marks")
     per_id = marks.groupBy("doc_id").agg(F.bool_or("first").alias("stays"))
-    kept = docs.join(per_id.where(~F.col("stays")).select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    in_part = per_id.where("stays").select("doc_id")
+    ids = lambda df: df.select(F.col("doc_id").alias(place), F.lit(True).alias(named))
+    # Rows without an id match nothing; they are dealt by their texts, else all would be one key's.
+    spread = docs.withColumn(named, F.col("doc_id").isNotNull()).withColumn(place, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    kept = spread.join(ids(per_id.where(~F.col("stays"))).hint("merge"), [place, named], "left_anti")
+    in_part = per_id.where("stays")
     if in_part.isEmpty():
-        return kept
-    of_these = kept.join(in_part, "doc_id", "left_semi").withColumn(key, F.coalesce(F.md5("text"), F.lit("")))
-    first = of_these.join(marks.where("first").select("doc_id", key), ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
-    return kept.join(in_part, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+        return kept.select(*docs.columns)
+    of_these = kept.join(ids(in_part), [place, named], "left_semi").withColumn(key, F.coalesce(F.md5("text"), F.lit("")))
+    own = marks.where("first").select(F.col("doc_id").alias(place), key)
+    first = of_these.join(own, [place, key], "left_semi").dropDuplicates([place, key])
+    return kept.join(ids(in_part), [place, named], "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def _repeated(marks: DataFrame) -> DataFrame:
