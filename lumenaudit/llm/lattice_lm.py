@@ -1,7 +1,7 @@
 """Language-model scores by subword lattice likelihood: a text's probability is the sum over all its segmentations into vocabulary pieces.
 
 The vocabulary is that of an existing file. A piece's weight comes from its score: the score is the prior of a fit to the corpus, expectation maximisation over the lattices of all
-training words, and alone the weight where there is nothing to learn from. Pieces and the end share one distribution, so the probabilities of all texts sum to at most one. A forward
+training words, and alone the weight where there is nothing to learn from. After the fit the corpus decides nearly all: with equal scores a token of sf0.1 loses 0.0006 log10. Pieces and the end share one distribution, so the probabilities of all texts sum to at most one. A forward
 recursion in log space sums the segmentations; pieces do not cross white space, so a text's sum is the product of its words' sums and the end's.
 Words meet counts and probabilities by joins on the word, never through the driver. Texts are read once: chunks of bounded bytes keep each document as numbers of its chunk's distinct words.
 
