@@ -15,6 +15,7 @@ BAND_HIGH, BAND_LOW, RISK_LOW, RISK_MEDIUM = 0.65, 0.35, 0.3, 0.6
 PLAIN_FORMS = {"—": "--", "–": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "...", " ": " ", "•": "*", "×": "x"}
 #: Accepted extensions by media type, and accepted licences.
 IMAGE_EXTENSIONS, VIDEO_EXTENSIONS = ("jpg", "jpeg", "png", "webp"), ("mp4", "mov", "avi", "mkv")
+ACCEPTED_MIMES = ("image/jpeg", "image/png")
 ACCEPTED_LICENSES = ("cc0", "pd", "public domain", "cc-by", "cc-by-sa")
 
 
@@ -62,6 +63,12 @@ def normal_license(license_name: Column) -> Column:
     return F.nullif(F.trim(F.lower(license_name)), F.lit(""))
 
 
+def admitted(license_name: Column, mime: Column, width: Column, height: Column, accepted=ACCEPTED_LICENSES, mimes=ACCEPTED_MIMES, least: int = 300) -> Column:
+    """Whether an item may be taken: an accepted licence, a type of natural photographs, and both sides long enough. Anything unknown is refused, never null."""
+    fits = normal_license(license_name).isin(*accepted) & mime.isin(*mimes) & (width >= least) & (height >= least)
+    return F.coalesce(fits, F.lit(False))
+
+
 def stable_id(title: Column, n: int = 12) -> Column:
     return F.substring(F.sha1(title), 1, n)
 

@@ -92,6 +92,24 @@ def explain(verdicts: DataFrame, signals: DataFrame, weights: DataFrame) -> Data
     return x.withColumn("rendered", F.concat("headline", _section("Reasons", F.col("reasons")), _section("Notes", F.col("notes"))))
 
 
+def technical_summary(verdicts: DataFrame, signals: DataFrame, weights: DataFrame, known=NOTES) -> DataFrame:
+    """media, summary: the verdict with its score, the signals that apply by renormalised weight (then by position), and those that do not with their note.
+
+    Only media that have a score; the lists are those of one media's signals, a bounded number.
+    """
+    fixed = lambda x: F.format_number(F.bround(x, 2), 2)
+    line = F.concat(F.lit("  - "), "signal", F.lit(": score="), fixed(F.col("score")), F.lit(", weight="), F.bround(F.col("weight") * 100, 0).cast("int").cast("string"), F.lit("%"))
+    entry = F.struct((-F.round("weight", 9)).alias("k"), F.coalesce("pos", F.lit(1 << 30)).alias("pos"), "signal", line.alias("text"))
+    lines = share_of_weight(signals, weights).groupBy("media").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]).alias("lines"))
+    dim = signals.sparkSession.createDataFrame(list(known.items()), "signal string, note string")
+    absent = F.struct("signal", F.concat(F.lit("  - "), "signal", F.lit(": "), F.coalesce("note", F.concat("signal", F.lit(" was unavailable for this run.")))).alias("text"))
+    missing = signals.where("score is null").join(F.broadcast(dim), "signal", "left").groupBy("media").agg(F.transform(F.array_sort(F.collect_list(absent)), lambda e: e["text"]).alias("missing"))
+    head = F.concat(F.lit("Verdict: "), F.upper("verdict"), F.lit(" (fused suspicion score "), fixed(F.col("fused_score")), F.lit(" on a 0-1 scale)."))
+    x = verdicts.where("score is not null").select("media", "verdict", F.col("score").alias("fused_score")).join(lines, "media", "left").join(missing, "media", "left")
+    texts = [F.array(head, F.lit("Contributing signals:")), F.coalesce("lines", F.array().cast("array<string>")), F.when(F.col("missing").isNotNull(), F.concat(F.array(F.lit("Signals not available for this analysis:")), "missing")).otherwise(F.array().cast("array<string>"))]
+    return x.select("media", F.array_join(F.concat(*texts), "\n").alias("summary"))
+
+
 def signal_map(signals: DataFrame, weights: DataFrame) -> DataFrame:
     """media, signals: name -> (score, weight) of the signals that apply, weights renormalised; a bounded list per media."""
     entry = F.struct("signal", F.struct(F.round("score", 4).alias("score"), F.round("weight", 4).alias("weight")).alias("value"))

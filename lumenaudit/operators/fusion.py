@@ -60,16 +60,20 @@ def _sum_where(signal: Column, score: Column, factors: dict[str, float]) -> Colu
 
 
 def learned_fusion(signals: DataFrame, calibration=CALIBRATION) -> DataFrame:
-    """media, logit, shift, p for media that have every feature: one aggregate, no pivot."""
+    """media, logit (of the fitted model), shift, p, contributions (feature -> weight times score), applied (provenance signal -> its part of the shift) for media
+    that have every feature: one aggregate, no pivot. The maps hold fixed names, so that nothing is collected; a feature that occurs twice counts with its sum."""
     signal, score = F.col("signal"), F.col("score")
     features = dict(zip(calibration["features"], calibration["weights"], strict=True))
     shift = F.lit(0.0)
     for name, m in SHIFTS.items():
         shift = F.when((signal == name) & (score >= C.BAND_HIGH), m).when((signal == name) & (score <= C.BAND_LOW), -m).otherwise(shift)
+    parts = F.create_map(*[x for name, w in features.items() for x in (F.lit(name), F.sum(F.when(signal == name, score * F.lit(w))))])
+    shifts = F.create_map(*[x for name in SHIFTS for x in (F.lit(name), F.sum(F.when(signal == name, shift)))])
     out = signals.where("score is not null").groupBy("media").agg(
-        F.countDistinct(F.when(signal.isin(*features), signal)).alias("found"), (F.lit(calibration["intercept"]) + _sum_where(signal, score, features)).alias("logit"), F.sum(shift).alias("shift")
-    )
-    return out.where(F.col("found") == len(features)).select("media", "logit", "shift", C.sigmoid(F.col("logit") + F.col("shift")).alias("p"))
+        F.countDistinct(F.when(signal.isin(*features), signal)).alias("found"), (F.lit(calibration["intercept"]) + _sum_where(signal, score, features)).alias("logit"), F.sum(shift).alias("shift"),
+        parts.alias("contributions"), F.map_filter(shifts, lambda _, v: v != 0).alias("applied"),
+    )
+    return out.where(F.col("found") == len(features)).select("media", "logit", "shift", C.sigmoid(F.col("logit") + F.col("shift")).alias("p"), "contributions", "applied")
 
 
 def fuse(signals: DataFrame, weights: DataFrame, calibration=CALIBRATION) -> DataFrame:

@@ -152,6 +152,28 @@ def examples(df: DataFrame, key: str, item: str, n: int = 5) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(item)), ",").alias("examples"))
 
 
+def leakage_examples(df: DataFrame, item: str, hash_col: str, split: str, cls: str, near: DataFrame | None = None, near_hash: str | None = None, n: int = 5) -> DataFrame:
+    """kind, pos, items: the first n groups of equal hashes that span splits, the first n that span classes, and the first n near pairs across splits.
+
+    Groups follow each other by their smallest item and show their first n items, joined by commas. near is (h1, h2, ...) over near_hash. Only n groups a kind meet their
+    members again (a join with at most 3 n rows), and ranks cut what a group of any size sends.
+    """
+    groups = df.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(item).alias("first"), F.count(F.lit(1)).alias("n"), F.countDistinct(split).alias("splits"), F.countDistinct(cls).alias("classes")).where("n > 1")
+    picked = None
+    for kind, column in (("cross_split", "splits"), ("cross_class", "classes")):
+        top = groups.where(F.col(column) > 1).orderBy("first", hash_col).limit(n).select(F.lit(kind).alias("kind"), F.col(hash_col).cast("string").alias("group"), F.col(hash_col).alias("h"), "first")
+        picked = top if picked is None else picked.unionByName(top)
+    members = df.select(F.col(hash_col).alias("h"), item).join(F.broadcast(picked), "h")
+    if near is not None:
+        pairs = near.orderBy("h1", "h2").limit(n).select(F.lit("near_cross_split").alias("kind"), F.concat_ws("/", "h1", "h2").alias("group"), F.explode(F.array("h1", "h2")).alias("h"))
+        firsts = df.select(F.col(near_hash).alias("h"), item).join(F.broadcast(pairs), "h").groupBy("kind", "group", "h").agg(F.min(item).alias(item))
+        firsts = firsts.withColumn("first", F.min(item).over(Window.partitionBy("kind", "group")))
+        members = members.select("kind", "group", "first", item).unionByName(firsts.select("kind", "group", "first", item))
+    ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "group").orderBy(item))).where(F.col("rank") <= n)
+    shown = ranked.groupBy("kind", "group", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(item).cast("string").alias("x")))), lambda e: e["x"]), ",").alias("items"))
+    return shown.select("kind", F.row_number().over(Window.partitionBy("kind").orderBy("first", "group")).alias("pos"), "items")
+
+
 def region_means(df: DataFrame, keys: list[str], mask: Column, values: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.coalesce(F.avg(F.when(m, F.col(v))), F.lit(0.0)).alias(f"{v}_{side}") for v in values for side, m in (("inside", mask), ("outside", ~mask))])
 

@@ -133,6 +133,13 @@ def _(spark, sf):
     return t(spark, sf, "part").where(C.normal_license(F.col("p_brand")).isin("brand#11", "brand#12", "brand#23", "brand#34") & (F.col("p_size") >= 10)).select("p_partkey")
 
 
+@query("c6_admission", "SELECT p_partkey FROM part WHERE nullif(trim(lower(p_brand)), '') IN ('brand#11', 'brand#23', 'brand#34', 'brand#42') AND CASE split_part(p_type, ' ', 1) WHEN 'PROMO' THEN 'image/jpeg' WHEN 'ECONOMY' THEN 'image/png' WHEN 'SMALL' THEN 'image/tiff' END IN ('image/jpeg', 'image/png') AND p_size * 20 >= 300 AND p_retailprice >= 300")
+def _(spark, sf):
+    mime = C.harmonise_label(F.split_part("p_type", F.lit(" "), F.lit(1)), {"PROMO": "image/jpeg", "ECONOMY": "image/png", "SMALL": "image/tiff"})
+    kept = C.admitted(F.col("p_brand"), mime, F.col("p_size") * 20, F.col("p_retailprice"), ("brand#11", "brand#23", "brand#34", "brand#42"))
+    return t(spark, sf, "part").where(kept).select("p_partkey")
+
+
 @query("c7_stable_id", "SELECT page_id, substr(sha1(url), 1, 12) AS stable_id FROM pages")
 def _(spark, sf):
     return t(spark, sf, "pages").select("page_id", C.stable_id(F.col("url")).alias("stable_id"))
@@ -480,3 +487,18 @@ def _(spark, sf):
     x = R.duplicate_groups(exact, "h", "split", "lang").join(near, how="inner")
     total = F.col("cross_split") + F.col("cross_class") + F.col("near")
     return x.select(total.alias("leak_total"), "cross_split", "cross_class", "near", (total == 0).alias("ok"))
+
+
+_SPLIT_DOCS_SQL = "(SELECT doc_id, lang, sha256(text) AS x, h, split FROM f JOIN (SELECT doc_id, lang, text FROM documents) USING (doc_id))"
+_NEAR_SQL = f"(SELECT h1, h2 FROM {_PAIRS_SQL} WHERE crosses ORDER BY 1, 2 LIMIT 5)"
+
+
+@query("d2_leakage_examples", f"""{_F_SQL}, d AS MATERIALIZED (SELECT * FROM {_SPLIT_DOCS_SQL}), g AS (SELECT x, min(doc_id) AS first, count(DISTINCT split) AS splits, count(DISTINCT lang) AS classes FROM d WHERE x IS NOT NULL GROUP BY x HAVING count(*) > 1),
+  picked AS ((SELECT 'cross_split' AS kind, x, first FROM g WHERE splits > 1 ORDER BY first, x LIMIT 5) UNION ALL (SELECT 'cross_class', x, first FROM g WHERE classes > 1 ORDER BY first, x LIMIT 5)),
+  n AS (SELECT h1, h2, (SELECT min(doc_id) FROM d WHERE h = h1) AS a, (SELECT min(doc_id) FROM d WHERE h = h2) AS b FROM {_NEAR_SQL})
+  SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY first, x) AS INTEGER) AS pos, items FROM (
+    SELECT kind, x, first, array_to_string(list(doc_id ORDER BY doc_id)[1:5], ',') AS items FROM picked JOIN d USING (x) GROUP BY ALL
+    UNION ALL SELECT 'near_cross_split', h1 || '/' || h2, least(a, b), least(a, b) || ',' || greatest(a, b) FROM n)""")
+def _(spark, sf):
+    d = N.text_dhash(t(spark, sf, "documents").withColumn("h", F.sha2("text", 256)), ["doc_id", "source", "lang", "h"], "text").withColumn("split", C.assign_split(F.col("source")))
+    return R.leakage_examples(d, "doc_id", "h", "split", "lang", R.near_pairs(d, "dhash", different="split"), "dhash")

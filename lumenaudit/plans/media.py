@@ -57,12 +57,25 @@ def _(spark, sf):
     return U.learned_fusion(long_signals(spark, sf), FIVE).select("media", r6("logit").alias("logit"), "shift", r6("p").alias("p"))
 
 
+_SHIFTED = "(SELECT media, sum(CASE WHEN score >= .65 THEN m WHEN score <= .35 THEN -m ELSE 0 END) AS shift FROM {} LEFT JOIN (VALUES ('trained_probe', 2.2), ('deep_learning', 0.5)) s(signal, m) USING (signal) WHERE score IS NOT NULL GROUP BY media)".format(_LONG)
+
+
+def _with_provenance(signals: DataFrame) -> DataFrame:
+    """Two of the signals stand for decisive provenance as well."""
+    names = {"trained_probe": "provenance_ai_metadata", "deep_learning": "provenance_camera_metadata"}
+    return signals.unionAll(signals.where(F.col("signal").isin(*names)).withColumn("signal", C.harmonise_label(F.col("signal"), names)))
+
+
+@query("f3_contributions", f"SELECT media, signal, round(score * CASE signal {' '.join(f'WHEN {s!r} THEN {w}' for s, w in zip(FIVE['features'], FIVE['weights'], strict=True))} END, 6) AS contribution, round(logit, 6) AS logit, round(logit + shift, 6) AS shifted_logit FROM {_LONG} JOIN {_LOGIT} USING (media) JOIN {_SHIFTED} USING (media)")
+def _(spark, sf):
+    x = U.learned_fusion(_with_provenance(long_signals(spark, sf)), FIVE)
+    x = x.select("media", F.explode("contributions").alias("signal", "contribution"), r6("logit").alias("logit"), r6(F.col("logit") + F.col("shift")).alias("shifted_logit"))
+    return x.withColumn("contribution", r6("contribution"))
+
+
 @query("f4_evidence_shift", f"SELECT media, round(sum(CASE WHEN score >= .65 THEN m WHEN score <= .35 THEN -m ELSE 0 END), 6) AS shift FROM {_LONG} LEFT JOIN (VALUES ('trained_probe', 2.2), ('deep_learning', 0.5)) s(signal, m) USING (signal) WHERE score IS NOT NULL GROUP BY media HAVING count(*) = 5")
 def _(spark, sf):
-    s = long_signals(spark, sf)
-    names = {"trained_probe": "provenance_ai_metadata", "deep_learning": "provenance_camera_metadata"}
-    s = s.unionAll(s.where(F.col("signal").isin(*names)).withColumn("signal", C.harmonise_label(F.col("signal"), names)))
-    return U.learned_fusion(s, FIVE).select("media", r6("shift").alias("shift"))
+    return U.learned_fusion(_with_provenance(long_signals(spark, sf)), FIVE).select("media", r6("shift").alias("shift"))
 
 
 @query("f5_verdicts", f"SELECT media, round(score, 6) AS score, method, verdict, round(confidence, 4) AS confidence, risk, status FROM {_VERDICTS}")
@@ -113,6 +126,18 @@ def _(spark, sf):
     return _explained(spark, sf).select("media", "rendered")
 
 
+_SUMMARY_SQL = f"""SELECT media, 'Verdict: ' || upper(verdict) || ' (fused suspicion score ' || printf('%.2f', round_even(v.score, 2)) || ' on a 0-1 scale).' || chr(10) || 'Contributing signals:' || chr(10) || lines || coalesce(chr(10) || 'Signals not available for this analysis:' || chr(10) || missing, '') AS summary FROM {_VERDICTS} v JOIN (
+  SELECT media, string_agg('  - ' || signal || ': score=' || printf('%.2f', round_even(score, 2)) || ', weight=' || CAST(round_even(weight / total * 100, 0) AS INTEGER) || '%', chr(10) ORDER BY -round(weight / total, 9), pos) AS lines FROM (
+    SELECT *, sum(weight) OVER (PARTITION BY media) AS total FROM {_LONG} JOIN {_W} USING (signal) WHERE score IS NOT NULL) GROUP BY media) USING (media)
+  LEFT JOIN (SELECT media, string_agg('  - ' || signal || ': ' || note, chr(10) ORDER BY signal) AS missing FROM {_LONG} JOIN {_NOTES} USING (signal) WHERE score IS NULL GROUP BY media) USING (media)"""
+
+
+@query("x3_summary", _SUMMARY_SQL)
+def _(spark, sf):
+    s, w = long_signals(spark, sf), U.pool_weights(spark)
+    return X.technical_summary(U.fuse(s, w, FIVE), s, w)
+
+
 _SHARES_SQL = f"(SELECT media, count(*) AS signals, round(sum(round(score, 4)), 4) AS score_sum, round(sum(round(weight / total, 4)), 3) AS weight_sum FROM (SELECT *, sum(weight) OVER (PARTITION BY media) AS total FROM {_LONG} JOIN {_W} USING (signal) WHERE score IS NOT NULL) GROUP BY media)"
 
 

@@ -341,3 +341,41 @@ def test_accepted_licences(spark):
     rows = [(" CC-BY ", True), ("cc0", True), ("Public Domain", True), ("cc-by-nc", False), ("", None), (None, None)]
     d = spark.createDataFrame(rows, "licence string, ok boolean").select("ok", C.normal_license(F.col("licence")).isin(*C.ACCEPTED_LICENSES).alias("got"))
     assert all(r.got == r.ok for r in d.collect())
+
+
+def test_contributions_and_shifts_of_the_learned_fusion(spark):
+    s = _signals(spark, {**ALL, "trained_probe": 0.9, "provenance_c2pa": 0.1, "provenance_camera_metadata": 0.5})
+    r = fusion.learned_fusion(s).first()
+    weights = dict(zip(fusion.CALIBRATION["features"], fusion.CALIBRATION["weights"], strict=True))
+    assert r.contributions == pytest.approx({f: w * (0.9 if f == "trained_probe" else 0.5) for f, w in weights.items()})
+    assert r.logit == pytest.approx(fusion.CALIBRATION["intercept"] + sum(r.contributions.values()))
+    assert r.applied == {"provenance_c2pa": -2.2} and r["shift"] == -2.2
+    assert fusion.learned_fusion(_signals(spark, {k: v for k, v in list(ALL.items())[1:]})).count() == 0
+
+
+def test_technical_summary_is_by_weight_and_names_what_is_missing(spark):
+    w = fusion.pool_weights(spark)
+    s = _signals(spark, {"deep_learning": 0.2, "trained_probe": 0.9, "unheard_of": 0.4, "scene_consistency": None, "other": None})
+    got = explain.technical_summary(fusion.fuse(s, w), s, w).first().summary.split("\n")
+    assert got == [
+        "Verdict: SUSPICIOUS (fused suspicion score 0.76 on a 0-1 scale).", "Contributing signals:", "  - trained_probe: score=0.90, weight=80%", "  - deep_learning: score=0.20, weight=20%",
+        "  - unheard_of: score=0.40, weight=0%", "Signals not available for this analysis:", "  - other: other was unavailable for this run.", f"  - scene_consistency: {explain.NOTES['scene_consistency']}",
+    ]
+    none = _signals(spark, {"deep_learning": None})
+    assert explain.technical_summary(fusion.fuse(none, w), none, w).count() == 0
+
+
+def test_leakage_examples_are_the_first_groups(spark):
+    rows = [(i, f"h{i // 3:02}", i, ("train", "test")[i % 2], "real") for i in range(60)] + [(60 + i, "big", 100, "train", ("real", "fake")[i % 2]) for i in range(200)] + [(300, None, None, "val", "real")]
+    df = spark.createDataFrame(rows, "id long, h string, d long, split string, cls string")
+    near = spark.createDataFrame([(58, 59, 1), (100, 1, 2)], "h1 long, h2 long, distance int")
+    got = sorted(tuple(r) for r in relational.leakage_examples(df, "id", "h", "split", "cls", near, "d").collect())
+    split = [("cross_split", k + 1, f"{3 * k},{3 * k + 1},{3 * k + 2}") for k in range(5)]
+    assert got == sorted(split + [("cross_class", 1, "60,61,62,63,64"), ("near_cross_split", 1, "1,60"), ("near_cross_split", 2, "58,59")])
+    assert relational.leakage_examples(df.limit(0), "id", "h", "split", "cls").count() == 0
+
+
+def test_admission_refuses_what_is_unknown(spark):
+    rows = [(" CC0 ", "image/jpeg", 300, 300), ("cc-by", "image/svg+xml", 900, 900), ("", "image/png", 900, 900), (None, "image/png", 900, 900), ("pd", "image/png", 299, 900), ("pd", "image/png", 900, None), ("cc-by-nc", "image/png", 900, 900)]
+    df = spark.createDataFrame(rows, "l string, m string, w int, h int")
+    assert [r.x for r in df.select(C.admitted(F.col("l"), F.col("m"), F.col("w"), F.col("h")).alias("x")).collect()] == [True] + [False] * 6
