@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+import json
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, VectorSlicer
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import linear_logit
+from ..sources.scratch import discard, materialize
+from .grid import fit_grid, held_out_scores
 from .metrics import roc_auc, youden_threshold
 from .relational import stratified_folds
 
@@ -39,38 +41,25 @@ def fit_probe(df: DataFrame, vector: str, label: str, components: int, c: float)
 
 
 def choose_probe(df: DataFrame, vector: str, label: str, key: str, k: int = 5, seed: int = 0) -> tuple[int, float, float]:
-    """(components, C, mean AUC of the held-out folds) of the best pair of the grid. Components are nested, so one PCA serves a fold; all its models score the held-out rows at once."""
+    """(components, C, mean AUC of the held-out folds) of the best pair of the grid.
+
+    All folds and pairs are fitted in the same passes (operators/grid.py), and all their models score the held-out rows at once. Of equal pairs the one with fewer components,
+    then the smaller C is taken. Rows without a vector or a label take no part.
+    """
+    df = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull())
     s = sorted(fit_standardiser(df, vector).collect())
-    z = stratified_folds(_standardised(df, vector, [r.mean for r in s], [r.std for r in s]), label, key, k, seed).select("z", F.col(label), "fold").cache()
-    grid = probe_grid(len(s))
-    most = max(n for n, _ in grid)
-    scored = []
+    if not s:
+        raise ValueError("no fold has both classes")
+    folded = stratified_folds(_standardised(df, vector, [r.mean for r in s], [r.std for r in s]), label, key, k, seed)
+    z = materialize(folded.select(vector_to_array("z").alias("z"), F.col(label).cast("int").alias(label), F.col("fold").cast("int").alias("fold")), "probe-rows")
     try:
-        for fold in range(k):
-            rows = z.where(F.col("fold") != fold)
-            pca = PCA(k=most, inputCol="z", outputCol="components").fit(rows)
-            parts = {n: VectorSlicer(inputCol="components", outputCol="features", indices=list(range(n))).transform(pca.transform(rows)).select("features", label).cache() for n in sorted({n for n, _ in grid})}
-            size = rows.count()
-
-            def one(pair, parts=parts, size=size, pc=pca.pc.toArray()):
-                n, c = pair
-                model = LogisticRegression(labelCol=label, regParam=1 / (c * size), elasticNetParam=0.0, standardization=False, maxIter=100).fit(parts[n])
-                return n, c, [float(w) for w in pc[:, :n] @ model.coefficients.toArray()], float(model.intercept)
-
-            with ThreadPool(8) as pool:
-                models = pool.map(one, grid)
-            held = z.where(F.col("fold") == fold).select(F.col(label), "fold", vector_to_array("z").alias("z"))
-            models = df.sparkSession.createDataFrame(models, "components int, c double, weights array<double>, bias double")
-            logit = F.aggregate(F.zip_with("z", "weights", lambda a, b: a * b), F.col("bias"), lambda acc, x: acc + x)
-            auc = roc_auc(held.crossJoin(F.broadcast(models)).withColumn("p", logit), label, "p", ["fold", "components", "c"])  # the grid is a table of constant size
-            scored += auc.where(F.col("auc").isNotNull()).collect()
-            for part in parts.values():
-                part.unpersist()
+        models = fit_grid(z, label, len(s), k, probe_grid(len(s)))
+        scored = roc_auc(held_out_scores(z, label, len(s), models), label, "p", ["model"]).where("auc is not null").collect() if models else []
     finally:
-        z.unpersist()
+        discard(z)
     of: dict[tuple[int, float], list[float]] = {}
     for r in scored:
-        of.setdefault((r.components, r.c), []).append(r.auc)
+        of.setdefault(models[r.model][1:3], []).append(r.auc)
     if not of:
         raise ValueError("no fold has both classes")
     mean = {pair: sum(x) / len(x) for pair, x in of.items()}
@@ -101,3 +90,31 @@ def fit_combiner(wide: DataFrame, features: list[str], label: str, c: float = 1.
     model = LogisticRegression(labelCol=label, regParam=1 / (c * max(n, 1)), standardization=False, maxIter=100).fit(rows)
     threshold = operating_threshold(model.transform(rows).withColumn("p", vector_to_array("probability")[1]), label, "p")
     return {"features": tuple(features), "weights": tuple(map(float, model.coefficients)), "intercept": float(model.intercept), "threshold": threshold, "n": n}
+
+
+def save_record(spark: SparkSession, record: dict, path: str) -> None:
+    """Write a fitted model's numbers as one JSON line in a folder of any file system that Spark reaches."""
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_record(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def head_record(head: dict, backbone: str, components: int, threshold: float, n_train: int, metrics: dict | None = None) -> dict:
+    """What serving needs of a probe: p = sigmoid(weights . (x - mean) / std + bias), and where it came from."""
+    return {
+        "backbone_model_id": backbone, "feature_dim": len(head["mean"]), **{k: head[k] for k in ("mean", "std", "weights", "bias")}, "pca_n_components": components,
+        "operating_threshold": threshold, "trained_on": {"n_train": n_train}, "metrics": metrics or {},
+    }
+
+
+def calibration_record(fit: dict, split: str = "val", metrics: dict | None = None) -> dict:
+    return {"features": list(fit["features"]), "weights": list(fit["weights"]), "intercept": fit["intercept"], "operating_threshold": fit["threshold"], "fitted_on": {"split": split, "n": fit["n"]}, "metrics": metrics or {}}
+
+
+def as_calibration(record: dict) -> dict:
+    """A saved calibration as learned_fusion() and fuse() take it; every feature needs its weight."""
+    if len(record["features"]) != len(record["weights"]):
+        raise ValueError("a calibration needs one weight for each feature")
+    return {"features": tuple(record["features"]), "weights": tuple(record["weights"]), "intercept": record["intercept"], "threshold": record["operating_threshold"]}

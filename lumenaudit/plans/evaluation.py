@@ -11,6 +11,7 @@ from ..operators import metrics as M
 from ..operators import relational as R
 from ..operators import training as T
 from ..sources import tables as S
+from ..sources.scratch import delete_path, scratch_path
 from .manifests import _BUCKET_SQL, _SPLIT_SQL, _WEEKS_SQL, TYPES, r6, weekly
 from .registry import query
 
@@ -200,13 +201,25 @@ def all_vectors(spark, sf: str) -> DataFrame:
     return t(spark, sf, "embeddings").withColumn("y", (F.col("label") < 5).cast("int")).withColumn("split", C.assign_split(F.col("vec_id").cast("string")))
 
 
+def _saved(spark, record: dict, tag: str) -> dict:
+    """A record as it comes back from storage."""
+    path = scratch_path(spark, tag)
+    T.save_record(spark, record, path)
+    try:
+        return T.read_record(spark, path)
+    finally:
+        delete_path(spark, path)
+
+
 @query("t2_probe")
 def _(spark, sf):
     d = train_vectors(spark, sf)
     components, c, cv_auc = T.choose_probe(d, "embedding", "y", "vec_id")
-    head = T.fit_probe(d, "embedding", "y", components, c)
-    e = all_vectors(spark, sf).withColumn("p", C.sigmoid(C.linear_logit(F.col("embedding"), head["weights"], head["bias"], head["mean"], head["std"])))
-    threshold = T.operating_threshold(S.filter_splits(e, ["val"]), "y", "p")
+    fit = T.fit_probe(d, "embedding", "y", components, c)
+    score = lambda h: all_vectors(spark, sf).withColumn("p", C.sigmoid(C.linear_logit(F.col("embedding"), h["weights"], h["bias"], h["mean"], h["std"])))
+    threshold = T.operating_threshold(S.filter_splits(score(fit), ["val"]), "y", "p")
+    head = _saved(spark, T.head_record(fit, "vit", components, threshold, d.count()), "probe-head")
+    e, threshold = score(head), head["operating_threshold"]
     hit = e.groupBy("split").agg(F.avg(((F.col("p") >= threshold).cast("int") == F.col("y")).cast("double")).alias("accuracy"))
     chosen = {"components": components, "c": c, "cv_auc": cv_auc, "threshold": threshold}
     return M.roc_auc(e, "y", "p", ["split"]).join(hit, "split").select("*", *[F.lit(v).alias(k) for k, v in chosen.items()])
@@ -216,13 +229,15 @@ def _(spark, sf):
 def _(spark, sf):
     d = train_vectors(spark, sf)
     components, c, _auc_of_folds = T.choose_probe(d, "embedding", "y", "vec_id")
-    return T.head_parity(S.filter_splits(all_vectors(spark, sf), ["test"]), "embedding", T.fit_probe(d, "embedding", "y", components, c))
+    fit = T.fit_probe(d, "embedding", "y", components, c)
+    head = _saved(spark, T.head_record(fit, "vit", components, 0.5, d.count()), "probe-head")
+    return T.head_parity(S.filter_splits(all_vectors(spark, sf), ["test"]), "embedding", fit | {k: head[k] for k in ("mean", "std", "weights", "bias")})
 
 
 @query("t4_combiner")
 def _(spark, sf):
     wide = R.complete_rows(labelled_signals(spark, sf), "media", "signal", "s", TYPES).withColumn("y", (F.floor(F.col("media") / 1000) % 2).cast("int"))
     wide = wide.withColumn("split", C.assign_split(F.col("media").cast("string")))
-    c = T.fit_combiner(wide, TYPES, "y")
+    c = T.as_calibration(_saved(spark, T.calibration_record(T.fit_combiner(wide, TYPES, "y")), "calibration"))
     p = C.sigmoid(C.linear_logit(F.array(*TYPES), c["weights"], c["intercept"]))
     return wide.select("media", "split", p.alias("p")).withColumn("fake", F.col("p") >= c["threshold"])

@@ -379,3 +379,47 @@ def test_admission_refuses_what_is_unknown(spark):
     rows = [(" CC0 ", "image/jpeg", 300, 300), ("cc-by", "image/svg+xml", 900, 900), ("", "image/png", 900, 900), (None, "image/png", 900, 900), ("pd", "image/png", 299, 900), ("pd", "image/png", 900, None), ("cc-by-nc", "image/png", 900, 900)]
     df = spark.createDataFrame(rows, "l string, m string, w int, h int")
     assert [r.x for r in df.select(C.admitted(F.col("l"), F.col("m"), F.col("w"), F.col("h")).alias("x")).collect()] == [True] + [False] * 6
+
+
+def test_grid_of_probes_equals_fits_one_by_one(spark):
+    import numpy as np
+
+    from lumenaudit.operators import grid
+
+    rng = np.random.default_rng(4)
+    x, fold = rng.normal(size=(300, 10)), rng.integers(0, 3, 300)
+    y = (x[:, 1] - x[:, 7] + rng.normal(size=300) > 0).astype(int)
+    df = spark.createDataFrame([(v.tolist(), int(f), int(t)) for v, f, t in zip(x, fold, y)], "z array<double>, fold int, y int").repartition(5)
+    pairs = [(n, c) for n in (2, 8) for c in (0.01, 1.0, 100.0)]
+    models = grid.fit_grid(df, "y", 10, 3, pairs)
+    assert [m[:3] for m in models] == [(f, n, c) for f in range(3) for n, c in pairs]
+    for f, n, c, weights, bias in models:
+        rest = x[fold != f]
+        _, _, vt = np.linalg.svd(rest - rest.mean(0), full_matrices=False)
+        w, b = logistic_by_newton(rest @ vt[:n].T, y[fold != f], 1 / (c * len(rest)))
+        assert np.allclose(weights, vt[:n].T @ w, atol=1e-5) and abs(bias - b) < 1e-5
+    scores = grid.held_out_scores(df, "y", 10, models).groupBy("model").agg(F.count("p").alias("n"), F.sum("p").alias("s")).collect()
+    assert {r.model: r.n for r in scores} == {i: int((fold == m[0]).sum()) for i, m in enumerate(models)}
+    for r in scores:
+        f, _, _, weights, bias = models[r.model]
+        assert r.s == pytest.approx((x[fold == f] @ weights + bias).sum())
+    # Perfectly told classes still converge, and folds whose complement has one class are left out.
+    told = spark.createDataFrame([([float(i % 2 * 10), float(i % 5)], i % 2, i % 2) for i in range(40)], "z array<double>, fold int, y int")
+    assert grid.fit_grid(told, "y", 2, 2, [(1, 1.0)]) == []
+    told = told.withColumn("fold", (F.col("z")[1] % 2).cast("int"))
+    assert all(np.isfinite(m[3]).all() for m in grid.fit_grid(told, "y", 2, 2, [(2, 100.0)]))
+
+
+def test_saved_heads_and_calibrations_come_back_as_they_were(spark, tmp_path):
+    head = {"mean": [0.1, 1 / 3], "std": [1.0, 2.0], "weights": [1e-17, -2.5], "bias": 0.1 + 0.2, "pca": object(), "model": object()}
+    record = training.head_record(head, "vit", 8, 0.4454, 10)
+    for _ in range(2):
+        training.save_record(spark, record, str(tmp_path / "head"))
+    assert training.read_record(spark, str(tmp_path / "head")) == record and record["feature_dim"] == 2
+    fit = {"features": tuple(ALL), "weights": fusion.CALIBRATION["weights"], "intercept": fusion.CALIBRATION["intercept"], "threshold": 0.4454, "n": 7}
+    training.save_record(spark, training.calibration_record(fit), str(tmp_path / "fusion"))
+    back = training.read_record(spark, str(tmp_path / "fusion"))
+    assert training.as_calibration(back) == fusion.CALIBRATION and back["fitted_on"] == {"split": "val", "n": 7}
+    assert fusion.learned_fusion(_signals(spark, ALL), training.as_calibration(back)).first().p == pytest.approx(0.464847, abs=1e-6)
+    with pytest.raises(ValueError, match="one weight"):
+        training.as_calibration(back | {"weights": []})
