@@ -46,6 +46,30 @@ def _prefix_sums(d: DataFrame, by: list[str], cuts: list[float]) -> DataFrame:
     return inner.join(totals, same).select(*by, "s", "pos", "neg", *below, "p", "q")
 
 
+def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, median: the exact median of each group, the mean of the two middle values where their number is even; null values do not count.
+
+    Rows are counted by distinct value first. Totals of ranges tell which range holds a group's middle, and only that range (two at most) is put in order.
+    """
+    d = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("s")).agg(F.count(F.lit(1)).alias("c"))
+    cuts = F.array(*[F.lit(c) for c in _ranged(df, value)]).cast("array<double>")
+    d = d.withColumn("_range", F.size(F.filter(cuts, lambda c: c < F.col("s").cast("double"))))
+    group = Window.partitionBy(*[f"_{c}" for c in by])
+    ahead = group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy(*by, "_range").agg(F.sum("c").alias("_c")).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_range").alias("_at"), "_c")
+    totals = totals.select("*", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_c").over(group).alias("_n"))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    middle = totals.where((F.col("_ahead") <= high) & (low < F.col("_ahead") + F.col("_c"))).drop("_c")
+    same = F.col("_range").eqNullSafe(F.col("_at"))  # a plain equality lets the optimiser carry the lambda above to the side without s, which fails
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = Window.partitionBy(*by, "_range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_ahead") + F.coalesce(F.sum("c").over(inside), F.lit(0))
+    found = d.join(middle, same).withColumn("_below", below)
+    holds = lambda k: (F.col("_below") <= k) & (k < F.col("_below") + F.col("c"))
+    return found.groupBy(*by).agg(((F.max(F.when(holds(low), F.col("s"))) + F.max(F.when(holds(high), F.col("s")))).cast("double") / 2).alias("median"))
+
+
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None, cuts: list[float] | None = None) -> DataFrame:
     """auc with ties at half; null where a group has one class."""
     by = by or []

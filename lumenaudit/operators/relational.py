@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
+from .metrics import medians
 
 #: Rows that share a key of near_pairs, or tiles of one media item, that are compared as one block.
 BLOCK = 512
@@ -122,12 +123,19 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default: Column)
 
 
 def group_profile(df: DataFrame, keys: list[str], sizes: list[str], flags: list[str], kinds: list[str]) -> DataFrame:
-    """Count, min/median/max of sizes, shares of flags, and histograms of kinds as maps, per group."""
+    """Count, min/median/max of sizes, shares of flags, and histograms of kinds as maps, per group. Medians are exact, without a buffer of a group's values."""
     out = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        *[f(c).alias(f"{name}_{c}") for c in sizes for name, f in (("min", F.min), ("median", F.median), ("max", F.max))],
+        *[f(c).alias(f"{name}_{c}") for c in sizes for name, f in (("min", F.min), ("max", F.max))],
         *[F.avg(F.col(c).cast("double")).alias(f"share_{c}") for c in flags],
     )
+    for c in sizes:
+        m = medians(df, keys, c).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("median").alias(f"median_{c}"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        out = out.join(m, same, "left").drop(*[f"_{k}" for k in keys])
+    out = out.select(*keys, "n", *[f"{name}_{c}" for c in sizes for name in ("min", "median", "max")], *[f"share_{c}" for c in flags])
     for k in kinds:
         counts = df.groupBy(*keys, k).count()
         out = out.join(counts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, "count")))).alias(f"hist_{k}")), keys)

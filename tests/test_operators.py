@@ -423,3 +423,18 @@ def test_saved_heads_and_calibrations_come_back_as_they_were(spark, tmp_path):
     assert fusion.learned_fusion(_signals(spark, ALL), training.as_calibration(back)).first().p == pytest.approx(0.464847, abs=1e-6)
     with pytest.raises(ValueError, match="one weight"):
         training.as_calibration(back | {"weights": []})
+
+
+def test_medians_of_groups_are_exact(spark, monkeypatch):
+    import statistics
+
+    rnd = random.Random(12)
+    values = {"a": [rnd.choice((1.0, 2.0, 2.0, 1e9 * rnd.random())) for _ in range(501)], "b": [rnd.gauss(0, 1) for _ in range(400)], "one": [7.0], "two": [1.0, 4.0], "same": [3.0] * 50, None: [1.0, 2.0, 9.0]}
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [("a", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for ranges in (128, 3):
+        monkeypatch.setattr(metrics, "RANGES", ranges)
+        assert {r.g: r.median for r in metrics.medians(df, ["g"], "v").collect()} == {g: statistics.median(vs) for g, vs in values.items()}
+    p = {r.g: r for r in relational.group_profile(df, ["g"], ["v"], [], []).collect()}
+    assert p["empty"].median_v is None and p["empty"].n == 1 and p[None].median_v == 2 and p["two"].median_v == 2.5 and len(p) == 7
+    assert relational.group_profile(df.limit(0), ["g"], ["v"], [], []).count() == 0
