@@ -19,14 +19,29 @@ from pyspark.sql import functions as F
 from .common import scratch_path, table
 from .tokens import encoder
 
-#: Documents in a shard, about: a shard is one range of doc_id, sorted and written by one task.
-SHARD_ROWS = 8_192
+#: Bytes of text in a shard, about: a shard is one range of doc_id, sorted and written by one task into one file.
+SHARD_BYTES = 64 << 20
+#: From so many shards on (a TB) a shard takes more, up to LARGE_SHARD_BYTES (16 TB and more), so that 100 TB are about 100,000 files.
+MANY_SHARDS = 1 << 14
+LARGE_SHARD_BYTES = 1 << 30
+#: Stripes that the text of a shard is worth; as files hold fewer bytes than texts, about half as many are written.
+STRIPES = 32
 
 
-def write_token_orc(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, shard_rows: int = SHARD_ROWS) -> None:
-    """Write doc_id, ids, n_tokens, shard, row in files that follow each other in doc_id; each is sorted."""
+def n_shards_for(n_bytes: int) -> int:
+    return max(1, min(-(-n_bytes // SHARD_BYTES), max(MANY_SHARDS, -(-n_bytes // LARGE_SHARD_BYTES))))
+
+
+def write_token_orc(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, shard_rows: int | None = None, stripe_bytes: int | None = None) -> None:
+    """Write doc_id, ids, n_tokens, shard, row in files that follow each other in doc_id; each is sorted.
+
+    The number of files follows the bytes of the texts, or shard_rows where given; stripe_bytes is a file's text divided by STRIPES unless given. The writer looks at its
+    size after every 1,024 rows, so a stripe has at least so many.
+    """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    n_shards = max(1, -(-docs.select("doc_id").count() // shard_rows))
+    n_rows, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_shards = n_shards_for(n_bytes) if shard_rows is None else max(1, -(-n_rows // shard_rows))
+    stripe_bytes = stripe_bytes or max(SHARD_BYTES // STRIPES, n_bytes // n_shards // STRIPES)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def batches(it):
@@ -49,7 +64,8 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.j
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "1000")
-        .option("orc.stripe.size", str(16 << 20))
+        .option("orc.stripe.size", str(stripe_bytes))
+        .option("orc.rows.between.memory.checks", "1")
         .option("compression", "zstd")
         .orc(path)
     )

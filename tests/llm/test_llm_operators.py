@@ -832,3 +832,36 @@ def test_pipeline_with_nulls_clashing_names_and_empty_tables(spark, tmp_path):
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, spark.read.parquet(f"{tmp_path}/none/documents.parquet"), f"{tmp_path}/none").columns == docs.columns
     assert P.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_token_orc_stripes_are_read_in_parallel_and_skipped(spark):
+    """A file has several stripes; tasks take them apart, and a range of doc_id reads those alone that hold it."""
+    n = 8_000
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.substring(F.sha1(F.concat_ws("-", "id", i)), 1, 4)), " ")
+    path = scratch_path(spark, "test-orc-stripes")
+    token_orc.write_token_orc(spark.range(n).select(F.col("id").alias("doc_id"), words.alias("text")), path, shard_rows=n, stripe_bytes=1 << 18)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    (file,) = [f for f in glob.glob(f"{path}/part-*") if os.path.getsize(f)]
+    stripes = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(file), jvm.org.apache.orc.OrcFile.readerOptions(conf)).getStripes()
+    assert stripes.size() >= 4 and sum(stripes.get(i).getNumberOfRows() for i in range(stripes.size())) == n
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(os.path.getsize(file) // 6))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        parts = token_orc.read_token_orc(spark, path).select("row", F.spark_partition_id().alias("part")).groupBy("part").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.count("row").alias("n")).orderBy("lo").collect()
+        assert len(parts) >= 4 and sum(r.n for r in parts) == n and all(r.hi - r.lo + 1 == r.n for r in parts)
+        some = token_orc.read_token_orc(spark, path, lo=n - 500)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = some._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        assert 500 <= plan.collectLeaves().head().metrics().apply("numOutputRows").value() <= 2_000
+        digests = sorted(tuple(r) for r in token_orc.token_digests(token_orc.read_token_orc(spark, path)).select("doc_id", "start", "n_tokens").collect())
+        assert [d[0] for d in digests] == list(range(n)) and all(a[1] + a[2] == b[1] for a, b in zip(digests, digests[1:]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_token_orc_shards_follow_bytes():
+    assert [token_orc.n_shards_for(b) for b in (0, 1, 64 << 20, (64 << 20) + 1, 1 << 40, 8 << 40, 100 << 40)] == [1, 1, 1, 2, 1 << 14, 1 << 14, 100 << 10]
