@@ -20,12 +20,14 @@ from .common import scratch_path, table
 from .tokens import encoder
 
 #: Bytes of text in a shard, about: a shard is one range of doc_id, sorted and written by one task into one file.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 #: From so many shards on (a TB) a shard takes more, up to LARGE_SHARD_BYTES (16 TB and more), so that 100 TB are about 100,000 files.
-MANY_SHARDS = 1 << 14
+MANY_SHARDS = 1 << 15
 LARGE_SHARD_BYTES = 1 << 30
 #: Stripes that the text of a shard is worth; as files hold fewer bytes than texts, about half as many are written.
-STRIPES = 32
+STRIPES = 16
+#: Rows that are encoded at a time.
+ROWS_AT_ONCE = 2_048
 
 
 def n_shards_for(n_bytes: int) -> int:
@@ -46,7 +48,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.j
 
     def batches(it):
         enc, shard, row = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for b in it:
+        for b in (whole.slice(at, ROWS_AT_ONCE) for whole in it for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             flat, sizes = enc.encode(b.column(1))
             ends = np.cumsum(sizes)
             ids = np.insert(flat.astype(np.int32), ends, np.int32(end_id))

@@ -864,4 +864,4 @@ def test_token_orc_stripes_are_read_in_parallel_and_skipped(spark):
 
 
 def test_token_orc_shards_follow_bytes():
-    assert [token_orc.n_shards_for(b) for b in (0, 1, 64 << 20, (64 << 20) + 1, 1 << 40, 8 << 40, 100 << 40)] == [1, 1, 1, 2, 1 << 14, 1 << 14, 100 << 10]
+    assert [token_orc.n_shards_for(b) for b in (0, 1, 32 << 20, (32 << 20) + 1, 1 << 40, 8 << 40, 100 << 40)] == [1, 1, 1, 2, 1 << 15, 1 << 15, 100 << 10]
