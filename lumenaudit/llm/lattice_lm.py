@@ -1,17 +1,20 @@
-"""Language-model scores by subword lattice likelihood: a text's probability is the sum over all its segmentations into vocabulary pieces.
+"""Language-model scores by subword lattice likelihood: a word's probability is the sum over all its segmentations, weighted by an existing vocabulary's scores.
 
-The vocabulary is that of an existing file. A piece's weight comes from its score: the score is the prior of a fit to the corpus, expectation maximisation over the lattices of all
-training words, and alone the weight where there is nothing to learn from. After the fit the corpus decides nearly all: with equal scores a token of sf0.1 loses 0.0006 log10. Pieces and the end share one distribution, so the probabilities of all texts sum to at most one. A forward
-recursion in log space sums the segmentations; pieces do not cross white space, so a text's sum is the product of its words' sums and the end's.
+A word's lattice has an arc for each piece of the vocabulary, weighted by that piece's score, and, if training texts hold the word, one arc over all of it, weighted by how often they do.
+A forward recursion in log space sums the segmentations of the pieces. The scores are used as they are but for one temperature, chosen on training words that occur once, which are most like words not seen.
+Absolute discounting sets aside the share of the pieces: each distinct training word gives up D = (n1 + 1) / (n1 + 2 n2 + 2) of its count, n1 and n2 being the numbers of words seen once and twice.
+Pieces do not cross white space, so a text's sum is the product of its words' sums and the end's, and the probabilities of all texts sum to at most one.
 Words meet counts and probabilities by joins on the word, never through the driver. Texts are read once: chunks of bounded bytes keep each document as numbers of its chunk's distinct words.
 
 Defined results: a null, empty or blank text is its end alone; repeated rows are scored, and where they train counted, each; a null doc_id
-trains; a very long text is a chunk of its own; without training rows c and N are 0 and the pieces have the weights of their scores; an empty table gives an empty result; characters
+trains; a very long text is a chunk of its own; without training rows c and N are 0 and the pieces alone make the words; where no word occurs once the temperature is 1; a word of any length is summed in windows of 32,768 characters; an empty table gives an empty result; characters
 outside the vocabulary are spelled in bytes, as is the mark of a word's start inside a word; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 from . import runs as R
 from .common import discard, materialize, table, tokenizer_path
 
-#: Bytes of text that make a chunk, about; rounds of expectation maximisation; what the vocabulary's scores weigh against the corpus, in tokens.
-CHUNK_BYTES, ROUNDS, PRIOR = 12 << 20, 3, 1_000.0
+#: Bytes of text that make a chunk, about; temperatures of the scores that are compared; what an end has, in tokens, before texts are seen (spelt words have the rest of one token).
+CHUNK_BYTES, TEMPERATURES, END = 12 << 20, (0.5, 0.75, 1.0, 1.25, 1.5), 0.001
+#: Up to so many words of one length are summed each by itself; so many characters are a window.
+FEW, WINDOW = 8, 1 << 15
 ADD = 0.1
 _MARK = "▁"
 _NEG = -1e30
@@ -100,42 +105,64 @@ def _log_sum(x: list[np.ndarray]) -> np.ndarray:
     return top + np.log(np.exp(x - top).sum(0))
 
 
-def lattice(code: np.ndarray, voc: Vocabulary, logp: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """(log probability of each word, expected piece counts weighted by the words' weights): code is words of equal length as rows."""
-    n, length = code.shape
-    arcs = voc.arcs(code)
-    scores = [np.where(a >= 0, logp[a], _NEG) for a in arcs]
+def _arc_weights(arcs: list[np.ndarray], code: np.ndarray, logp: np.ndarray) -> list[np.ndarray]:
+    """Log weights by piece length; a character that is no piece is spelled in bytes, so that every place has an arc."""
+    out = [np.where(a >= 0, logp[a], _NEG) for a in arcs]
     none = arcs[0] < 0
     if none.any():
-        scores[0][none] = _spelled(code[none], logp)
+        out[0][none] = _spelled(code[none], logp)
+    return out
+
+
+def _sum_one(code: np.ndarray, voc: Vocabulary, logps: np.ndarray) -> np.ndarray:
+    """The sums of one word of any length, in windows of its ends that overlap by the longest piece."""
+    length, reach = len(code), voc.longest
+    last = [np.zeros(1) for _ in logps]  # log sums at the places from `low` to the window's begin
+    for begin in range(0, length, WINDOW):
+        low, end = max(0, begin - reach), min(begin + WINDOW, length)
+        part = code[None, low:end]
+        arcs = voc.arcs(part)
+        for m, logp in enumerate(logps):
+            starts, ends, weights = [], [], []
+            for k, w in enumerate(_arc_weights(arcs, part, logp), 1):
+                at = np.flatnonzero((w[0] > _NEG) & (np.arange(w.shape[1]) + k + low > begin))
+                starts.append(at)
+                ends.append(at + k)
+                weights.append(w[0][at])
+            ends = np.concatenate(ends)
+            order = np.argsort(ends, kind="stable")
+            cut = np.searchsorted(ends[order], np.arange(begin - low + 1, end - low + 2)).tolist()
+            start, weight = np.concatenate(starts)[order].tolist(), np.concatenate(weights)[order].tolist()
+            alpha = last[m].tolist()
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if b == a + 1:
+                    alpha.append(alpha[start[a]] + weight[a])
+                else:
+                    x = [alpha[start[k]] + weight[k] for k in range(a, b)]
+                    top = max(x)
+                    alpha.append(top + math.log(sum([math.exp(v - top) for v in x])))
+            last[m] = np.array(alpha[-reach - 1 :])
+    return np.array([x[-1] for x in last])
+
+
+def lattice(code: np.ndarray, voc: Vocabulary, logps: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations, for each row of log weights (rows) and word (columns): code is words of equal length as rows."""
+    n, length = code.shape
+    if n <= FEW:
+        return np.stack([_sum_one(c, voc, logps) for c in code], 1)
+    arcs = voc.arcs(code)
     # A step sums over the lengths that have a piece there in some word.
     has = [(a >= 0).any(0) for a in arcs]
     has[0][:] = True
-    alpha = np.full((n, length + 1), _NEG, order="F")
-    alpha[:, 0] = 0
-    for e in range(1, length + 1):
-        alpha[:, e] = _log_sum([alpha[:, e - k] + scores[k - 1][:, e - k] for k in range(1, min(len(arcs), e) + 1) if has[k - 1][e - k]])
-    if weight is None:
-        return alpha[:, length], None
-    beta = np.full((n, length + 1), _NEG, order="F")
-    beta[:, length] = 0
-    for s in range(length - 1, -1, -1):
-        beta[:, s] = _log_sum([beta[:, s + k] + scores[k - 1][:, s] for k in range(1, min(len(arcs), length - s) + 1) if has[k - 1][s]])
-    counts = np.zeros(voc.size)
-
-    def shares(at: np.ndarray, k: int) -> np.ndarray:
-        s, w = np.nonzero(at.T)
-        return np.exp(np.minimum(alpha[w, s] + scores[k - 1][w, s] + beta[w, s + k] - alpha[w, length], 0)) * weight[w]
-
-    for k, a in enumerate(arcs, 1):
-        ok = a >= 0
-        counts += np.bincount(a.T[ok.T], shares(ok, k), voc.size)
-    if none.any():
-        chars, at = np.unique(code.T[none.T], return_inverse=True)
-        for c, w in zip(chars.tolist(), np.bincount(at, shares(none, 1)).tolist(), strict=True):
-            for byte in chr(c).encode("utf-8", "surrogatepass"):
-                counts[byte] += w
-    return alpha[:, length], counts
+    out = np.empty((len(logps), n))
+    for m, logp in enumerate(logps):
+        weights = _arc_weights(arcs, code, logp)
+        alpha = np.full((n, length + 1), _NEG, order="F")
+        alpha[:, 0] = 0
+        for e in range(1, length + 1):
+            alpha[:, e] = _log_sum([alpha[:, e - k] + weights[k - 1][:, e - k] for k in range(1, min(len(arcs), e) + 1) if has[k - 1][e - k]])
+        out[m] = alpha[:, length]
+    return out
 
 
 def _by_length(words: list[bytes]):
@@ -152,13 +179,20 @@ def _by_length(words: list[bytes]):
             yield part, code[starts[part] + np.arange(n)[:, None]].T
 
 
-def log_probabilities(words: list[bytes], voc: Vocabulary, logp: np.ndarray) -> np.ndarray:
-    out = np.empty(len(words))
+def log_probabilities(words: list[bytes], voc: Vocabulary, logps: np.ndarray) -> np.ndarray:
+    """A row for each row of log weights, a column for each word."""
+    out = np.empty((len(logps), len(words)))
     for rows, code in _by_length(words):
-        out[rows] = lattice(code, voc, logp)[0]
+        out[:, rows] = lattice(code, voc, logps)
     return out
 
 
+def tempered(start: np.ndarray, temperature: float) -> np.ndarray:
+    """Log probabilities of pieces whose log weights are the scores' times a number."""
+    x = start * temperature
+    return x - np.log(np.exp(x).sum())
+
+
 def _held_out(doc_id) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
@@ -229,34 +263,28 @@ def chunked(docs: DataFrame, most_bytes: int = CHUNK_BYTES) -> DataFrame:
     return rows.mapInArrow(chunks, f"chunk long, h array<long>, word array<binary>, n array<long>, doc_ids array<{kind}>, held array<boolean>, sizes binary, places binary, far binary, train long")
 
 
-def fit_pieces(words: DataFrame, vocab: str, texts: int, rounds: int = ROUNDS, prior: float = PRIOR) -> tuple[np.ndarray, float]:
-    """(log probability of each piece, of the end) from the distinct training words (word, c) and the number of texts; the scores weigh as much as prior tokens.
-
-    The driver gets one number a piece and round.
-    """
-    voc = vocabulary(vocab)
-    # Before the corpus is seen, a text ends about once in a thousand pieces.
-    before = prior * np.exp(np.append(voc.start + np.log(0.999), np.log(0.001)))
-    logp = np.log(before / before.sum())
-    for _ in range(rounds):
-
-        def expect(it, logp=logp):
-            v, total = vocabulary(vocab), None
-            for b in it:
-                total = np.zeros(v.size) if total is None else total
-                c = b.column(1).to_numpy().astype(float)
-                for rows, code in _by_length(b.column(0).to_pylist()):
-                    total += lattice(code, v, logp[:-1], c[rows])[1]
-            if total is not None:
-                some = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
-
-        got = words.where("c > 0").select("word", "c").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        count = before.copy()
-        count[got["piece"].to_numpy(np.int64)] += got["n"].to_numpy()
-        count[-1] += texts
-        logp = np.log(count / count.sum())
-    return logp[:-1], float(logp[-1])
+def fit_temperature(words: DataFrame, vocab: str) -> float:
+    """The temperature at which the distinct words (word, c) that occur once in training texts are likeliest, to two digits; the driver gets one number a temperature."""
+
+    def expect(it):
+        voc, total = vocabulary(vocab), np.zeros(len(TEMPERATURES))
+        logps = np.stack([tempered(voc.start, t) for t in TEMPERATURES])
+        for b in it:
+            total += log_probabilities(b.column(0).to_pylist(), voc, logps).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["t", "lp"])
+
+    got = words.where("c = 1").select("word").mapInArrow(expect, "t long, lp double").groupBy("t").agg(F.sum("lp").alias("lp")).collect()
+    lp = np.zeros(len(TEMPERATURES))
+    for r in got:
+        lp[r.t] = r.lp
+    if not lp.any():
+        return 1.0
+    # The best of a parabola through the best and its neighbours.
+    k = min(max(int(lp.argmax()), 1), len(lp) - 2)
+    low, mid, high = lp[k - 1 : k + 2]
+    bend, step = low - 2 * mid + high, TEMPERATURES[1] - TEMPERATURES[0]
+    best = TEMPERATURES[k] + step / 2 * (low - high) / bend if bend < 0 else TEMPERATURES[int(lp.argmax())]
+    return round(float(np.clip(best, TEMPERATURES[0], TEMPERATURES[-1])), 2)
 
 
 def score_texts(docs: DataFrame, vocab: str = "piece_bpe_32k.model", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -265,15 +293,21 @@ def score_texts(docs: DataFrame, vocab: str = "piece_bpe_32k.model", chunk_bytes
     words = chunks.select(F.explode(F.arrays_zip("h", "word", "n")).alias("w")).select("w.h", "w.word", "w.n").groupBy("h").agg(F.sum("n").alias("c"), F.min("word").alias("word"))
     words = materialize(words, "lm-words")
     n_texts = chunks.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
-    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     n_all, distinct = int(totals.n) + n_texts, int(totals.v) + (n_texts > 0)
-    logp, end = fit_pieces(words, vocab, n_texts)
+    temperature = fit_temperature(words, vocab)
+    discount = (totals.once + 1) / (totals.once + 2 * totals.twice + 2)
+    spelt, end = np.log(discount * int(totals.v) + 1 - END), np.log((n_texts + END) / (n_all + 1))
     ln10, below = np.log(10), n_all + ADD * (distinct + 1)
 
     def spell(it):
         v = vocabulary(vocab)
+        logps = tempered(v.start, temperature)[None]
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(log_probabilities(b.column(2).to_pylist(), v, logp) / ln10)], ["h", "c", "lp"])
+            own = np.maximum(b.column(1).to_numpy() - discount, 0)
+            with np.errstate(divide="ignore"):
+                lp = np.logaddexp(np.log(own), spelt + log_probabilities(b.column(2).to_pylist(), v, logps)[0]) - np.log(n_all + 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lp / ln10)], ["h", "c", "lp"])
 
     scored = materialize(words.select("h", "c", "word").mapInArrow(spell, "h long, c long, lp double"), "lm-scored")
     discard(words)

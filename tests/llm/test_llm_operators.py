@@ -607,25 +607,49 @@ def test_scores_equal_the_sum_over_all_segmentations_of_whole_documents(spark):
     texts = ["There was a river", "the there  the", "日本 über x▁y ▁", "", None, "zzzzqq there"]
     d = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.score for r in lattice_lm.score_texts(d).collect()}
-    words = spark.createDataFrame([(w.encode(), n) for w, n in Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i + 1).encode()) % 10 for w in (t or "").lower().split()).items()], "word binary, c long")
-    logp, end = lattice_lm.fit_pieces(words, "piece_bpe_32k.model", sum(zlib.crc32(str(i + 1).encode()) % 10 != 0 for i in range(len(texts))))
-    assert np.isclose(np.exp(logp).sum() + np.exp(end), 1)
-    pieces = vocabulary_weights(logp)
+    learn = [t for i, t in enumerate(texts) if zlib.crc32(str(i + 1).encode()) % 10]
+    count = Counter(w for t in learn for w in (t or "").lower().split())
+    words = spark.createDataFrame([(w.encode(), n) for w, n in count.items()], "word binary, c long")
+    voc = lattice_lm.vocabulary("piece_bpe_32k.model")
+    logp = lattice_lm.tempered(voc.start, lattice_lm.fit_temperature(words, "piece_bpe_32k.model"))
+    assert np.isclose(np.exp(logp).sum(), 1)
+    pieces, times = vocabulary_weights(logp), Counter(count.values())
+    n, less = sum(count.values()) + len(learn), (times[1] + 1) / (times[1] + 2 * times[2] + 2)
+    share = lambda w: (max(count[w] - less, 0) + (less * len(count) + 0.999) * segmentations("▁" + w, pieces)) / (n + 1)
     for i, t in enumerate(texts):
-        want = end / np.log(10) + sum(np.log10(segmentations("▁" + w, pieces)) for w in (t or "").lower().split())
-        assert np.isclose(got[i + 1], want)
+        assert np.isclose(got[i + 1], np.log10((len(learn) + 0.001) / (n + 1)) + sum(np.log10(share(w)) for w in (t or "").lower().split()))
 
 
-def test_expected_counts_are_those_of_all_segmentations():
+def test_a_word_alone_in_windows_and_among_others_has_the_same_sum(monkeypatch):
+    voc = lattice_lm.vocabulary("piece_bpe_32k.model")
+    logps = np.stack([lattice_lm.tempered(voc.start, t) for t in (0.5, 1.0)])
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("theraines▁日ü"), 60)).encode() for _ in range(20)]
+    want = [[np.log(segmentations("▁" + w.decode(), vocabulary_weights(p))) for w in words] for p in logps]
+    assert np.allclose(lattice_lm.log_probabilities(words, voc, logps), want)
+    for window in (1 << 15, 17, 20, 61):
+        monkeypatch.setattr(lattice_lm, "WINDOW", max(window, voc.longest + 1))
+        assert np.allclose([lattice_lm.log_probabilities([w], voc, logps)[:, 0] for w in words], np.transpose(want))
+    monkeypatch.undo()
+    long = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 100_000)).encode()
+    assert np.isfinite(lattice_lm.log_probabilities([long], voc, logps)).all()
+
+
+def test_the_vocabulary_scores_decide_how_new_words_are_spelt(spark, sf):
+    """Scores dealt out at random cost much for the words of held-out texts that training texts lack, each with its own temperature."""
+    docs = [(r.doc_id, (r.text or "").encode().lower().split()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    count = Counter(w for i, t in docs if not held(i) for w in t)
+    new = sorted({w for i, t in docs if held(i) for w in t} - set(count))
     voc = lattice_lm.vocabulary("piece_bpe_32k.model")
-    code = np.array([[ord(c) for c in "▁there"]], np.uint64)
-    logp, expected = lattice_lm.lattice(code, voc, voc.start, np.ones(1))
-    assert np.isclose(np.exp(logp[0]), segmentations("▁there", vocabulary_weights(voc.start)))
-    # The derivative of the log sum by a piece's log weight is its expected count.
-    for k in np.argsort(-expected)[:5]:
-        up = voc.start.copy()
-        up[k] += 1e-5
-        assert np.isclose((lattice_lm.lattice(code, voc, up)[0][0] - logp[0]) / 1e-5, expected[k], rtol=1e-3)
+    words = spark.createDataFrame(list(count.items()), "word binary, c long")
+    assert lattice_lm.TEMPERATURES[0] < lattice_lm.fit_temperature(words, "piece_bpe_32k.model") < lattice_lm.TEMPERATURES[-1]
+
+    def best(start):
+        return max(lattice_lm.log_probabilities(new, voc, np.stack([lattice_lm.tempered(start, t) for t in (0.25, *lattice_lm.TEMPERATURES)])).mean(1)) / np.log(10)
+
+    assert best(voc.start) - best(np.random.default_rng(0).permutation(voc.start)) > 1
+    assert best(voc.start) - best(np.zeros(voc.size)) > 1
 
 
 def test_scores_of_a_vocabulary_become_weights():
