@@ -4,7 +4,8 @@ A page is read as tokens: elements by their path, and texts of blocks. Over a ho
 tokens of equal vectors form a class, and a class that is large and frequent enough is part of the host's template. The class of the
 tokens that each page has once is the root; other classes nest in the element of the root that holds all their paths. What the template leaves
 are slots: the slot with the article is the root element that holds most text outside links and template, where article and main break a tie; they also serve
-pages without a slot. Texts that are themselves template tokens, inside the slot too, and elements that say that they are menus, adverts and the like, are no content.
+pages without a slot. Texts that are themselves template tokens, inside the slot too, and elements that say that they are menus, adverts and the like, are no content. Inside the slot a paragraph or heading whose name may be that of
+its subject (share, menu, login ..) is content; only the template drops it there.
 
 Pages of equal sets of containers are a layout; a token that is frequent in a layout or in the whole host is template on all pages of the host. Occurrence vectors are
 summed fingerprints, so hosts of any size aggregate in parts. Pages of equal texts count once. Defined results: null or empty html gives an empty string; a null
@@ -49,6 +50,9 @@ _SAYS = frozenset(
 )
 #: Those that inside the content may as well name a kind of text: there they do not count, and only the template tells.
 _UNSURE = frozenset("notice notices alert header masthead banner search related recommended tags toc copyright".split())
+#: Elements of running text, and the names that there are as unsure: controls are seldom paragraphs.
+_PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt".split())
+_UNSURE_THERE = _UNSURE | frozenset("share sharing social widget overlay subscribe subscription login menu pager".split())
 #: Those that hold for an article element too.
 _REMARKS = frozenset("comment comments respond replies reply disqus".split())
 #: Levels of a name: content, no content unless inside the slot, no content.
@@ -75,7 +79,8 @@ def _element(tag: str, attributes: str, in_article: bool, names: bool) -> tuple[
                 if tag in ("article", "main"):
                     no = max(no, _OUT * any(w in _REMARKS for w in words))
                 elif tag not in ("body", "html"):
-                    no = max([no, *((_OUTSIDE if w in _UNSURE else _OUT) for w in words if w in _SAYS)])
+                    unsure = _UNSURE_THERE if tag in _PARAGRAPHS else _UNSURE
+                    no = max([no, *((_OUTSIDE if w in unsure else _OUT) for w in words if w in _SAYS)])
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 no = _OUT
     return name, no

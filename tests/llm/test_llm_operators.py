@@ -396,6 +396,19 @@ def test_html_names_drop_only_whole_names():
     assert html_template.main_text("<div class='alert'>careful</div><div class='post-header'>Head</div><p>text</p>", None, frozenset()) == "Head text"
 
 
+@pytest.mark.parametrize("name", ["share", "sharing", "social", "widget", "overlay", "subscribe", "subscription", "login", "menu", "pager"])
+def test_html_paragraphs_named_by_their_subject(name):
+    """Inside the article they are content, as a block of that name is not; outside they are none; adverts and comments never are."""
+    page = f'<body><p class="{name}">Out.</p><article><h1>Head</h1><p class="{name}">In.</p><div class="{name}">Block.</div><p class="advert">Buy.</p><p class="reply">Me too.</p><p>{"End. " * 20}</p></article></body>'
+    assert html_template.main_text(page, None, frozenset()) == "Head In. " + "End. " * 19 + "End."
+
+
+def test_html_template_drops_such_paragraphs_where_pages_share_them(spark):
+    rows = [(k, f"http://h/{k}", f'<body><article><h1>Head {k}</h1><p class="share">Share this story.</p><p class="menu">Menu of day {k}</p><p>{f"Story {k}. " * 30}</p></article></body>') for k in range(6)]
+    got = {r.page_id: r.text for r in html_template.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Head {k} Menu of day {k} " + (f"Story {k}. " * 30).strip() for k in range(6)}
+
+
 def test_html_template_of_a_host_without_article(spark):
     rows = [(i, f"https://h.example/{i}", f"<body><div class=top><p>Welcome to the site</p></div><div class=text><p>Body number {i} has words {'w' * i} of its own.</p></div><div class=end><p>All rights of the site</p></div></body>", "c") for i in range(8)]
     rows += [(90, None, None, "c"), (91, "https://h.example/0", rows[0][2], "c"), (92, "x", "<p>Alone</p>", "c")]
