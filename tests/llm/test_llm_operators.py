@@ -796,7 +796,7 @@ def test_queries_read_whole_tables(spark, docs, tmp_path):
 def test_queries_have_every_operator():
     from lumenaudit.llm import registry
 
-    assert {int(k[2:].split("_")[0]) for k in registry.queries()} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in registry.queries()} == set(range(1, 14))
 
 
 ODD = "abcXYZ 0129 '\t\n<|>étẞßÀÿ×÷!.,;:ªº²½́  ẞ日本語😀​İŉǅ'sS'RE'll\x00\x1c\x1f\x85▁▁"
