@@ -17,6 +17,8 @@ POISSON = np.array([math.floor(sum(math.exp(-1) / math.factorial(j) for j in ran
 STEP = 0x9E3779B1
 #: Ranges of a score that prefix sums are taken over.
 RANGES = 128
+#: Rows of a block of draws at least, blocks at most (one more where they do not divide), and draws of one part of a resample.
+BLOCK, BLOCKS, PART = 1024, 4096, 1 << 22
 
 def _distinct(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """Positives and negatives at each distinct score: what the windows below order is this, not the rows."""
@@ -222,3 +224,74 @@ def bootstrap_auc(df: DataFrame, label: str, score: str, key: str, replicates: i
     pairs = parts.withColumn("twice", F.col("twice") + 2 * F.col("pos") * F.coalesce(F.sum("neg").over(ahead), F.lit(0)))
     auc = pairs.groupBy("rep").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum("twice").alias("u")).where("p > 0 and q > 0").select((F.col("u") / 2 / (F.col("p") * F.col("q"))).alias("auc"))
     return auc.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
+
+
+def drawn(replicate: np.ndarray | int, stage: int, part: int, j: np.ndarray, seed: int) -> np.ndarray:
+    """The 64-bit number of draw j of a part of a replicate, from a hash of these alone."""
+    word = lambda x: (np.atleast_1d(x) & 0xFFFFFFFF).astype(np.uint32)
+    own, at = word(4 * np.atleast_1d(replicate) + 2 * stage + seed), _scrambled(word(j))
+    high, low = (_scrambled(at + _scrambled(_scrambled(word(part)) + _scrambled(own + np.uint32(k)))).astype(np.uint64) for k in (0, 1))
+    return (high << np.uint64(32)) | low
+
+
+def bootstrap_auc_drawn(df: DataFrame, label: str, score: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """replicates, low, high: how many resamples have both classes, and the 2.5 and 97.5 percentiles of their AUC. A resample is n draws with replacement from the n rows that have both
+    label (0 or 1) and score.
+
+    Rows are placed in the order of score and label, and places are cut into blocks. Each draw picks a block by its size, then a place inside the block, which is a draw from all rows.
+    The first step is summed where it is made, and only how many draws each block has in each resample is dealt to the blocks; the second is made there, so no draw is shuffled.
+    """
+    own = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"))
+    n = own.count()
+    size = max(BLOCK, -(-n // BLOCKS))
+    blocks, parts = max(1, -(-n // size)), -(-n // PART)
+
+    def picked(it):
+        """How many draws of each part of a resample pick each block."""
+        for b in it:
+            for item in b.column("id").to_pylist():
+                rep, part = divmod(item, parts)
+                c = np.zeros(blocks, np.int64)
+                for a in range(0, min(PART, n - part * PART), 1 << 18):
+                    j = np.arange(a, min(a + (1 << 18), PART, n - part * PART))
+                    c += np.bincount((drawn(rep, 0, part, j, seed) % np.uint64(n) // np.uint64(size)).astype(np.int64), minlength=blocks)
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), rep)), pa.array(c[at])], ["block", "rep", "c"])
+
+    def ranked(cells: pa.Table, draws: pa.Table) -> pa.Table:
+        """Of a block and each resample: positives and negatives of its first and its last score, which other blocks may share, and of those between, with twice the pairs of both, ties at half."""
+        block, first, neg, pos, s = (cells.column(c).to_numpy() for c in ("block", "first", "neg", "pos", "s"))
+        order, block = np.argsort(first), int(block[0])
+        rows = min(size, n - block * size)
+        ends = np.stack([first + neg, first + neg + pos], 1)[order].ravel() - block * size
+        bounds, s = np.concatenate([[0], np.clip(ends, 0, rows)]), s[order]
+        counts = np.zeros(replicates, np.int64)
+        np.add.at(counts, draws.column("rep").to_numpy(), draws.column("c").to_numpy())
+        found = []
+        step = max(1, (1 << 20) // rows)
+        for a in range(0, replicates, step):
+            c = counts[a : a + step]
+            r = np.repeat(np.arange(len(c)), c)
+            j = np.arange(len(r)) - np.repeat(np.cumsum(c) - c, c)
+            at = (drawn(a + r, 1, block, j, seed) % np.uint64(rows)).astype(np.int64)
+            below = np.zeros((len(c), rows + 1), np.int64)
+            np.cumsum(np.bincount(r * rows + at, minlength=len(c) * rows).reshape(len(c), rows), 1, out=below[:, 1:])
+            each = np.diff(below[:, bounds], axis=1)
+            q, p = each[:, 0::2], each[:, 1::2]
+            for i in {0, len(s) - 1}:
+                found.append((a + np.arange(len(c)), np.full(len(c), s[i]), p[:, i], q[:, i], np.full(len(c), None)))
+            if len(s) > 2:
+                p, q = p[:, 1:-1], q[:, 1:-1]
+                found.append((a + np.arange(len(c)), np.full(len(c), s[1]), p.sum(1), q.sum(1), (p * (2 * (np.cumsum(q, 1) - q) + q)).sum(1)))
+        return pa.concat_tables(pa.table([pa.array(x, kind) for x, kind in zip(f, (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["rep", "s", "pos", "neg", "twice"]) for f in found)
+
+    cells = _prefix_sums(_distinct(own, "y", "s", []), [], _ranged(own, "s")).select("s", "pos", "neg", (F.col("pos_below") + F.col("neg_below")).alias("first"))
+    cells = cells.withColumn("block", F.explode(F.sequence(F.expr(f"first div {size}"), F.expr(f"(first + pos + neg - 1) div {size}"))))
+    draws = df.sparkSession.range(replicates * parts).mapInArrow(picked, "block long, rep long, c long")
+    # The numbers of partitions are given, since blocks have few bytes but much to do.
+    sums = cells.repartition(blocks, "block").groupBy("block").cogroup(draws.repartition(blocks, "block").groupBy("block")).applyInArrow(ranked, "rep long, s double, pos long, neg long, twice long")
+    sums = sums.repartition("rep").groupBy("rep", "s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("twice").alias("twice"))
+    ahead = Window.partitionBy("rep").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = sums.withColumn("twice", F.coalesce("twice", F.col("pos") * F.col("neg")) + 2 * F.col("pos") * F.coalesce(F.sum("neg").over(ahead), F.lit(0)))
+    auc = pairs.groupBy("rep").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum("twice").alias("u")).where("p > 0 and q > 0").select((F.col("u") / 2 / (F.col("p") * F.col("q"))).alias("auc"))
+    return auc.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))

@@ -92,22 +92,34 @@ def _(spark, sf):
     return _rounded(M.headline(scored(spark, sf), "y", "s", 0.5, ["g"]))
 
 
-def _scrambled(x: str) -> str:
+def _scrambled(x: str, h: str = "h") -> str:
     for shift, factor in ((16, 0x7FEB352D), (15, 0x31848BAB), (16, 1)):
-        x = f"(SELECT * REPLACE (xor(h, h >> {shift}) * {factor} % 4294967296 AS h) FROM {x})"
+        x = f"(SELECT * REPLACE (xor({h}, {h} >> {shift}) * {factor} % 4294967296 AS {h}) FROM {x})"
     return x
 
 
-_ROWS = _scrambled("(SELECT (doc_id % 4294967296)::UBIGINT AS h, quality AS y, floor(n_chars / 100.0::DOUBLE) AS s FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL)")
-_DRAWS = _scrambled(f"(SELECT rep, y, s, (h + rep * {M.STEP} % 4294967296 + 7) % 4294967296 AS h FROM {_ROWS} d, (SELECT unnest(range(200))::UBIGINT AS rep) r)")
+def _drawn(x: str, stage: int) -> str:
+    """x (rep, part, c) with a row for each of its c draws and their 64-bit numbers u."""
+    x = f"(SELECT *, (part % 4294967296)::UBIGINT AS h, (4 * rep + {2 * stage} + 7)::UBIGINT AS h0, (4 * rep + {2 * stage} + 8)::UBIGINT AS h1 FROM {x})"
+    for h in ("h", "h0", "h1"):
+        x = _scrambled(x, h)
+    x = f"(SELECT * REPLACE ((h + h0) % 4294967296 AS h0, (h + h1) % 4294967296 AS h1) FROM {x})"
+    x = f"(SELECT rep, part, h0, h1, unnest(range(c))::UBIGINT AS h FROM {_scrambled(_scrambled(x, 'h0'), 'h1')})"
+    x = f"(SELECT * REPLACE ((h + h0) % 4294967296 AS h0, (h + h1) % 4294967296 AS h1) FROM {_scrambled(x)})"
+    return f"(SELECT rep, part, h0 * 4294967296 + h1 AS u FROM {_scrambled(_scrambled(x, 'h0'), 'h1')})"
 
 
-@query("e2_bootstrap_auc", f"""WITH g AS (SELECT rep, s, sum(y * w) AS pos, sum((1 - y) * w) AS neg FROM (SELECT *, {' + '.join(f'(h >= {int(c)})::BIGINT' for c in M.POISSON)} AS w FROM {_DRAWS}) GROUP BY 1, 2),
+@query("e2_bootstrap_auc", f"""WITH d AS (SELECT row_number() OVER (ORDER BY s, y) - 1 AS i, y, s FROM (SELECT quality AS y, floor(n_chars / 100.0::DOUBLE) AS s FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL)),
+  n AS (SELECT count(*) AS n, greatest({M.BLOCK}, (count(*) + {M.BLOCKS - 1}) // {M.BLOCKS}) AS size FROM d),
+  r AS (SELECT rep, part, least({M.PART}, n - part * {M.PART}) AS c FROM (SELECT rep, n, unnest(range((n + {M.PART - 1}) // {M.PART})) AS part FROM n, range(0, 2000) r(rep))),
+  b AS (SELECT rep, (u % n::UBIGINT)::BIGINT // size AS part, count(*) AS c FROM {_drawn('r', 0)}, n GROUP BY 1, 2),
+  x AS (SELECT rep, part * size + (u % least(size, n - part * size)::UBIGINT)::BIGINT AS i FROM {_drawn('b', 1)}, n), j AS (SELECT rep, y, s FROM x JOIN d USING (i)),
+  g AS (SELECT rep, s, sum(y) AS pos, sum(1 - y) AS neg FROM j GROUP BY 1, 2),
   a AS (SELECT rep, sum(pos * (below + 0.5 * neg))::DOUBLE / (sum(pos) * sum(neg))::DOUBLE AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) GROUP BY rep HAVING sum(pos) > 0 AND sum(neg) > 0)
   SELECT count(*) AS replicates, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM a""")
 def _(spark, sf):
-    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id").select("doc_id", "quality", F.floor(F.col("n_chars") / 100).alias("s"))
-    return M.bootstrap_auc(d, "quality", "s", "doc_id", 200, 7).select("replicates", r6("low").alias("low"), r6("high").alias("high"))
+    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id").select("quality", F.floor(F.col("n_chars") / 100).alias("s"))
+    return M.bootstrap_auc_drawn(d, "quality", "s", 2000, 7).select("replicates", r6("low").alias("low"), r6("high").alias("high"))
 
 
 _SIG = f"(SELECT event_type AS signal, media, avg(s) AS s, (media // 1000) % 2 AS y FROM {_WEEKS_SQL} GROUP BY 1, 2)"

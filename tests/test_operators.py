@@ -319,6 +319,50 @@ def test_bootstrap_is_near_that_of_draws_with_replacement(spark):
     assert abs(got.low - low) < 0.02 and abs(got.high - high) < 0.02
 
 
+def plain_draws(n, rep, stage, part, count, seed=7):
+    own = [scrambled((scrambled(part) + scrambled(4 * rep + 2 * stage + seed + k)) % 2**32) for k in (0, 1)]
+    for j in range(count):
+        high, low = (scrambled((scrambled(j) + x) % 2**32) for x in own)
+        yield ((high << 32) + low) % n
+
+
+@pytest.mark.parametrize(("n", "levels"), [(60, 6), (2500, 3), (2500, 10**6), (1025, 1)])
+def test_drawn_bootstrap_equals_plain_draws(spark, n, levels):
+    """n draws a resample; scores with ties over several blocks, all distinct, and all equal."""
+    from collections import Counter
+
+    import numpy as np
+
+    rnd = random.Random(9)
+    rows = sorted((rnd.randrange(levels) / 5, rnd.randrange(2)) for _ in range(n))
+    s, y = (np.array(x) for x in zip(*rows))
+    got = metrics.bootstrap_auc_drawn(spark.createDataFrame([(b, a) for a, b in rows] + [(None, 0.5), (1, None)], "y int, s double").repartition(3), "y", "s", 12).first()
+    aucs, size = [], metrics.BLOCK
+    for rep in range(12):
+        blocks = Counter(u // size for u in plain_draws(n, rep, 0, 0, n))
+        at = np.array([b * size + u for b, c in blocks.items() for u in plain_draws(min(size, n - b * size), rep, 1, b, c)])
+        assert len(at) == n
+        pos, neg = (s[at][y[at] == v] for v in (1, 0))
+        aucs.append((pos[:, None] > neg[None]).mean() + 0.5 * (pos[:, None] == neg[None]).mean())
+    assert got.replicates == 12 and np.allclose([got.low, got.high], np.percentile(aucs, [2.5, 97.5]), rtol=0, atol=1e-12)
+
+
+def test_drawn_bootstrap_without_rows(spark):
+    d = spark.createDataFrame([(None, 0.5), (1, None)], "y int, s double")
+    assert tuple(metrics.bootstrap_auc_drawn(d, "y", "s", 5).first()) == (0, None, None)
+    assert tuple(metrics.bootstrap_auc_drawn(d.fillna(1), "y", "s", 5).first()) == (0, None, None)
+
+
+def test_bootstrap_query_draws_as_many_as_there_are_rows(spark, tmp_path):
+    """Of two rows of two classes, two draws have both classes in one of two resamples; independent multiplicities would in 40 of 100."""
+    from lumenaudit.plans import registry
+
+    spark.createDataFrame([(1, 100), (2, 900)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = registry.queries()["e2_bootstrap_auc"](spark, str(tmp_path)).first()
+    assert abs(got.replicates - 1000) < 100 and (got.low, got.high) == (1, 1)
+
+
 def test_entropy_and_hash_of_texts(spark):
     import math
     from collections import Counter
