@@ -37,6 +37,7 @@ def near_pairs(df: DataFrame, hash_col: str, max_distance: int = 4, blocks: int
 
     The bits are cut into blocks; a pair leaves at least blocks - max_distance of them untouched, so it is equal in the bits of some choice of so many blocks, and is told by
     the first such choice only. Rows of a choice that no other row has go before the join, and a choice that very many hashes share is compared in parts, each with all.
+    Both joins are merged: the planner takes exploded rows for as few as the hashes, and would broadcast them through the driver.
     different: only pairs whose rows have more than one value of that column together.
     """
     if blocks <= max_distance:
@@ -51,11 +52,11 @@ def near_pairs(df: DataFrame, hash_col: str, max_distance: int = 4, blocks: int
     keys = F.array(*[F.struct(F.lit(n).alias("choice"), F.col("h").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for n, m in enumerate(choices)])
     keyed = hashes.select("*", F.explode(keys).alias("key")).select("key.*", *hashes.columns)
     shared = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = keyed.join(shared.drop("n"), ["choice", "bits"])
+    members = keyed.join(shared.drop("n").hint("merge"), ["choice", "bits"])
     one = members.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
     all_ = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     a, b = (x.select("choice", "bits", "part", *[F.col(c).alias(f"{c}{n}") for c in hashes.columns]) for n, x in ((1, one), (2, all_)))
-    pairs = a.join(b, ["choice", "bits", "part"]).where(F.col("h1") < F.col("h2"))
+    pairs = a.join(b.hint("merge"), ["choice", "bits", "part"]).where(F.col("h1") < F.col("h2"))
     apart = F.col("h1").bitwiseXOR(F.col("h2"))
     pairs = pairs.withColumn("distance", F.bit_count(apart)).where(F.col("distance") <= max_distance)
     if different:

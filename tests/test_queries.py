@@ -43,3 +43,10 @@ def test_query(spark, sf, duck, name):
         want = duck.sql(sql)
         assert sorted(df.columns) == sorted(want.columns)
         assert _rows(df.columns, got) == _rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize(("name", "few"), [("d2_leakage_examples", 2)])
+def test_hashes_are_not_broadcast(spark, sf, capsys, name, few):
+    """Rows of near_pairs are merged, however few the planner takes them for; few: joins with what a limit has cut."""
+    registry.queries()[name](spark, sf).explain()
+    assert capsys.readouterr().out.count("BroadcastHashJoin") == few
