@@ -45,7 +45,7 @@ def test_query(spark, sf, duck, name):
         assert _rows(df.columns, got) == _rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize(("name", "few"), [("d2_leakage_examples", 2), ("d2_leakage_report", 0)])
+@pytest.mark.parametrize(("name", "few"), [("d2_leakage_examples", 2), ("d2_leakage_report", 0), ("j5_near_pairs", 0)])
 def test_hashes_are_not_broadcast(spark, sf, capsys, name, few):
     """Rows of near_pairs are merged, however few the planner takes them for; few: joins with what a limit has cut."""
     registry.queries()[name](spark, sf).explain()
